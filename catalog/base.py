@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import tables as T
@@ -15,8 +17,10 @@ from vendaflux.operators import profile as P
 from vendaflux.operators.adhoc import last_months, latest_months, recent_prior
 from vendaflux.operators.ranking import cumulative_share, global_rank, share_of_total
 from vendaflux.operators.abc import client_revenue
+from vendaflux.plans.materialise import ensure_checkpoint_dir
 from vendaflux.sources import extracts as E
 from vendaflux.sources import readers as R
+from vendaflux.sources.writers import params_table, write_by_month, write_csv, write_results
 
 _CONTRACT = ("data", "mes_ref", "cliente_id", "produto", "canal", "regional", "quantidade", "receita", "desconto_pct")
 
@@ -107,6 +111,37 @@ def _scalars(spark, d):
         M.ratio_or_zero(F.col("receita"), F.lit(0)).alias("por_zero"))
 
 
+def _scratch(spark) -> str:
+    """A fresh folder next to the checkpoints, which all executors can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/saida-{uuid.uuid4().hex}"
+
+
+def _scan_csv(spark, d):
+    """The extract written as CSV and read back with the declared types."""
+    v = vendas(spark, d, "data", "cliente_id", "produto", "canal", "regional", "quantidade", "receita", "desconto_pct")
+    path = write_csv(v.withColumns({"quantidade": F.col("quantidade").cast("bigint"), "custo": F.lit(None).cast("string")}).select(
+        "data", F.lit("-").alias("mes_ref"), "cliente_id", "produto", "canal", "regional", "quantidade", "receita", "custo", "desconto_pct"),
+        _scratch(spark))
+    return R.scan_sales(spark, path, "csv").select(
+        "data", "mes_ref", "cliente_id", "produto", "canal", "regional", "quantidade", F.col("receita").cast("double"),
+        F.col("desconto_pct").cast("double"))
+
+
+def _write_by_month(spark, d):
+    """The extract written by month; the month filter then reads three folders only."""
+    path = write_by_month(vendas(spark, d, "cliente_id", "mes_ref", "receita"), _scratch(spark))
+    return _sums(spark.read.schema("cliente_id bigint, receita decimal(18,4), mes_ref string").parquet(path).filter(
+        F.col("mes_ref").between("2001-04", "2001-06")), "mes_ref")
+
+
+def _write_results(spark, d):
+    """Result tables written by the executors, then the detail read back."""
+    revenue = client_revenue(vendas(spark, d, "cliente_id", "receita")).withColumn("receita", M.as_double(F.col("receita")))
+    paths = write_results({"resumo": revenue.agg(F.sum("receita").alias("receita")), "detalhe": revenue,
+                           "parametros": params_table(spark, ordem="receita")}, _scratch(spark))
+    return spark.read.parquet(paths["detalhe"])
+
+
 _LIFE = """vida AS (
   SELECT cliente_id, MIN(data) AS primeira_compra, MAX(data) AS ultima_compra,
          COUNT(DISTINCT mes) AS meses_com_compra, COUNT(*) AS total_transacoes, SUM(receita) AS receita_total
@@ -116,6 +151,12 @@ QUERIES = {
     "scan_sales": Entry(_scan, over_sales(select="""
 SELECT data, mes_ref, cliente_id, produto, canal, regional, quantidade, CAST(receita AS DOUBLE) AS receita,
        CAST(desconto_pct AS DOUBLE) AS desconto_pct FROM vendas""")),
+    "write_csv": Entry(_scan_csv, over_sales(select="""
+SELECT data, mes_ref, cliente_id, produto, canal, regional, CAST(quantidade AS BIGINT) AS quantidade, CAST(receita AS DOUBLE) AS receita,
+       CAST(desconto_pct AS DOUBLE) AS desconto_pct FROM vendas""")),
+    "write_by_month": Entry(_write_by_month, over_sales(select="""
+SELECT mes_ref, COUNT(*) AS linhas, CAST(SUM(receita) AS DOUBLE) AS receita FROM vendas WHERE mes_ref BETWEEN '2001-04' AND '2001-06' GROUP BY 1""")),
+    "write_results": Entry(_write_results, over_sales(select="SELECT cliente_id, CAST(SUM(receita) AS DOUBLE) AS receita FROM vendas GROUP BY 1")),
     "scan_targets": Entry(
         lambda s, d: T.metas(s, d).select("mes_ref", "canal", "regional", "produto", M.as_double(F.col("meta_receita")).alias("meta_receita")),
         over_targets(select="SELECT mes_ref, canal, regional, produto, CAST(meta_receita AS DOUBLE) AS meta_receita FROM metas")),
@@ -206,6 +247,11 @@ SELECT CASE WHEN x <= 0 THEN '0% (sem desconto)' WHEN x <= 0.05::DOUBLE THEN '1-
             WHEN x <= 0.20::DOUBLE THEN '10-20%' ELSE '20%+' END AS faixa_desconto, COUNT(*) AS registros FROM f GROUP BY 1""")),
     "discount_coverage": Entry(_coverage, over_sales("k AS (SELECT CASE WHEN valor_tabela > 0 THEN 'COM desconto calculável' ELSE 'SEM desconto' END AS status_desconto FROM vendas WHERE data >= DATE '2000-08-01')", select="""
 SELECT status_desconto, COUNT(*) AS registros, (CAST(COUNT(*) * 100 AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE)) AS pct FROM k GROUP BY 1""")),
+    "month_key": Entry(lambda s, d: vendas(s, d, "data").select(month_key("data").alias("mes_ref")).groupBy("mes_ref").agg(F.count(F.lit(1)).alias("linhas")),
+                       over_sales(select="SELECT mes_ref, COUNT(*) AS linhas FROM vendas GROUP BY 1")),
+    "calendar_parts": Entry(lambda s, d: vendas(s, d, "data").groupBy(*calendar_parts("data")).agg(F.count(F.lit(1)).alias("linhas")),
+                            over_sales(select="""
+SELECT CAST(quarter(data) AS INTEGER) AS trimestre, CAST(year(data) AS INTEGER) AS ano, CAST(month(data) AS INTEGER) AS mes_ano, COUNT(*) AS linhas FROM vendas GROUP BY ALL""")),
     "scalar_functions": Entry(_scalars, over_sales(select="""
 SELECT data, mes_ref, CAST(quarter(data) AS INTEGER) AS trimestre, CAST(year(data) AS INTEGER) AS ano, CAST(month(data) AS INTEGER) AS mes_ano,
        CAST(date_diff('month', DATE '2001-08-01', data) AS INTEGER) AS diferenca_meses,

@@ -43,6 +43,10 @@ def _pairs(spark, d):
     return H.client_discount_ticket(_discounts(spark, d))
 
 
+def _delta(spark, d):
+    return H.product_delta(_products(spark, d), dates=vendas(spark, d, "data"))
+
+
 def _all(spark, d):
     return vendas(spark, d, "cliente_id", "canal", "data", "produto", "receita", "valor_tabela")
 
@@ -63,12 +67,12 @@ SELECT mes_ref, produto, CAST(SUM(receita) AS DOUBLE) AS receita,
         over_sales(select="""
 SELECT mes_ref, produto, CAST(SUM(receita) - LAG(SUM(receita)) OVER (PARTITION BY produto ORDER BY mes_ref) AS DOUBLE) AS delta_mes
 FROM vendas GROUP BY 1, 2 QUALIFY delta_mes IS NOT NULL""")),
-    "product_delta": Entry(lambda s, d: H.product_delta(_products(s, d)), over_sales(_DELTA, select="SELECT * FROM delta")),
+    "product_delta": Entry(lambda s, d: _delta(s, d), over_sales(_DELTA, select="SELECT * FROM delta")),
     "top_declines": Entry(
-        lambda s, d: H.top_declines(H.product_delta(_products(s, d))),
+        lambda s, d: H.top_declines(_delta(s, d)),
         over_sales(_DELTA, select="SELECT * FROM delta WHERE delta < 0 ORDER BY delta, produto LIMIT 10")),
     "delta_bar_points": Entry(
-        lambda s, d: H.delta_bar_points(H.product_delta(_products(s, d))),
+        lambda s, d: H.delta_bar_points(_delta(s, d)),
         over_sales(_DELTA, select="SELECT produto, delta, CASE WHEN delta < 0 THEN 'queda' ELSE 'crescimento' END AS sinal FROM delta")),
     "seasonality_index": Entry(
         lambda s, d: H.seasonality_index(vendas(s, d, "data", "receita")),

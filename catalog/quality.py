@@ -103,7 +103,7 @@ QUERIES = {
             ("classe_A_clientes", "SELECT CAST(COUNT(*) FILTER (classe_abc = 'A') / COUNT(*) > 0.30 AS INTEGER) FROM abc"),
             ("receita_perdida", "SELECT CAST(SUM(x) <> (SELECT SUM(receita) FROM vendas) AS INTEGER) FROM abc")))),
     "dq_gap_output": Entry(
-        lambda s, d: Q.dq_gap_output(D.decompose_gap(_gap_sales(s, d), last_month=date(2001, 7, 1)), _gap_sales(s, d), metas(s, d)),
+        lambda s, d: Q.dq_gap_output(D.decompose_gap(_gap_sales(s, d), last_month=date(2001, 7, 1), dates=vendas(s, d, "data")), _gap_sales(s, d), metas(s, d)),
         over_targets(_decomp("canal", _JULY2), select=_report(
             ("efeitos_nao_fecham", _fails("abs(efeito_volume + efeito_preco + efeito_cruzado - gap_total) < 0.01", "decomp")),
             ("soma_canais_difere", "SELECT CAST(abs(SUM(gap_total) - (SELECT CAST(SUM(CASE WHEN mes_ref = '2001-07' THEN receita ELSE -receita END) AS DOUBLE) FROM vendas WHERE mes_ref IN ('2001-06', '2001-07'))) >= 0.01 AS INTEGER) FROM decomp"),

@@ -12,6 +12,7 @@ and saves a shuffle of the fact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,22 @@ _CLIENT = {"canal", "regional", "gerencia"}
 _PRODUCT = {"produto", "tipo_produto"}
 
 
+# Declared schemas: without one, every read starts a job that opens file footers.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def clientes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +60,19 @@ def produtos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("produto_id"), F.col("p_type").alias("produto"))
 
 
-def _line_columns() -> dict[str, Column]:
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    return {
-        "produto_id": F.col("l_partkey"),
-        "quantidade": F.col("l_quantity"),
-        "valor_tabela": price,
-        "desconto_pct": F.col("l_discount").cast("decimal(4,2)"),
-        "receita": M.net_revenue(F.col("l_extendedprice"), F.col("l_discount")),
-        "status_faturamento": F.when(F.col("l_returnflag") != "R", V.STATUS_EFFECTIVE).otherwise(V.STATUS_REVERSED),
-    }
+def _status() -> Column:
+    return F.when(F.col("l_returnflag") != "R", V.STATUS_EFFECTIVE).otherwise(V.STATUS_REVERSED)
+
+
+# Contract columns that come from the billing line; only the wanted ones are built.
+_LINE: dict[str, Callable[[], Column]] = {
+    "produto_id": lambda: F.col("l_partkey"),
+    "quantidade": lambda: F.col("l_quantity"),
+    "valor_tabela": lambda: M.from_units(M.hundredths(F.col("l_extendedprice")), 2),
+    "desconto_pct": lambda: M.from_units(M.hundredths(F.col("l_discount")), 2),
+    "receita": lambda: M.net_revenue(F.col("l_extendedprice"), F.col("l_discount")),
+    "status_faturamento": _status,
+}
 
 
 def vendas(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -64,11 +82,13 @@ def vendas(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
         "o_orderkey", F.col("o_custkey").alias("cliente_id"), F.col("o_orderdate").cast("date").alias("data"))
     if want & _CLIENT:
         orders = orders.join(clientes(spark, sf_dir), "cliente_id")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", *[c.alias(name) for name, c in _line_columns().items()])
+    products = want & _PRODUCT
+    named = [n for n in _LINE if n in want or (products and n == "produto_id")]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *[_LINE[n]().alias(n) for n in named])
     out = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if want & _PRODUCT:
+    if products:
         out = out.join(produtos(spark, sf_dir), "produto_id")
+    if "tipo_produto" in want:
         out = out.withColumn("tipo_produto", M.product_type(F.col("produto"), RECURRING))
     if "mes_ref" in want:
         out = out.withColumn("mes_ref", month_key("data"))

@@ -13,6 +13,7 @@ from vendaflux.operators import filters as X
 from vendaflux.operators import gap as G
 from vendaflux.operators import insights as I
 from vendaflux.plans.analyses import gap_params, month_cells
+from vendaflux.plans.materialise import materialise
 
 JULY = date(2001, 7, 1)  # the last full month of the test tables
 
@@ -75,13 +76,20 @@ def _cv(spark, d):
     return vendas(spark, d, "data", "canal", "cliente_id", "receita")
 
 
+def _dates(spark, d):
+    """Dates of the billed lines without any dimension."""
+    return vendas(spark, d, "data")
+
+
 def _detail(spark, d):
     return G.gap_detail(_v(spark, d), metas(spark, d))
 
 
 def _insights(spark, d):
-    v, m = _v(spark, d), metas(spark, d)
-    return I.insights_gap(G.gap_monthly(v, m), G.gap_detail(v, m), D.decompose_gap(_cv(spark, d), last_month=JULY))
+    """The month cells are computed once and serve the summary and the detail."""
+    cells, m = materialise(month_cells(_v(spark, d))), materialise(metas(spark, d))
+    decomp = D.decompose_gap(_cv(spark, d), last_month=JULY, dates=_dates(spark, d))
+    return I.insights_gap(G.gap_monthly(cells, m), G.gap_detail(cells, m), decomp)
 
 
 _MIX = """q AS (SELECT produto, CAST(SUM(quantidade) FILTER (mes = DATE '2001-06-01') AS DOUBLE) AS q0,
@@ -178,24 +186,24 @@ FROM vendas WHERE mes = DATE '2001-07-01' GROUP BY 1""")),
         over_sales(select="""
 SELECT canal, COUNT(DISTINCT cliente_id) AS clientes, CAST(SUM(receita) AS DOUBLE) AS receita, (CAST(SUM(receita) AS DOUBLE) / COUNT(*)) AS ticket_medio
 FROM vendas WHERE data >= DATE '2001-07-01' AND receita > 0 GROUP BY 1""")),
-    "decompose_gap": Entry(lambda s, d: D.decompose_gap(_cv(s, d)), over_sales(_decomp("canal", _LAST2), select="SELECT * FROM decomp")),
+    "decompose_gap": Entry(lambda s, d: D.decompose_gap(_cv(s, d), dates=_dates(s, d)), over_sales(_decomp("canal", _LAST2), select="SELECT * FROM decomp")),
     "decompose_gap_full_month": Entry(lambda s, d: D.decompose_gap(_cv(s, d), last_month=JULY, calendar=True),
                                       over_sales(_decomp("canal", _JULY2), select="SELECT * FROM decomp")),
     "decompose_gap_rolling": Entry(lambda s, d: D.decompose_gap_rolling(_cv(s, d), AS_OF), over_sales(_ROLLING, select="SELECT * FROM decomp")),
     "decompose_detail": Entry(
-        lambda s, d: D.decompose_detail(vendas(s, d, "data", "canal", "produto", "cliente_id", "receita"), JULY),
+        lambda s, d: D.decompose_detail(vendas(s, d, "data", "canal", "produto", "cliente_id", "receita"), JULY, _dates(s, d)),
         over_sales(_decomp("canal, produto", _JULY2), select="SELECT * FROM decomp")),
     "decompose_mix": Entry(
-        lambda s, d: D.decompose_mix(vendas(s, d, "data", "produto", "quantidade", "receita"), JULY),
+        lambda s, d: D.decompose_mix(vendas(s, d, "data", "produto", "quantidade", "receita"), JULY, _dates(s, d)),
         over_sales(_MIX, select="""
 SELECT round(MAX((tq1 - tq0) * tr0 / tq0), 2) AS efeito_volume, round(MAX(tq1) * SUM((s1 - s0) * p0), 2) AS efeito_mix,
        round(SUM(r1 - q1 * p0), 2) AS efeito_preco, round(MAX(tr1 - tr0), 2) AS gap_total FROM e""")),
     "effect_totals": Entry(
-        lambda s, d: D.effect_totals(D.decompose_gap(_cv(s, d), last_month=JULY)),
+        lambda s, d: D.effect_totals(D.decompose_gap(_cv(s, d), last_month=JULY, dates=_dates(s, d))),
         over_sales(_decomp("canal", _JULY2), _TOTALS, select="""
 SELECT v AS efeito_volume, p AS efeito_preco, x AS efeito_cruzado, g AS gap_total, CASE WHEN abs(v) > abs(p) THEN 'VOLUME' ELSE 'PREÇO' END AS efeito_dominante,
        (abs(v) / abs(g) * 100) AS pct_volume, (abs(p) / abs(g) * 100) AS pct_preco FROM tot""")),
-    "decompose_check": Entry(lambda s, d: D.decompose_check(D.decompose_gap(_cv(s, d), last_month=JULY)),
+    "decompose_check": Entry(lambda s, d: D.decompose_check(D.decompose_gap(_cv(s, d), last_month=JULY, dates=_dates(s, d))),
                              over_sales(_decomp("canal", _JULY2), select=_CHECK)),
     "decompose_check_rolling": Entry(lambda s, d: D.decompose_check(D.decompose_gap_rolling(_cv(s, d), AS_OF)),
                                      over_sales(_ROLLING, select=_CHECK)),

@@ -37,10 +37,23 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
     return c
 
 
+def hundredths(c: Column) -> Column:
+    """A double that holds at most two decimals, as an exact integer."""
+    return F.rint(c * 100).cast("bigint")
+
+
+def from_units(units: Column, scale: int) -> Column:
+    """Integer units of 10^-scale as ``decimal(18, scale)``.
+
+    Much cheaper than casting a double to a decimal, which goes through text for every row.
+    """
+    unit = F.lit("0." + "0" * (scale - 1) + "1").cast(f"decimal({scale},{scale})")
+    return (units.cast("decimal(18,0)") * unit).cast(f"decimal(18,{scale})")
+
+
 def net_revenue(list_price: Column, discount: Column) -> Column:
-    """Exact net value of a line: price and discount are cut to their two decimals first."""
-    price = list_price.cast("decimal(18,2)")
-    return (price * (F.lit(1).cast("decimal(1,0)") - discount.cast("decimal(4,2)"))).cast("decimal(18,4)")
+    """Exact price x (1 - discount), for a price and a discount with at most two decimals."""
+    return from_units(hundredths(list_price) * (100 - hundredths(discount)), 4)
 
 
 def discount_pct(list_price: Column, billed: Column) -> Column:

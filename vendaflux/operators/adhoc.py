@@ -58,22 +58,24 @@ def recent_prior(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.PRI
     )
 
 
-def window_rows(v: DataFrame, recent: int, prior: int, last_month: date | None) -> DataFrame:
+def window_rows(v: DataFrame, recent: int, prior: int, last_month: date | None,
+                dates: DataFrame | None = None) -> DataFrame:
     """Rows of the two windows with their ``ordem``; the month list has recent + prior rows."""
-    months = latest_months(v, recent + prior, last_month)
+    months = latest_months(v if dates is None else dates, recent + prior, last_month)
     first = months.agg(F.min("_mes")).scalar()
     kept = v.filter(F.col("data") >= first).withColumn("_mes", month_start("data"))
     return kept.join(F.broadcast(months), "_mes", "inner")
 
 
 def product_delta(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.PRIOR_MONTHS,
-                  last_month: date | None = None) -> DataFrame:
+                  last_month: date | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Mean monthly revenue per product: recent window against the prior one.
 
     The windows have different lengths, so means are compared.  A month in
-    which a product was not billed counts as zero.
+    which a product was not billed counts as zero.  ``dates`` may name a cheaper
+    table with the same dates to look the months up in.
     """
-    sums = window_rows(v, recent, prior, last_month).groupBy("produto").agg(
+    sums = window_rows(v, recent, prior, last_month, dates).groupBy("produto").agg(
         F.coalesce(F.sum(F.when(F.col("ordem") <= recent, F.col("receita"))), F.lit(0)).alias("_rec"),
         F.coalesce(F.sum(F.when(F.col("ordem") > recent, F.col("receita"))), F.lit(0)).alias("_ant"),
     )

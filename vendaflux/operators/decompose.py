@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,34 +14,45 @@ from vendaflux.functions.months import month_key, month_start
 from vendaflux.operators.filters import shift
 
 
-def two_months(v: DataFrame, last_month: date | None = None, calendar: bool = False) -> DataFrame:
+def two_months(dates: DataFrame, last_month: date | None = None, calendar: bool = False) -> DataFrame:
     """One row with the current and the previous month.
 
     The previous month is the latest one *present* before the current, or the
     calendar month before it when ``calendar`` is set.
     """
-    months = v.groupBy(month_start("data").alias("_mes")).agg(F.count(F.lit(1)).alias("_n"))
+    months = dates.select(month_start("data").alias("_mes")).distinct()
     if last_month is not None:
         months = months.filter(F.col("_mes") <= F.trunc(F.lit(last_month), "month"))
     newest = F.sort_array(F.collect_set("_mes"), asc=False)  # months are few
     row = months.agg(newest.alias("_m"))
     current = F.try_element_at("_m", F.lit(1))
     previous = F.add_months(current, -1) if calendar else F.try_element_at("_m", F.lit(2))
-    return row.select(current.alias("atual"), previous.alias("anterior"))
+    return row.select(F.struct(current.alias("atual"), previous.alias("anterior")).alias("par"))
 
 
-def _compared(v: DataFrame, last_month: date | None, calendar: bool) -> DataFrame:
-    """Rows of the two months with ``_p`` = 1 (current) or 0 (previous).
+class _Pair(NamedTuple):
+    current: Column
+    previous: Column
 
-    The months are scalar subqueries, so the scan is filtered by their dates
-    before any shuffle.  With fewer than two months nothing is left.
+    def rows(self, v: DataFrame) -> DataFrame:
+        """Rows of the two months with ``_p`` = 1 (current) or 0 (previous)."""
+        month = month_start("data")
+        inside = (F.col("data") >= self.previous) & (F.col("data") < F.add_months(self.current, 1))
+        kept = v.filter(inside).filter((month == self.current) | (month == self.previous))
+        return kept.withColumn("_p", F.when(F.col("data") >= self.current, 1).otherwise(0))
+
+
+def _pair(v: DataFrame, last_month: date | None, calendar: bool, dates: DataFrame | None) -> _Pair:
+    """The two months, as constants when the caller fixes both, else as one scalar subquery.
+
+    Either way the fact is filtered by date before any shuffle.  With fewer
+    than two months the previous one is NULL and nothing is left.
     """
-    pair = two_months(v, last_month, calendar)
-    current, previous = pair.select("atual").scalar(), pair.select("anterior").scalar()
-    month = month_start("data")
-    kept = v.filter((F.col("data") >= previous) & (F.col("data") < F.add_months(current, 1)))
-    kept = kept.filter((month == current) | (month == previous))
-    return kept.withColumns({"_p": F.when(month == current, 1).otherwise(0), "_atual": current, "_anterior": previous})
+    if last_month is not None and calendar:
+        first = F.lit(last_month.replace(day=1))
+        return _Pair(first, F.add_months(first, -1))
+    pair = two_months(v if dates is None else dates, last_month, calendar).scalar()
+    return _Pair(pair["atual"], pair["anterior"])
 
 
 def _when(p: int, c: str | Column) -> Column:
@@ -64,29 +76,30 @@ def _effects(df: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> D
 
 
 def decompose_gap(v: DataFrame, by: Sequence[str] = ("canal",), last_month: date | None = None,
-                  calendar: bool = False) -> DataFrame:
+                  calendar: bool = False, dates: DataFrame | None = None) -> DataFrame:
     """Volume, price and cross effect between the last two months, per ``by``.
 
     Ticket is revenue over distinct clients.  A group present in one month only
-    has zeros in the other.  volume + price + cross = gap.
+    has zeros in the other.  volume + price + cross = gap.  ``dates`` may name
+    a cheaper table with the same dates to look the months up in.
     """
-    rows = _compared(v, last_month, calendar)
-    clients = rows.groupBy(*by, "_p", "_atual", "_anterior", "cliente_id").agg(F.sum("receita").alias("_r"))
-    sums = clients.groupBy(*by, "_atual", "_anterior").agg(
+    pair = _pair(v, last_month, calendar, dates)
+    clients = pair.rows(v).groupBy(*by, "_p", "cliente_id").agg(F.sum("receita").alias("_r"))
+    sums = clients.groupBy(*by).agg(
         F.count(_when(0, "cliente_id")).alias("c0"), F.count(_when(1, "cliente_id")).alias("c1"),
         F.coalesce(F.sum(_when(0, "_r")), F.lit(0)).alias("r0"),
         F.coalesce(F.sum(_when(1, "_r")), F.lit(0)).alias("r1"),
     ).withColumns({
         "t0": M.ratio_or_zero(F.col("r0"), F.col("c0")), "t1": M.ratio_or_zero(F.col("r1"), F.col("c1")),
     })
-    months = [month_key("_anterior").alias("mes_anterior"), month_key("_atual").alias("mes_atual")]
+    months = [month_key(pair.previous).alias("mes_anterior"), month_key(pair.current).alias("mes_atual")]
     money = [M.as_double(F.col("r0")).alias("receita_ant"), M.as_double(F.col("r1")).alias("receita_atual")]
     return _effects(sums, by, [*money, *months])
 
 
-def decompose_detail(v: DataFrame, last_month: date | None = None) -> DataFrame:
+def decompose_detail(v: DataFrame, last_month: date | None = None, dates: DataFrame | None = None) -> DataFrame:
     """The same effects per channel and product."""
-    return decompose_gap(v, ("canal", "produto"), last_month)
+    return decompose_gap(v, ("canal", "produto"), last_month, dates=dates)
 
 
 def decompose_gap_rolling(v: DataFrame, as_of: date, by: Sequence[str] = ("canal",)) -> DataFrame:
@@ -132,7 +145,7 @@ def _clients_revenue(v: DataFrame) -> DataFrame:
         F.count("cliente_id").alias("clientes"), F.sum("_r").alias("_r"), F.sum("_n").alias("_n"))
 
 
-def decompose_mix(v: DataFrame, last_month: date | None = None) -> DataFrame:
+def decompose_mix(v: DataFrame, last_month: date | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Volume, mix and price effect over products, with quantities.
 
     Prices are revenue over quantity.  Volume values the change in total
@@ -141,7 +154,7 @@ def decompose_mix(v: DataFrame, last_month: date | None = None) -> DataFrame:
     without a previous price takes the previous mean.  The three add up to the
     change in revenue.  The shares cancel out, so sums over products suffice.
     """
-    rows = _compared(v, last_month, False)
+    rows = _pair(v, last_month, False, dates).rows(v)
     q, r = F.col("quantidade").cast("decimal(20,4)"), F.col("receita")
     per = rows.groupBy("produto").agg(
         *[F.coalesce(F.sum(_when(p, q)), F.lit(0)).alias(f"q{p}") for p in (0, 1)],

@@ -28,12 +28,20 @@ def client_months(v: DataFrame, by: str | None = None) -> DataFrame:
     """One row per client and billed month, with a recurring flag (and the channel, if asked).
 
     A client seen in several channels in a month keeps the alphabetically first.
+    The channel is a grouping key and not ``min(channel)``: a text minimum would
+    make Spark sort the raw rows instead of hashing them.
     """
-    extra = [F.min(by).alias(by)] if by else []
+    keys = [by] if by else []
     recurring = F.max((F.col("tipo_produto") == V.PRODUCT_RECURRING).cast("int"))
-    return v.groupBy("cliente_id", month_start("data").alias("_mes")).agg(
-        recurring.alias("_recorrente"), *extra
-    )
+    cells = v.groupBy("cliente_id", month_start("data").alias("_mes"), *keys).agg(recurring.alias("_recorrente"))
+    if not by:
+        return cells
+    # one exchange on the client serves this window and the later ones
+    month = Window.partitionBy("cliente_id", "_mes")
+    return cells.repartition("cliente_id").withColumns({
+        "_recorrente": F.max("_recorrente").over(month),
+        "_pos": F.row_number().over(month.orderBy(by)),
+    }).filter(F.col("_pos") == 1).drop("_pos")
 
 
 def gap_months(v: DataFrame) -> DataFrame:
@@ -56,8 +64,8 @@ def _segments(v: DataFrame, as_of: date, by: str | None = None) -> DataFrame:
     start = F.min("_mes").over(Window.partitionBy("cliente_id"))
     rows = client_months(v, by).filter(F.col("_mes") <= F.lit(as_of))
     if by:
-        rows = rows.withColumn(by, F.last(by).over(Window.partitionBy("cliente_id").orderBy("_mes").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)))
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn(by, F.last(by).over(whole))
     return rows.withColumns({
         "_entrada": start,
         "_ultimo": F.coalesce(F.last(recurring_month, ignorenulls=True).over(before), F.add_months(start, -1)),

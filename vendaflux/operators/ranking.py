@@ -52,8 +52,11 @@ def global_rank(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) ->
         "_cum": F.sum(value).over(running),
     })
     # Without keys the offsets have at most one row per range, a proven bound for a broadcast.
-    side = offsets if by else F.broadcast(offsets)
-    return numbered.join(side, [*by, "_faixa"]).select(
+    side = (offsets if by else F.broadcast(offsets)).withColumnsRenamed({k: f"_o_{k}" for k in (*by, "_faixa")})
+    same = F.col("_faixa") == F.col("_o__faixa")
+    for k in by:  # a NULL key is a group of its own
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return numbered.join(side, same).select(
         *df.columns,
         (F.col("_n0") + F.col("_rn")).cast("bigint").alias("posicao_ranking"),
         (F.col("_s0") + F.col("_cum")).alias("acumulado"),

@@ -53,13 +53,14 @@ def sales_cohort_base(fact: DataFrame, clients: DataFrame, products: DataFrame,
     """Each confirmed billing with its client's cohort, life month and lifetime figures.
 
     The client figures come from a pre-aggregate per client and month, which
-    collapses a very large client to a few rows before the shuffle; they are
-    joined back on the client.  A window over raw rows would keep all rows of
-    one client in one task.
+    collapses a very large client to a few rows before the shuffle.  A window
+    over raw rows would keep all rows of one client in one task.  The figures
+    are joined to the client dimension first, so the fact is joined on the
+    client only once.
     """
     kept = horizon(effective_only(fact), as_of, 12 * years)
-    life = client_lifespan(kept)
-    return star_join(kept, clients, products).join(life, "cliente_id", "inner").select(
+    per_client = clients.join(client_lifespan(kept), "cliente_id", "inner")
+    return star_join(kept, per_client, products).select(
         "cliente_id", "data", M.as_double(F.col("receita")).alias("receita"),
         "canal", "regional", "gerencia", "produto",
         M.product_type(F.col("produto"), recurring).alias("tipo_produto"),
