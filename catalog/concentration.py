@@ -35,6 +35,7 @@ kabc AS (
 
 
 _YEARS = "anos AS (SELECT *, CAST(year(data) AS INTEGER) AS periodo FROM vendas)"
+_QUARTERS = "tris AS (SELECT *, CAST(year(data) * 4 + quarter(data) - 1 AS INTEGER) AS periodo FROM vendas)"
 _T = """t AS (SELECT COUNT(*) AS n, CAST(SUM(x) AS DOUBLE) AS total,
  COUNT(*) FILTER (classe_abc = 'A') AS na, COUNT(*) FILTER (classe_abc = 'B') AS nb, COUNT(*) FILTER (classe_abc = 'C') AS nc,
  COALESCE(CAST(SUM(x) FILTER (classe_abc = 'A') AS DOUBLE), 0) AS ra, COALESCE(CAST(SUM(x) FILTER (classe_abc = 'B') AS DOUBLE), 0) AS rb,
@@ -152,6 +153,22 @@ SELECT periodo, COALESCE(c0, 'novo') AS de, COALESCE(c1, 'perdido') AS para, COU
 FROM (SELECT COALESCE(a.periodo, CAST(b.periodo + 1 AS INTEGER)) AS periodo, b.classe_abc AS c0, a.classe_abc AS c1, a.x AS x1, b.x AS x0
       FROM kabc a FULL JOIN kabc b ON b.cliente_id = a.cliente_id AND b.periodo = a.periodo - 1)
 WHERE periodo > (SELECT MIN(periodo) FROM kabc) AND periodo <= (SELECT MAX(periodo) FROM kabc) GROUP BY 1, 2, 3""")),
+    "abc_over_time_quarter": Entry(
+        lambda s, d: A.abc_over_time(_dated(s, d), "trimestre"),
+        over_sales(_QUARTERS, _keyed("periodo", "tris"), select="""
+SELECT (periodo // 4) || '-T' || (periodo % 4 + 1) AS periodo, COUNT(*) AS clientes,
+       COALESCE(CAST(SUM(x) FILTER (classe_abc = 'A') AS DOUBLE), 0) / CAST(SUM(x) AS DOUBLE) AS classe_A_participacao,
+       CAST(COUNT(*) FILTER (classe_abc = 'A') AS DOUBLE) / COUNT(*) AS classe_A_pct_clientes,
+       CAST(SUM(x) FILTER (posicao_ranking <= 10) AS DOUBLE) / CAST(SUM(x) AS DOUBLE) AS top_10_participacao
+FROM kabc GROUP BY kabc.periodo""")),
+    "abc_migration_quarter": Entry(
+        lambda s, d: A.abc_migration(_dated(s, d), "trimestre"),
+        over_sales(_QUARTERS, _keyed("periodo", "tris"), select="""
+SELECT (q // 4) || '-T' || (q % 4 + 1) AS periodo, COALESCE(c0, 'novo') AS de, COALESCE(c1, 'perdido') AS para, COUNT(*) AS clientes,
+       CAST(SUM(COALESCE(x1, x0)) AS DOUBLE) AS receita
+FROM (SELECT COALESCE(a.periodo, b.periodo + 1) AS q, b.classe_abc AS c0, a.classe_abc AS c1, a.x AS x1, b.x AS x0
+      FROM kabc a FULL JOIN kabc b ON b.cliente_id = a.cliente_id AND b.periodo = a.periodo - 1)
+WHERE q > (SELECT MIN(periodo) FROM kabc) AND q <= (SELECT MAX(periodo) FROM kabc) GROUP BY q, 2, 3""")),
     "gini": Entry(
         lambda s, d: A.gini(_clients(s, d)),
         over_sales("g AS (SELECT x, row_number() OVER (ORDER BY x, cliente_id DESC) AS i, COUNT(*) OVER () AS n FROM (SELECT cliente_id, SUM(receita) AS x FROM vendas GROUP BY 1))", select="""

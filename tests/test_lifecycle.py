@@ -62,3 +62,16 @@ def test_channel_of_the_latest_month(spark):
         [(1, date(2023, 1, 1), R, "B"), (1, date(2023, 2, 1), R, "C"), (1, date(2023, 2, 2), C, "A")],
         "cliente_id bigint, data date, tipo_produto string, canal string")
     assert rows(L.churn_by_channel(v, date(2023, 2, 1))) == [("A", 1, 0, 0.0)]
+
+
+def test_status_counts_add_up_to_the_clients_entered(spark):
+    """On the test tables: every entered client has exactly one status per month."""
+    from pyspark.sql import functions as F
+
+    from catalog.tables import AS_OF, vendas
+
+    v = vendas(spark, "/root/testdata/sf0.001", "cliente_id", "data", "tipo_produto")
+    entered = v.groupBy("cliente_id").agg(F.date_format(F.min("data"), "yyyy-MM").alias("e"))
+    counts = L.lifecycle_counts(v, AS_OF).groupBy("mes_ref").agg(F.sum("clientes").alias("n"))
+    want = counts.join(entered, F.col("e") <= F.col("mes_ref")).groupBy("mes_ref", "n").agg(F.count(F.lit(1)).alias("k"))
+    assert want.filter("n <> k").count() == 0 and want.count() == counts.count() > 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,57 +173,72 @@ def inactive_clients(v: DataFrame, as_of: date) -> DataFrame:
     return per_client.filter((F.col("_r") > 0) & lapsed).agg(F.count(F.lit(1)).alias("clientes_inativos"))
 
 
-def _by_year(v: DataFrame) -> DataFrame:
-    return v.select("cliente_id", "receita", F.year("data").alias("periodo"))
+# Consecutive number of each period, and how it is published.
+_PERIODS: dict[str, tuple[Callable[[], Column], Callable[[Column], Column]]] = {
+    "ano": (lambda: F.year("data"), lambda i: i),
+    "trimestre": (lambda: F.year("data") * 4 + F.quarter("data") - 1,
+                  lambda i: F.format_string("%d-T%d", F.floor(i / 4), i % 4 + 1)),
+    "mes": (lambda: F.year("data") * 12 + F.month("data") - 1,
+            lambda i: F.format_string("%d-%02d", F.floor(i / 12), i % 12 + 1)),
+}
 
 
-def abc_over_time(v: DataFrame) -> DataFrame:
-    """Per year: clients, share of clients in A, revenue share of A, top-10 share."""
-    abc = rank_and_classify(client_revenue(_by_year(v), ["periodo"]), ["periodo"])
-    t = _class_totals(abc, ["periodo"])
+def _classes_by_period(v: DataFrame, period: str) -> DataFrame:
+    number, _ = _PERIODS[period]
+    dated = v.select("cliente_id", "receita", number().alias("_p"))
+    return rank_and_classify(client_revenue(dated, ["_p"]), ["_p"])
+
+
+def _label(period: str, number: Column) -> Column:
+    return _PERIODS[period][1](number).alias("periodo")
+
+
+def abc_over_time(v: DataFrame, period: str = "ano") -> DataFrame:
+    """Per period (ano, trimestre, mes): clients, share of clients in A, revenue share of A, top-10 share."""
+    t = _class_totals(_classes_by_period(v, period), ["_p"])
     return t.select(
-        "periodo", F.col("n").alias("clientes"),
+        _label(period, F.col("_p")), F.col("n").alias("clientes"),
         M.ratio(F.col("r_A"), F.col("total")).alias("classe_A_participacao"),
         M.ratio(F.col("n_A"), F.col("n")).alias("classe_A_pct_clientes"),
         M.ratio(F.col("top_10"), F.col("total")).alias("top_10_participacao"),
     )
 
 
-def yearly_class(v: DataFrame) -> DataFrame:
-    """Class of each client in each year, and in the year before (NULL when absent)."""
-    abc = rank_and_classify(client_revenue(_by_year(v), ["periodo"]), ["periodo"])
-    w = Window.partitionBy("cliente_id").orderBy("periodo")  # one row per client and year
-    previous = F.when(F.lag("periodo").over(w) == F.col("periodo") - 1, F.lag("classe_abc").over(w))
-    return abc.select("cliente_id", "periodo", "receita", "classe_abc", previous.alias("classe_anterior"))
+def _with_neighbours(v: DataFrame, period: str) -> DataFrame:
+    """Class of each client and period, the class of the period before, and whether the next one exists."""
+    w = Window.partitionBy("cliente_id").orderBy("_p")  # one row per client and period
+    previous = F.when(F.lag("_p").over(w) == F.col("_p") - 1, F.lag("classe_abc").over(w))
+    follows = F.coalesce(F.lead("_p").over(w) == F.col("_p") + 1, F.lit(False))
+    return _classes_by_period(v, period).select(
+        "cliente_id", "_p", "receita", "classe_abc", previous.alias("classe_anterior"), follows.alias("_segue"))
 
 
-def class_previous(v: DataFrame) -> DataFrame:
-    return yearly_class(v).withColumn("receita", M.as_double(F.col("receita")))
+def class_previous(v: DataFrame, period: str = "ano") -> DataFrame:
+    """Class of each client in each period, and in the period before (NULL when absent)."""
+    return _with_neighbours(v, period).select(
+        "cliente_id", _label(period, F.col("_p")), M.as_double(F.col("receita")).alias("receita"),
+        "classe_abc", "classe_anterior")
 
 
-def abc_migration(v: DataFrame) -> DataFrame:
-    """Clients and revenue per (year, class before, class now), with new and lost clients.
+def abc_migration(v: DataFrame, period: str = "ano") -> DataFrame:
+    """Clients and revenue per (period, class before, class now), with new and lost clients.
 
-    ``receita`` is the revenue of the year; for lost clients that of the year before.
-    The first year has no predecessor, and nobody is lost after the last one.
+    ``receita`` is the revenue of the period; for lost clients that of the one
+    before.  The first period has no predecessor, and nobody is lost after the
+    last.  Two windows on the client replace a full outer self-join.
     """
-    now = yearly_class(v)
-    bounds = now.agg(F.min("periodo").alias("a"), F.max("periodo").alias("b"))
-    w = Window.partitionBy("cliente_id").orderBy("periodo")
-    follows = F.coalesce(F.lead("periodo").over(w) == F.col("periodo") + 1, F.lit(False))
-    rows = now.withColumn("_segue", follows)
+    rows = _with_neighbours(v, period)
+    bounds = rows.agg(F.struct(F.min("_p").alias("a"), F.max("_p").alias("b"))).scalar()
     moved = F.struct(
-        F.col("periodo").alias("periodo"), F.coalesce("classe_anterior", F.lit("novo")).alias("de"),
-        F.col("classe_abc").alias("para"), (F.col("periodo") > bounds.select("a").scalar()).alias("ok"),
-    )
+        F.col("_p").alias("_q"), F.coalesce("classe_anterior", F.lit("novo")).alias("de"),
+        F.col("classe_abc").alias("para"), (F.col("_p") > bounds["a"]).alias("ok"))
     lost = F.struct(
-        (F.col("periodo") + 1).alias("periodo"), F.col("classe_abc").alias("de"), F.lit("perdido").alias("para"),
-        (~F.col("_segue") & (F.col("periodo") < bounds.select("b").scalar())).alias("ok"),
-    )
+        (F.col("_p") + 1).alias("_q"), F.col("classe_abc").alias("de"), F.lit("perdido").alias("para"),
+        (~F.col("_segue") & (F.col("_p") < bounds["b"])).alias("ok"))
     events = rows.select("receita", F.inline(F.array(moved, lost))).filter("ok")
-    return events.groupBy("periodo", "de", "para").agg(
-        F.count(F.lit(1)).alias("clientes"), M.as_double(F.sum("receita")).alias("receita")
-    )
+    return events.groupBy("_q", "de", "para").agg(
+        F.count(F.lit(1)).alias("clientes"), F.sum("receita").alias("_r")
+    ).select(_label(period, F.col("_q")), "de", "para", "clientes", M.as_double(F.col("_r")).alias("receita"))
 
 
 def gini(v: DataFrame) -> DataFrame:
