@@ -20,23 +20,20 @@ def client_revenue(v: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def client_metrics(v: DataFrame) -> DataFrame:
-    """Revenue, ticket, activity and dates per client.
+    """Revenue, ticket, activity and dates per client, in one read of the fact.
 
-    Rows are first reduced to (client, month, product), so the two distinct
-    counts run over few rows and one huge client is already combined map-side.
+    Two distinct counts make Spark expand each row to (client), (client, month)
+    and (client, product) before the map-side combine, so a huge client shrinks
+    to its distinct months and products before the shuffle.  Grouping by client,
+    month and product first was measured slower: that grain hardly reduces.
     """
-    cells = v.groupBy("cliente_id", month_start("data").alias("_mes"), "produto").agg(
-        F.sum("receita").alias("_r"), F.count(F.lit(1)).alias("_n"),
-        F.min("data").alias("_a"), F.max("data").alias("_b"),
-    )
-    return cells.groupBy("cliente_id").agg(
-        F.sum("_r").alias("receita"),
-        M.ratio(F.sum("_r"), F.sum("_n")).alias("ticket_medio"),
-        F.sum("_n").alias("qtd_transacoes"),
-        F.countDistinct("_mes").alias("meses_ativo"),
+    n, total = F.count(F.lit(1)), F.sum("receita")
+    return v.groupBy("cliente_id").agg(
+        total.alias("receita"), M.ratio(total, n).alias("ticket_medio"), n.alias("qtd_transacoes"),
+        F.countDistinct(month_start("data")).alias("meses_ativo"),
         F.countDistinct("produto").alias("qtd_produtos"),
-        F.min("_a").alias("primeira_compra"), F.max("_b").alias("ultima_compra"),
-        month_diff(F.min("_a"), F.max("_b")).alias("meses_relacionamento"),
+        F.min("data").alias("primeira_compra"), F.max("data").alias("ultima_compra"),
+        month_diff(F.min("data"), F.max("data")).alias("meses_relacionamento"),
     )
 
 
