@@ -106,7 +106,7 @@ def _scalars(spark, d):
     return v.select(
         "data", month_key("data").alias("mes_ref"), *calendar_parts("data"),
         month_diff(F.lit(AS_OF), "data").alias("diferenca_meses"), F.add_months("data", -6).alias("seis_meses_antes"),
-        F.bround(M.ratio(F.col("receita"), F.lit(1000000)), 4).alias("milhoes"),
+        M.half_even(M.ratio(F.col("receita"), F.lit(1000000)), 4).alias("milhoes"),
         M.clip(F.col("receita").cast("double"), 1000.0, 50000.0).alias("limitada"),
         M.ratio_or_zero(F.col("receita"), F.lit(0)).alias("por_zero"))
 

@@ -1,6 +1,7 @@
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vendaflux.functions import measures as M
@@ -21,6 +22,10 @@ def test_month_edges(spark):
 
 def test_half_even(spark):
     assert one(spark, M.half_even(F.lit(1) / F.lit(32), 4)) == (0.0312,)
+    values = [k / 100000 for k in range(4600, 4640)] + [-0.03125, 0.72, 1 / 3]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = [r[0] for r in df.select(M.half_even(F.col("x"))).collect()]
+    assert got == [float(x) for x in np.round(np.array(values), 4)]
 
 
 def test_ratio_on_zero(spark):
