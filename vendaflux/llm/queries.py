@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendaflux.llm import exact_dedup, html_extract, mixing, toxicity, url_filter, warc
+from vendaflux.llm import exact_dedup, html_extract, mixing, pii, toxicity, url_filter, warc
 from vendaflux.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast(number).alias("refers_to"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extract": op7_html_extract,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {
