@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendaflux.llm import exact_dedup, html_extract, mixing, pii, toxicity, url_filter, warc
+from vendaflux.llm import exact_dedup, html_extract, jaccard_join, mixing, pii, toxicity, url_filter, warc
 from vendaflux.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_extract": op7_html_extract,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
