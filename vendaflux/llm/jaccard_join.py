@@ -292,3 +292,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     # rows of one id in several components: the smallest id reachable from any is taken by each row for itself
     return (sets.select("doc_id", "n", "node").join(of_node, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("least", "doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, and those with a null id, with all columns."""
+    found = join(docs, id_col, text_col, width, percent).where("doc_id IS NOT NULL")
+    gone = (found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
+            .where("NOT stays").select(F.col("doc_id").alias("__gone")))
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

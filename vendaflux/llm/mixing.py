@@ -158,3 +158,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.col("each") + (F.col("nth") <= F.col("more")).cast("long")
     return (split.unionByName(chosen).withColumn("copies", copies)
             .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "row"))
+
+
+def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Rows equal in id, source and text are told apart by number only: the mix's copies of all of them are made from one."""
+    keyed = docs.withColumn("__key", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(source_col, text_col))))
+    plan = (mix(keyed, "__key", text_col, source_col, **options).groupBy(F.col("doc_id").alias("__key"))
+            .agg(F.sum("copies").alias("__copies")).where("__copies > 0"))
+    once = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    rows = keyed.join(plan, "__key").withColumn("__nth", once).where("__nth = 1")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
