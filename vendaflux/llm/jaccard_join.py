@@ -22,7 +22,6 @@ Shingles and sets are known by 64-bit hashes: two different ones agree with a pr
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,51 +33,51 @@ from pyspark.sql import functions as F
 from vendaflux.llm.common import written
 from vendaflux.llm.components import components
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Inverted lists up to this length give pairs; prefixes avoid shingles in lists above COMMON; the driver holds and
 #: sends at most MAX_COMMON of these (COMMON is doubled until they fit).
 SHORT, COMMON, MAX_COMMON = 16, 64, 1 << 18
-#: Members of a block of a cell, word hashes a task remembers, places of the pre-filter in front of the text join.
-BLOCK, CACHE, PREFILTER = 4096, 300_000, 1 << 18
+#: Shingles in a block of a cell, word hashes a task remembers, places of the pre-filter in front of the text join.
+BLOCK, CACHE, PREFILTER = 1_000_000, 300_000, 1 << 18
 #: Weight of probing against merging when lists are divided.
 PROBE = 0.5
 U = np.uint64
 
 
+class WordHashes(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.held = width, {}
+        self.width, self.held = width, WordHashes()
         self.factors = [U(xxhash.xxh64_intdigest(f"place {i}") | 1) for i in range(width)]
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = WORDS.findall((text or "").translate(UPPER) if not (text or "").isascii() else (text or "").lower())
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and the contract's white space only
         if not words:
             return np.zeros(0, U)
         if len(words) < self.width:
-            return np.array([xxhash.xxh64_intdigest("\x00".join(words), 7)], U)
-        held = self.held
-        if len(held) > CACHE:
-            held.clear()
-        get = held.get
-        hashes = np.empty(len(words), U)
-        for i, w in enumerate(words):
-            h = get(w)
-            if h is None:
-                h = held[w] = xxhash.xxh64_intdigest(w)
-            hashes[i] = h
+            return np.array([xxhash.xxh64_intdigest(b"\x00".join(words), 7)], U)
+        if len(self.held) > CACHE:
+            self.held.clear()
+        hashes = np.fromiter(map(self.held.__getitem__, words), U, len(words))
         n = len(words) - self.width + 1
-        with np.errstate(over="ignore"):
-            mix = np.zeros(n, U)
-            for i, f in enumerate(self.factors):
-                x = hashes[i: i + n] * f
-                mix = (mix ^ x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
-            mix ^= mix >> U(29)
-            mix *= U(0xBF58476D1CE4E5B9)
-            mix ^= mix >> U(32)
-        return np.unique(mix)
+        mix = hashes[:n] * self.factors[0]
+        for i in range(1, self.width):
+            mix ^= mix >> U(31)
+            mix += hashes[i: i + n]
+            mix *= self.factors[i]
+        mix ^= mix >> U(29)
+        mix *= U(0xBF58476D1CE4E5B9)
+        mix ^= mix >> U(32)
+        mix.sort()
+        return mix[np.append(True, mix[1:] != mix[:-1])]
 
 
 def prefix_length(n, percent: int):
@@ -88,7 +87,7 @@ def prefix_length(n, percent: int):
 def bit_map(hashes: np.ndarray, percent: int) -> bytes:
     """Parity of the hashes at each bit; as wide as the size needs for unrelated sets to differ too much."""
     bits, most = 512, (100 - percent) / (100 + percent)
-    while bits < 4.5 * most * len(hashes):
+    while bits < 6 * most * len(hashes):
         bits *= 4
     odd = np.bincount((hashes >> U(20) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -122,10 +121,9 @@ def sets_of(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
                     order = np.concatenate([h[~late], h[late]])
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes())], U).view(np.int64)[0]
                 rows.append((n, node, order[: prefix_length(n, percent)].view(np.int64), bit_map(h, percent)))
-            out = pd.DataFrame(rows, columns=["n", "node", "prefix", "bits"])
-            out["node"] = out["node"].astype("Int64")
-            out.insert(0, "doc_id", batch.doc_id.to_numpy())
-            yield out
+            n, node, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "n": np.array(n, np.int64), "node": pd.array(node, dtype="Int64"),
+                                "prefix": list(prefix), "bits": list(bits)})
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInPandas(build, f"doc_id {kind}, n long, node long, prefix array<long>, bits binary")
@@ -228,7 +226,7 @@ def divide_skip(sets: list[np.ndarray], queries: range, percent: int) -> list[tu
 
 def cell_links(cells: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a forest) inside cells: ``a, b`` of ``root, node, shingles``; large cells are searched block by block."""
-    sizes = cells.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = cells.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * block)).cast("int").alias("blocks")).where("blocks > 1")
     placed = cells.join(sizes, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
