@@ -132,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                 F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-                                F.monotonically_increasing_id().alias("row")), "mix_sizes")
+                                F.xxhash64(text_col).alias("print"), F.monotonically_increasing_id().alias("row")), "mix_sizes")
     sizes = group_sizes(sized, "source")
     targets = targets_by_weight(sizes, cycle, cap) if sizes else {}
     cells = sized.groupBy("source").agg(F.sum("size").cast("double").alias("mass"))
@@ -145,14 +145,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     classes = sized.groupBy("cell", "size").agg(F.count("*").alias("n"), F.first("rate").alias("rate"))
     plan = written(copies_by_size(classes, ["cell"], cap), "mix_classes").drop("rate")
 
-    # which documents of a class get one more: the first by hash; large classes are ranked in parts
+    # which documents of a class get one more: the first by a hash of id and text; large classes are ranked in parts
     ranked = sized.join(plan, ["cell", "size"])
-    ranked = ranked.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("n") / RANKED_ROWS)))
+    ranked = ranked.withColumn("part", F.pmod(F.xxhash64("doc_id", "print"), F.ceil(F.col("n") / RANKED_ROWS)))
     parts = ranked.where("more > 0").groupBy("cell", "size", "part").agg(F.count("*").alias("in_part"))
     before = parts.withColumn("before", F.sum("in_part").over(
         Window.partitionBy("cell", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     split = ranked.where("more = 0").withColumn("nth", F.lit(1).cast("long"))
-    nth = F.row_number().over(Window.partitionBy("cell", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "row"))
+    nth = F.row_number().over(Window.partitionBy("cell", "size", "part").orderBy(F.xxhash64("doc_id", "print"), "doc_id", "print", "row"))
     chosen = (ranked.where("more > 0").withColumn("nth", nth).join(before.drop("in_part"), ["cell", "size", "part"])
               .withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0))).drop("before"))
     copies = F.col("each") + (F.col("nth") <= F.col("more")).cast("long")
