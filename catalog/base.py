@@ -26,8 +26,20 @@ _CONTRACT = ("data", "mes_ref", "cliente_id", "produto", "canal", "regional", "q
 
 
 def _scan(spark, d):
-    v = vendas(spark, d, *_CONTRACT)
-    return v.withColumns({"receita": F.col("receita").cast("double"), "desconto_pct": F.col("desconto_pct").cast("double")})
+    """The extract as CSV files with the columns in another order, read back by name."""
+    v = vendas(spark, d, *reversed(_CONTRACT)).withColumnRenamed("cliente_id", "CLIENTE_ID")
+    back = R.scan_sales(spark, write_csv(v.withColumn("mes_ref", F.lit("-")), _scratch(spark)), "csv")
+    return back.select(*_CONTRACT).withColumns({
+        "quantidade": F.col("quantidade").cast(dict(v.dtypes)["quantidade"]),
+        "receita": F.col("receita").cast("double"), "desconto_pct": F.col("desconto_pct").cast("double")})
+
+
+def _scan_targets(spark, d):
+    """The targets as parquet files in another order of columns, read back by name."""
+    m = T.metas(spark, d).select("meta_receita", "produto", "regional", "canal", "mes_ref")
+    path = _scratch(spark)
+    m.write.parquet(path)
+    return R.scan_targets(spark, path).select("mes_ref", "canal", "regional", "produto", M.as_double(F.col("meta_receita")).alias("meta_receita"))
 
 
 def _rename(spark, d):
@@ -158,7 +170,7 @@ SELECT data, mes_ref, cliente_id, produto, canal, regional, CAST(quantidade AS B
 SELECT mes_ref, COUNT(*) AS linhas, CAST(SUM(receita) AS DOUBLE) AS receita FROM vendas WHERE mes_ref BETWEEN '2001-04' AND '2001-06' GROUP BY 1""")),
     "write_results": Entry(_write_results, over_sales(select="SELECT cliente_id, CAST(SUM(receita) AS DOUBLE) AS receita FROM vendas GROUP BY 1")),
     "scan_targets": Entry(
-        lambda s, d: T.metas(s, d).select("mes_ref", "canal", "regional", "produto", M.as_double(F.col("meta_receita")).alias("meta_receita")),
+        _scan_targets,
         over_targets(select="SELECT mes_ref, canal, regional, produto, CAST(meta_receita AS DOUBLE) AS meta_receita FROM metas")),
     "rename_columns": Entry(_rename, "SELECT c_custkey AS cliente_id, c_mktsegment AS canal FROM customer"),
     "standardise": Entry(_standardise, """

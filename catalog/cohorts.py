@@ -12,8 +12,6 @@ from vendaflux.operators import insights as I
 from vendaflux.operators import lifecycle as L
 from vendaflux.plans.analyses import cohort_params
 
-MATRIX_MONTHS = 80  # the test tables span 80 months
-
 _FIRST = "f AS (SELECT cliente_id, MIN(mes) AS c FROM vendas GROUP BY 1)"
 _CELLS = """n AS (
   SELECT strftime(c, '%Y-%m') AS coorte, CAST(date_diff('month', c, mes) AS INTEGER) AS periodo_idx,
@@ -101,9 +99,10 @@ LEFT JOIN ret a3 ON a3.coorte = b.coorte AND a3.periodo_idx = 3""")),
 SELECT q.*, b.clientes_ativos AS clientes_base, round_even(CAST(q.clientes_ativos AS DOUBLE) / b.clientes_ativos, 4) AS retencao
 FROM q LEFT JOIN q b ON b.canal = q.canal AND b.coorte = q.coorte AND b.periodo_idx = 0""")),
     "retention_matrix": Entry(
-        lambda s, d: C.retention_matrix(C.cohort_retention(_sales(s, d)), MATRIX_MONTHS - 1),
-        _cohort_sql("SELECT coorte, " + ", ".join(
-            f"MAX(retencao) FILTER (periodo_idx = {k}) AS m{k}" for k in range(MATRIX_MONTHS)) + " FROM ret GROUP BY coorte")),
+        lambda s, d: C.retention_matrix(C.cohort_retention(_sales(s, d))),
+        _cohort_sql("SELECT * FROM (PIVOT largura ON mes USING MAX(retencao)) WHERE coorte IS NOT NULL", """largura AS (
+  SELECT coorte, 'm' || periodo_idx AS mes, retencao FROM ret
+  UNION ALL SELECT NULL, 'm' || k, NULL FROM (SELECT unnest(generate_series(0, (SELECT MAX(periodo_idx) FROM ret))) AS k))""")),
     "retention_heatmap_points": Entry(
         lambda s, d: C.retention_heatmap_points(C.cohort_retention(_sales(s, d))),
         _cohort_sql("SELECT coorte, periodo_idx, retencao FROM ret")),

@@ -33,14 +33,12 @@ def _products(spark, d):
     return vendas(spark, d, "data", "produto", "receita")
 
 
-def _discounts(spark, d):
-    """Confirmed billings of one year."""
-    v = vendas(spark, d, "cliente_id", "canal", "data", "receita", "valor_tabela", "status_faturamento")
-    return X.horizon(X.effective_only(v), AS_OF, 12)
+def _billed(spark, d):
+    return vendas(spark, d, "cliente_id", "canal", "data", "receita", "valor_tabela", "status_faturamento")
 
 
 def _pairs(spark, d):
-    return H.client_discount_ticket(_discounts(spark, d))
+    return H.client_discount_ticket(_billed(spark, d), as_of=AS_OF)
 
 
 def _delta(spark, d):
@@ -48,7 +46,7 @@ def _delta(spark, d):
 
 
 def _all(spark, d):
-    return vendas(spark, d, "cliente_id", "canal", "data", "produto", "receita", "valor_tabela")
+    return vendas(spark, d, "cliente_id", "canal", "data", "produto", "receita", "valor_tabela", "status_faturamento")
 
 
 QUERIES = {
@@ -92,7 +90,7 @@ SELECT n, r, {_LABEL} AS interpretacao FROM (SELECT COUNT(*) AS n, round(corr(de
         over_sales(_pairs_cte(_YEAR), select="""
 SELECT round(regr_slope(ticket_medio, desconto_medio), 4) AS inclinacao, round(regr_intercept(ticket_medio, desconto_medio), 4) AS intercepto FROM pares""")),
     "discount_correlation": Entry(
-        lambda s, d: H.discount_correlation(_discounts(s, d)),
+        lambda s, d: H.discount_correlation(_billed(s, d), as_of=AS_OF),
         over_sales(_pairs_cte(_YEAR), select=f"""
 SELECT n, r, inclinacao, intercepto, {_LABEL} AS interpretacao
 FROM (SELECT COUNT(*) AS n, round(corr(desconto_medio, ticket_medio), 6) AS r, round(regr_slope(ticket_medio, desconto_medio), 4) AS inclinacao,
@@ -109,8 +107,8 @@ SELECT 'janela_recente' AS parametro, strftime(MIN(mes) FILTER (ordem <= 2), '%Y
 UNION ALL SELECT 'janela_anterior', strftime(MIN(mes) FILTER (ordem > 2), '%Y-%m') || ' a ' || strftime(MAX(mes) FILTER (ordem > 2), '%Y-%m') FROM m
 UNION ALL SELECT 'metodo_delta', 'média mensal' UNION ALL SELECT 'metodo_correlacao', 'Pearson'""")),
     "insights_adhoc": Entry(
-        lambda s, d: I.insights_adhoc(_all(s, d)),
-        over_sales(_DELTA, _pairs_cte("TRUE"), select=f"""
+        lambda s, d: I.insights_adhoc(_all(s, d), AS_OF),
+        over_sales(_DELTA, _pairs_cte(_YEAR), select=f"""
 SELECT 'queda' AS topico, CAST(row_number() OVER (ORDER BY delta, produto) AS VARCHAR) AS chave, delta AS valor, produto AS texto
 FROM (SELECT * FROM delta WHERE delta < 0 ORDER BY delta, produto LIMIT 10)
 UNION ALL SELECT 'correlacao', 'r', r, {_LABEL} FROM (SELECT round(corr(desconto_medio, ticket_medio), 6) AS r FROM pares)""")),

@@ -72,6 +72,11 @@ def _v(spark, d):
     return vendas(spark, d, "data", "canal", "regional", "produto", "receita")
 
 
+def _totals(spark, d):
+    """Date and revenue only: no dimension is joined."""
+    return vendas(spark, d, "data", "receita")
+
+
 def _cv(spark, d):
     return vendas(spark, d, "data", "canal", "cliente_id", "receita")
 
@@ -117,7 +122,7 @@ SELECT mes AS data, canal, regional, produto, CAST(SUM(receita) AS DOUBLE) AS re
 SELECT mes_ref, canal, regional, produto, CAST(SUM(receita) AS DOUBLE) AS realizado, COUNT(DISTINCT cliente_id) AS clientes_ativos,
        (CAST(SUM(receita) AS DOUBLE) / COUNT(*)) AS ticket_medio
 FROM vendas WHERE receita > 0 AND status_faturamento = 'Efetivado' AND data >= DATE '1999-08-01' GROUP BY 1, 2, 3, 4""")),
-    "gap_monthly": Entry(lambda s, d: G.gap_monthly(_v(s, d), metas(s, d)), over_targets(_MONTHLY, select="SELECT * FROM mensal")),
+    "gap_monthly": Entry(lambda s, d: G.gap_monthly(_totals(s, d), metas(s, d)), over_targets(_MONTHLY, select="SELECT * FROM mensal")),
     "J_month_inner": Entry(
         lambda s, d: G.monthly_realised(vendas(s, d, "data", "receita")).join(G.monthly_target(metas(s, d)), "mes_ref"),
         over_targets(_MONTHLY, select="SELECT mes_ref, realizado, meta FROM mensal")),
@@ -129,12 +134,12 @@ FROM vendas WHERE receita > 0 AND status_faturamento = 'Efetivado' AND data >= D
     "gap_status": Entry(
         lambda s, d: _detail(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("celulas")),
         _det_sql("SELECT status, COUNT(*) AS celulas FROM det GROUP BY 1")),
-    "status_counts": Entry(lambda s, d: G.status_counts(G.gap_monthly(_v(s, d), metas(s, d))),
+    "status_counts": Entry(lambda s, d: G.status_counts(G.gap_monthly(_totals(s, d), metas(s, d))),
                            over_targets(_MONTHLY, select="SELECT status, COUNT(*) AS meses FROM mensal GROUP BY 1")),
-    "status_filter": Entry(lambda s, d: X.status_filter(G.gap_monthly(_v(s, d), metas(s, d)), "Abaixo").select("mes_ref", "gap"),
+    "status_filter": Entry(lambda s, d: X.status_filter(G.gap_monthly(_totals(s, d), metas(s, d)), "Abaixo").select("mes_ref", "gap"),
                            over_targets(_MONTHLY, select="SELECT mes_ref, gap FROM mensal WHERE status = 'Abaixo'")),
     "gap_series_points": Entry(
-        lambda s, d: G.gap_series_points(G.gap_monthly(_v(s, d), metas(s, d))),
+        lambda s, d: G.gap_series_points(G.gap_monthly(_totals(s, d), metas(s, d))),
         over_targets(_MONTHLY, select="SELECT mes_ref, realizado, meta, CASE WHEN gap >= 0 THEN 'positivo' ELSE 'negativo' END AS sinal FROM mensal")),
     "gap_drivers_product": Entry(lambda s, d: G.gap_drivers(_detail(s, d), "produto"),
                                  _det_sql("SELECT produto, COALESCE(CAST(SUM(gx) AS DOUBLE), 0) AS gap FROM det GROUP BY 1")),
@@ -152,22 +157,24 @@ FROM vendas WHERE receita > 0 AND status_faturamento = 'Efetivado' AND data >= D
         _det_sql("""SELECT mes_ref, canal, CAST(SUM(gx) AS DOUBLE) AS gap, CAST(SUM(SUM(gx)) OVER (ORDER BY canal) AS DOUBLE) AS gap_acumulado
 FROM det WHERE mes_ref = '2001-07' AND gx IS NOT NULL GROUP BY 1, 2""")),
     "gap_grouping_sets": Entry(
-        lambda s, d: G.gap_grouping_sets(_detail(s, d)),
-        _det_sql("""
+        lambda s, d: G.gap_grouping_sets(_v(s, d), metas(s, d)),
+        over_targets(
+            """u AS (SELECT mes_ref, canal, regional, produto, CAST(receita AS DECIMAL(28,4)) AS r, CAST(NULL AS DECIMAL(28,4)) AS m FROM vendas
+UNION ALL SELECT mes_ref, canal, regional, produto, NULL, meta_receita FROM metas)""",
+            """gs AS (SELECT 'mes' AS nivel, mes_ref, NULL AS canal, NULL AS regional, NULL AS produto, COALESCE(SUM(r), 0) AS rx, SUM(m) AS mx FROM u GROUP BY mes_ref
+UNION ALL SELECT 'canal', mes_ref, canal, NULL, NULL, COALESCE(SUM(r), 0), SUM(m) FROM u GROUP BY mes_ref, canal
+UNION ALL SELECT 'regional', mes_ref, NULL, regional, NULL, COALESCE(SUM(r), 0), SUM(m) FROM u GROUP BY mes_ref, regional
+UNION ALL SELECT 'produto', mes_ref, NULL, NULL, produto, COALESCE(SUM(r), 0), SUM(m) FROM u GROUP BY mes_ref, produto)""", select="""
 SELECT nivel, mes_ref, canal, regional, produto, CAST(rx AS DOUBLE) AS realizado, CAST(mx AS DOUBLE) AS meta, CAST(rx - mx AS DOUBLE) AS gap,
        round_even(CASE WHEN mx <> 0 THEN CAST(rx - mx AS DOUBLE) / CAST(mx AS DOUBLE) END, 4) AS gap_pct,
-       CASE WHEN gap_pct > 0.02::DOUBLE THEN 'Acima' WHEN gap_pct < -0.02::DOUBLE THEN 'Abaixo' ELSE 'Na Meta' END AS status FROM gs""",
-            """gs AS (SELECT 'mes' AS nivel, mes_ref, NULL AS canal, NULL AS regional, NULL AS produto, SUM(rx) AS rx, SUM(COALESCE(mx, 0)) AS mx FROM det GROUP BY mes_ref
-UNION ALL SELECT 'canal', mes_ref, canal, NULL, NULL, SUM(rx), SUM(COALESCE(mx, 0)) FROM det GROUP BY mes_ref, canal
-UNION ALL SELECT 'regional', mes_ref, NULL, regional, NULL, SUM(rx), SUM(COALESCE(mx, 0)) FROM det GROUP BY mes_ref, regional
-UNION ALL SELECT 'produto', mes_ref, NULL, NULL, produto, SUM(rx), SUM(COALESCE(mx, 0)) FROM det GROUP BY mes_ref, produto)""")),
+       CASE WHEN mx IS NULL THEN NULL WHEN gap_pct > 0.02::DOUBLE THEN 'Acima' WHEN gap_pct < -0.02::DOUBLE THEN 'Abaixo' ELSE 'Na Meta' END AS status FROM gs""")),
     "target_by_channel": Entry(
         lambda s, d: G.target_by_channel(metas(s, d).filter(F.col("mes") >= F.lit(date(2000, 8, 1)))),
         over_targets(select="""
 SELECT canal, COUNT(DISTINCT mes_ref) AS meses, CAST(SUM(meta_receita) AS DOUBLE) AS meta_total, (CAST(SUM(meta_receita) AS DOUBLE) / COUNT(*)) AS meta_media_mensal
 FROM metas WHERE mes >= DATE '2000-08-01' GROUP BY 1""")),
     "month_coverage": Entry(
-        lambda s, d: G.month_coverage(X.horizon(_v(s, d).filter("receita > 0"), AS_OF, 24), metas(s, d).filter("meta_receita > 0")),
+        lambda s, d: G.month_coverage(X.horizon(_totals(s, d).filter("receita > 0"), AS_OF, 24), metas(s, d).filter("meta_receita > 0")),
         over_targets(select="""
 SELECT 'realizado' AS fonte, mes_ref AS mes, COUNT(*) AS registros FROM vendas WHERE receita > 0 AND data >= DATE '1999-08-01' GROUP BY 2
 UNION ALL SELECT 'forecast', mes_ref, COUNT(*) FROM metas WHERE meta_receita > 0 GROUP BY 2""")),

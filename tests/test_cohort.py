@@ -1,6 +1,8 @@
 from datetime import date
 from decimal import Decimal
 
+import pytest
+
 from conftest import by_key, rows
 from vendaflux.operators import cohort as C
 
@@ -32,10 +34,18 @@ def test_summary_and_matrix(spark):
     m = C.retention_matrix(C.cohort_retention(v))
     assert m.columns == ["coorte", "m0", "m1", "m2", "m3"]
     assert by_key(m, "coorte")["2023-03"] == {"coorte": "2023-03", "m0": 1.0, "m1": None, "m2": 1.0, "m3": None}
+    assert C.retention_matrix(C.cohort_retention(v), 5).columns == ["coorte", *[f"m{k}" for k in range(6)]]
+    with pytest.raises(ValueError, match="drop life months"):
+        C.retention_matrix(C.cohort_retention(v), 2)
     assert rows(C.cohort_averages(C.cohort_summary(v))) == [(1, 0.72, 0.58, 0.51)]
     assert rows(C.max_life_month(v)) == [(3, 2)]
 
 
+def test_matrix_of_a_long_history(spark):
+    v = spark.createDataFrame([(1, date(2000 + k // 12, k % 12 + 1, 3), Decimal(1)) for k in range(100)], SCHEMA)
+    assert C.retention_matrix(C.cohort_retention(v)).columns[-1] == "m99"
+
+
 def test_channel_keeps_the_global_cohort(spark):
     v = spark.createDataFrame([(1, date(2023, 1, 5), Decimal(1), "A"), (1, date(2023, 2, 5), Decimal(1), "B")], SCHEMA + ", canal string")
     assert rows(C.cohort_by_channel(v)) == [("A", "2023-01", 0, 1, 1, 1.0), ("B", "2023-01", 1, 1, None, None)]

@@ -49,12 +49,24 @@ def test_forecast_column_comes_along(spark):
 def test_grouping_sets(spark):
     v = sales(spark, (JAN, "X", 1, 50), (JAN, "Y", 1, 70))
     m = targets(spark, ("2024-01", "X", 100), ("2024-01", "Y", 60))
-    got = {(r.nivel, r.canal, r.produto): (r.realizado, r.gap, r.status) for r in G.gap_grouping_sets(G.gap_detail(v, m)).collect()}
+    got = {(r.nivel, r.canal, r.produto): (r.realizado, r.gap, r.status) for r in G.gap_grouping_sets(v, m).collect()}
     assert got == {("mes", None, None): (120.0, -40.0, "Abaixo"), ("canal", "X", None): (50.0, -50.0, "Abaixo"),
                    ("canal", "Y", None): (70.0, 10.0, "Acima"), ("regional", None, None): (120.0, -40.0, "Abaixo"),
                    ("produto", None, "P"): (120.0, -40.0, "Abaixo")}
 
 
+def test_grouping_sets_keep_both_sides(spark):
+    """A target without sales, sales without a target, a target key that occurs twice."""
+    v = sales(spark, (JAN, "X", 1, 50), (FEB, "Z", 1, 7))
+    m = targets(spark, ("2024-01", "X", 20), ("2024-01", "X", 20), ("2024-01", "W", 60))
+    got = {(r.nivel, r.mes_ref, r.canal): (r.realizado, r.meta, r.gap, r.status) for r in G.gap_grouping_sets(v, m).filter("nivel in ('mes', 'canal')").collect()}
+    assert got == {("mes", "2024-01", None): (50.0, 100.0, -50.0, "Abaixo"), ("mes", "2024-02", None): (7.0, None, None, None),
+                   ("canal", "2024-01", "X"): (50.0, 40.0, 10.0, "Acima"), ("canal", "2024-01", "W"): (0.0, 60.0, -60.0, "Abaixo"),
+                   ("canal", "2024-02", "Z"): (7.0, None, None, None)}
+    monthly = {r.mes_ref: (r.realizado, r.meta, r.gap, r.status) for r in G.gap_monthly(v, m).collect()}
+    assert all(got["mes", k, None] == x for k, x in monthly.items()) and monthly
+
+
 def test_worked_decomposition(spark):
     """100 clients at 1000 become 95 at 980: -5000, -2000, +100, together -6900."""
     v = sales(spark, *[(JAN, "X", i, 1000) for i in range(100)], *[(FEB, "X", i, 980) for i in range(95)])

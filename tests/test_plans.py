@@ -68,7 +68,8 @@ def test_analyses_write_their_tables(spark, tmp_path):
         assert {"resumo", "detalhe", "parametros"} <= set(tables)
         for path in write_results(tables, str(tmp_path / name)).values():
             assert spark.read.parquet(path).columns
-    assert "correlacao" not in runs["adhoc"]  # no list price in this table
+    assert {"correlacao", "dispersao", "entrada"} <= set(runs["adhoc"])  # the discount is given as such
+    assert "correlacao" not in (bare := analyses.run_adhoc(v.drop("desconto_pct"))) and "entrada" in bare
     bad = [r.regra for r in runs["gap"]["saida"].collect() if not r.ok]
     assert bad == []
     v.unpersist()

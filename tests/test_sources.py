@@ -24,6 +24,19 @@ def test_csv_round_trip(spark, tmp_path):
     assert rows(R.scan_targets(spark, str(tmp_path / "metas"))) == rows(m)
 
 
+def test_files_are_read_by_column_name(spark, tmp_path):
+    text = [" Cliente_ID ,extra,DATA,receita,canal", "7,x,2024-02-03,12.5,A", "8,y,n/a,, "]
+    (tmp_path / "v.csv").write_text("\n".join(text))
+    v = R.scan_sales(spark, str(tmp_path / "v.csv"))
+    assert rows(v.select("cliente_id", "extra", "data", "receita", "canal", "mes_ref")) == sorted([
+        (7, "x", date(2024, 2, 3), Decimal("12.5000"), "A", "2024-02"), (8, "y", None, None, None, None)], key=str)
+    assert S.column_set_diff(v, ("produto", "data", "receita")) == {"produto"}
+    with pytest.raises(ValueError, match="produto"):
+        S.require_columns(v, ("produto",))
+    spark.createDataFrame([(5.25, 3)], "RECEITA double, cliente_id int").write.parquet(str(tmp_path / "p"))
+    assert dict(R.scan_sales(spark, str(tmp_path / "p")).dtypes) == {"receita": "decimal(18,4)", "cliente_id": "bigint"}
+
+
 def test_month_layout_prunes(spark, tmp_path):
     v = synth.synth_sales(spark, 500, 20)
     path = W.write_by_month(v, str(tmp_path / "m"))

@@ -12,6 +12,7 @@ Under ``spark-submit`` the master and the sizes come from the cluster.
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from vendaflux.functions import values as V
 from vendaflux.plans import analyses
@@ -31,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--clients", type=int, default=V.SYNTH_CLIENTS)
     p.add_argument("--seed", type=int, default=V.SYNTH_SEED)
     p.add_argument("--master")
+    p.add_argument("--as-of", type=date.fromisoformat, help="date of the lifecycle and discount tables")
+    p.add_argument("--recurring", action="append", help="a recurring product; may be repeated")
     return p
 
 
@@ -44,7 +47,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     if a.analysis == "targets":
         tables = analyses.run_gap(sales, readers.scan_targets(spark, a.targets, a.input_format))
     else:
-        tables = {"cohort": analyses.run_cohort, "pareto": analyses.run_pareto, "adhoc": analyses.run_adhoc}[a.analysis](sales)
+        tables = {"cohort": lambda: analyses.run_cohort(sales, a.as_of, a.recurring), "pareto": lambda: analyses.run_pareto(sales),
+                  "adhoc": lambda: analyses.run_adhoc(sales, a.as_of)}[a.analysis]()
     return writers.write_results(tables, a.out, a.format)
 
 

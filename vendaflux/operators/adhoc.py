@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vendaflux.functions import measures as M
 from vendaflux.functions import values as V
 from vendaflux.functions.months import month_key, month_start
+from vendaflux.operators.filters import effective_only, horizon
 
 
 def product_month(v: DataFrame) -> DataFrame:
@@ -107,11 +108,29 @@ def seasonality_index(v: DataFrame) -> DataFrame:
                       (mean / overall).alias("indice"))
 
 
-def client_discount_ticket(v: DataFrame, min_tx: int = V.MIN_TRANSACTIONS) -> DataFrame:
-    """Mean ticket and mean discount per client and channel with at least ``min_tx`` billings."""
-    per = v.groupBy("cliente_id", "canal").agg(
-        F.sum("receita").alias("_r"), F.count(F.lit(1)).alias("transacoes"),
-        F.avg(M.discount_pct(F.col("valor_tabela"), F.col("receita"))).alias("_d"),
+def has_discount(v: DataFrame) -> bool:
+    """Whether a discount is given (``desconto_pct``) or follows from a list price (``valor_tabela``)."""
+    return bool({"desconto_pct", "valor_tabela"} & set(v.columns))
+
+
+def discount_scope(v: DataFrame, as_of: date | None, months: int = 12) -> DataFrame:
+    """Confirmed billings of the ``months`` before ``as_of``; without a date or a status column that test is left out."""
+    if "status_faturamento" in v.columns:
+        v = effective_only(v)
+    return v if as_of is None else horizon(v, as_of, months)
+
+
+def client_discount_ticket(v: DataFrame, min_tx: int = V.MIN_TRANSACTIONS, as_of: date | None = None) -> DataFrame:
+    """Mean ticket and mean discount per client and channel with at least ``min_tx`` billings.
+
+    The discount is ``desconto_pct`` where the table has it, else what the list price leaves.
+    """
+    if "desconto_pct" in v.columns:
+        discount = F.col("desconto_pct").cast("double")
+    else:
+        discount = M.discount_pct(F.col("valor_tabela"), F.col("receita"))
+    per = discount_scope(v, as_of).groupBy("cliente_id", "canal").agg(
+        F.sum("receita").alias("_r"), F.count(F.lit(1)).alias("transacoes"), F.avg(discount).alias("_d"),
     )
     return per.filter(F.col("transacoes") >= min_tx).select(
         "cliente_id", "canal", M.ratio(F.col("_r"), F.col("transacoes")).alias("ticket_medio"),
@@ -138,11 +157,11 @@ def trend_line(pairs: DataFrame) -> DataFrame:
     )
 
 
-def discount_correlation(v: DataFrame, min_tx: int = V.MIN_TRANSACTIONS) -> DataFrame | None:
-    """r, line, n and reading in one pass; None when the table has no list price."""
-    if "valor_tabela" not in v.columns:
+def discount_correlation(v: DataFrame, min_tx: int = V.MIN_TRANSACTIONS, as_of: date | None = None) -> DataFrame | None:
+    """r, line, n and reading in one pass; None when the table has neither a discount nor a list price."""
+    if not has_discount(v):
         return None
-    pairs = client_discount_ticket(v, min_tx)
+    pairs = client_discount_ticket(v, min_tx, as_of)
     return pairs.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.corr("desconto_medio", "ticket_medio"), 6).alias("r"),
         F.round(F.regr_slope("ticket_medio", "desconto_medio"), 4).alias("inclinacao"),

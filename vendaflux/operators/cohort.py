@@ -114,12 +114,12 @@ def retention_matrix(retention: DataFrame, max_k: int | None = None,
                      by: Sequence[str] = ()) -> DataFrame:
     """Cohorts as rows, life months as columns m0, m1, ...; absent cells are NULL.
 
-    The column list is always explicit.  Without ``max_k`` one small job reads
-    the widest life month.
+    One small job reads the widest life month; ``max_k`` may ask for more columns, never for fewer.
     """
-    if max_k is None:
-        max_k = retention.agg(F.max("periodo_idx")).first()[0] or 0
-    values = list(range(max_k + 1))
+    widest = retention.agg(F.max("periodo_idx")).first()[0] or 0
+    if max_k is not None and max_k < widest:
+        raise ValueError(f"max_k {max_k} would drop life months up to {widest}")
+    values = list(range(max(widest, max_k or 0) + 1))
     wide = retention.groupBy(*by, "coorte").pivot("periodo_idx", values).agg(F.first("retencao"))
     return wide.withColumnsRenamed({str(k): f"m{k}" for k in values})
 

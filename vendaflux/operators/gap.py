@@ -115,26 +115,28 @@ def gap_waterfall(detail: DataFrame, month: str) -> DataFrame:
                       M.as_double(F.sum("_g").over(w)).alias("gap_acumulado"))
 
 
-def gap_grouping_sets(detail: DataFrame, tolerance: float = V.GAP_TOLERANCE) -> DataFrame:
-    """The gap by month, and by month with each dimension, from one pass over the cells.
+def gap_grouping_sets(v: DataFrame, m: DataFrame, tolerance: float = V.GAP_TOLERANCE) -> DataFrame:
+    """The gap by month, and by month with each dimension, from sales and targets apart.
 
-    ``nivel`` names the level; the columns of the other dimensions are NULL.
+    Neither side loses rows of the other: without sales 0 is realised, without a target the target, gap and status are
+    NULL.  ``nivel`` names the level; the columns of the other dimensions are NULL.
     """
-    d = detail.select(
-        *V.TARGET_KEYS, F.col("realizado").cast("decimal(28,4)").alias("_r"),
-        F.coalesce(F.col("meta_receita"), F.lit(0.0)).cast("decimal(28,4)").alias("_m"))
+    none = F.lit(None).cast("decimal(28,4)")
+    real = _by_month(v, DIMS, F.sum("receita").cast("decimal(28,4)").alias("_r")).select(*V.TARGET_KEYS, "_r", none.alias("_m"))
+    goal = m.groupBy(*V.TARGET_KEYS).agg(F.sum("meta_receita").cast("decimal(28,4)").alias("_m")).select(
+        *V.TARGET_KEYS, none.alias("_r"), "_m")
     month = F.col("mes_ref")
     sets = [[month], *[[month, F.col(x)] for x in DIMS]]
     level = F.lit("mes")
     for x in DIMS:
         level = F.when(F.grouping(x) == 0, x).otherwise(level)
-    grouped = d.groupingSets(sets, month, *[F.col(x) for x in DIMS]).agg(
-        level.alias("nivel"), F.sum("_r").alias("_r"), F.sum("_m").alias("_m"))
+    grouped = real.unionByName(goal).groupingSets(sets, month, *[F.col(x) for x in DIMS]).agg(
+        level.alias("nivel"), F.coalesce(F.sum("_r"), F.lit(0)).alias("_r"), F.sum("_m").alias("_m"))
     gap = F.col("_r") - F.col("_m")
     return grouped.select(
         "nivel", *V.TARGET_KEYS, M.as_double(F.col("_r")).alias("realizado"), M.as_double(F.col("_m")).alias("meta"),
         M.as_double(gap).alias("gap"), M.half_even(M.ratio(gap, F.col("_m")), 4).alias("gap_pct"),
-    ).withColumn("status", M.gap_status(F.col("gap_pct"), tolerance))
+    ).withColumn("status", F.when(F.col("meta").isNotNull(), M.gap_status(F.col("gap_pct"), tolerance)))
 
 
 def target_by_channel(m: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,14 +59,14 @@ def insights_abc(abc: DataFrame) -> DataFrame:
         _fact("classe_C", "pct_receita", share("r_C", total)))
 
 
-def insights_adhoc(v: DataFrame) -> DataFrame:
-    """Products in decline, worst first, and the reading of the discount correlation."""
+def insights_adhoc(v: DataFrame, as_of: date | None = None) -> DataFrame:
+    """Products in decline, worst first, and the reading of the discount correlation (in the scope of ``as_of``)."""
     falls = top_declines(product_delta(v))
     pos = F.row_number().over(Window.orderBy("delta", "produto"))  # at most ten rows
     falls = falls.withColumn("_pos", pos).select(
         F.lit("queda").alias("topico"), F.col("_pos").cast("string").alias("chave"),
         F.col("delta").alias("valor"), F.col("produto").alias("texto"))
-    corr = discount_correlation(v)
+    corr = discount_correlation(v, as_of=as_of)
     if corr is None:
         return falls
     return _union(falls, _facts(corr, _fact("correlacao", "r", F.col("r"), F.col("interpretacao"))))

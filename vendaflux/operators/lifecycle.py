@@ -14,9 +14,10 @@ when there is none yet, from the month before the first purchase.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendaflux.functions import measures as M
@@ -24,16 +25,18 @@ from vendaflux.functions import values as V
 from vendaflux.functions.months import month_diff, month_key, month_start
 
 
-def client_months(v: DataFrame, by: str | None = None) -> DataFrame:
+def client_months(v: DataFrame, by: str | None = None, recurring: Sequence[str] | None = None) -> DataFrame:
     """One row per client and billed month, with a recurring flag (and the channel, if asked).
 
     A client seen in several channels in a month keeps the alphabetically first.
     The channel is a grouping key and not ``min(channel)``: a text minimum would
     make Spark sort the raw rows instead of hashing them.
+
+    ``recurring`` names the recurring products; without it the table must say so in ``tipo_produto``.
     """
     keys = [by] if by else []
-    recurring = F.max((F.col("tipo_produto") == V.PRODUCT_RECURRING).cast("int"))
-    cells = v.groupBy("cliente_id", month_start("data").alias("_mes"), *keys).agg(recurring.alias("_recorrente"))
+    is_recurring = F.col("tipo_produto") == V.PRODUCT_RECURRING if recurring is None else F.coalesce(F.col("produto").isin(*recurring), F.lit(False))
+    cells = v.groupBy("cliente_id", month_start("data").alias("_mes"), *keys).agg(F.max(is_recurring.cast("int")).alias("_recorrente"))
     if not by:
         return cells
     # one exchange on the client serves this window and the later ones
@@ -44,16 +47,16 @@ def client_months(v: DataFrame, by: str | None = None) -> DataFrame:
     }).filter(F.col("_pos") == 1).drop("_pos")
 
 
-def gap_months(v: DataFrame) -> DataFrame:
+def gap_months(v: DataFrame, recurring: Sequence[str] | None = None) -> DataFrame:
     """Empty months before each recurring billing month of a client (NULL for the first)."""
     w = Window.partitionBy("cliente_id").orderBy("_mes")
-    return client_months(v).filter("_recorrente = 1").select(
+    return client_months(v, recurring=recurring).filter("_recorrente = 1").select(
         "cliente_id", month_key("_mes").alias("mes_ref"),
         (month_diff(F.lag("_mes").over(w), F.col("_mes")) - 1).cast("int").alias("meses_sem_recorrente"),
     )
 
 
-def _segments(v: DataFrame, as_of: date, by: str | None = None) -> DataFrame:
+def _segments(v: DataFrame, as_of: date, by: str | None = None, recurring: Sequence[str] | None = None) -> DataFrame:
     """Billed months with the last recurring month before, and the first month of the next billing.
 
     A client has at most one row per month here, so the window is small for any client.
@@ -62,7 +65,7 @@ def _segments(v: DataFrame, as_of: date, by: str | None = None) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     recurring_month = F.when(F.col("_recorrente") == 1, F.col("_mes"))
     start = F.min("_mes").over(Window.partitionBy("cliente_id"))
-    rows = client_months(v, by).filter(F.col("_mes") <= F.lit(as_of))
+    rows = client_months(v, by, recurring).filter(F.col("_mes") <= F.lit(as_of))
     if by:
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.withColumn(by, F.last(by).over(whole))
@@ -73,6 +76,22 @@ def _segments(v: DataFrame, as_of: date, by: str | None = None) -> DataFrame:
     })
 
 
+def _last_recurring() -> Column:
+    return F.when(F.col("_recorrente") == 1, F.col("_mes")).otherwise(F.col("_ultimo"))
+
+
+def _status_at(m: Column) -> Column:
+    """Status of a segment in month ``m``."""
+    billed = (m == F.col("_mes")) & (F.col("_recorrente") == 1)
+    return (
+        F.when(billed & (month_diff(F.col("_ultimo"), m) - 1 >= V.LOST_AFTER_MONTHS), V.LIFE_BACK)
+        .when(billed, V.LIFE_ACTIVE)
+        .when(month_diff(F.col("_mes"), m) >= V.DORMANT_AFTER_MONTHS, V.LIFE_DORMANT)
+        .when(month_diff(_last_recurring(), m) >= V.LOST_AFTER_MONTHS, V.LIFE_LOST)
+        .otherwise(V.LIFE_AT_RISK)
+    )
+
+
 def _status_rows(segments: DataFrame, keep: list[str]) -> DataFrame:
     """Expand each billed month to the months up to the next billing, and name the status.
 
@@ -80,65 +99,59 @@ def _status_rows(segments: DataFrame, keep: list[str]) -> DataFrame:
     """
     months = F.sequence("_mes", "_fim", F.expr("interval 1 month"))
     rows = segments.select(*keep, "_mes", "_recorrente", "_ultimo", "_entrada", F.explode(months).alias("_m"))
-    billed = (F.col("_m") == F.col("_mes")) & (F.col("_recorrente") == 1)
-    last = F.when(F.col("_recorrente") == 1, F.col("_mes")).otherwise(F.col("_ultimo"))
-    status = (
-        F.when(billed & (month_diff("_ultimo", "_m") - 1 >= V.LOST_AFTER_MONTHS), V.LIFE_BACK)
-        .when(billed, V.LIFE_ACTIVE)
-        .when(month_diff("_mes", "_m") >= V.DORMANT_AFTER_MONTHS, V.LIFE_DORMANT)
-        .when(month_diff(last, F.col("_m")) >= V.LOST_AFTER_MONTHS, V.LIFE_LOST)
-        .otherwise(V.LIFE_AT_RISK)
-    )
-    return rows.select(*keep, "_m", "_entrada", status.alias("status"))
+    return rows.select(*keep, "_m", "_entrada", _status_at(F.col("_m")).alias("status"))
 
 
-def lifecycle_status(v: DataFrame, as_of: date) -> DataFrame:
+def lifecycle_status(v: DataFrame, as_of: date, recurring: Sequence[str] | None = None) -> DataFrame:
     """One row per client and month with its status."""
-    return _status_rows(_segments(v, as_of), ["cliente_id"]).select(
+    return _status_rows(_segments(v, as_of, recurring=recurring), ["cliente_id"]).select(
         "cliente_id", month_key("_m").alias("mes_ref"), "status"
     )
 
 
-def lifecycle_counts(v: DataFrame, as_of: date) -> DataFrame:
+def lifecycle_counts(v: DataFrame, as_of: date, recurring: Sequence[str] | None = None) -> DataFrame:
     """Clients per month and status; the statuses of a month add up to the clients already entered."""
-    return _status_rows(_segments(v, as_of), []).groupBy("_m", "status").agg(
+    return _status_rows(_segments(v, as_of, recurring=recurring), []).groupBy("_m", "status").agg(
         F.count(F.lit(1)).alias("clientes")
     ).select(month_key("_m").alias("mes_ref"), "status", "clientes")
 
 
-def churn_by_channel(v: DataFrame, as_of: date, by: str = "canal") -> DataFrame:
+def churn_by_channel(v: DataFrame, as_of: date, by: str = "canal", recurring: Sequence[str] | None = None) -> DataFrame:
     """Share of clients whose status in the month of ``as_of`` is Lost or Inativo.
 
     The channel of a client is the one of its latest billed month.
     """
-    current = _status_rows(_segments(v, as_of, by), [by]).filter(F.col("_m") == F.trunc(F.lit(as_of), "month"))
+    now = F.trunc(F.lit(as_of), "month")  # only a client's last segment reaches it
+    current = _segments(v, as_of, by, recurring).filter(F.col("_fim") == now).select(by, _status_at(now).alias("status"))
     gone = F.count(F.when(F.col("status").isin(V.LIFE_LOST, V.LIFE_DORMANT), 1))
     return current.groupBy(by).agg(
         F.count(F.lit(1)).alias("clientes"), gone.alias("perdidos")
     ).withColumn("taxa_churn", M.ratio(F.col("perdidos"), F.col("clientes")))
 
 
-def time_to_lost(v: DataFrame, as_of: date, by: str = "canal") -> DataFrame:
-    """Mean months from first purchase to the first Lost month, over clients that reached it."""
-    first_lost = F.min(F.when(F.col("status") == V.LIFE_LOST, F.col("_m")))
-    per_client = _status_rows(_segments(v, as_of, by), ["cliente_id", by]).groupBy("cliente_id", by).agg(
-        first_lost.alias("_perda"), F.min("_entrada").alias("_entrada")
-    ).filter(F.col("_perda").isNotNull())
+def time_to_lost(v: DataFrame, as_of: date, by: str = "canal", recurring: Sequence[str] | None = None) -> DataFrame:
+    """Mean months from first purchase to the first Lost month, over clients that reached it.
+
+    A segment is Lost from the third month after the last recurring one, if it lasts until then.
+    """
+    lost = F.greatest(F.col("_mes"), F.add_months(_last_recurring(), V.LOST_AFTER_MONTHS))
+    per_client = _segments(v, as_of, by, recurring).withColumn("_perda", lost).filter(F.col("_perda") <= F.col("_fim")).groupBy(
+        "cliente_id", by).agg(F.min("_perda").alias("_perda"), F.min("_entrada").alias("_entrada"))
     return per_client.groupBy(by).agg(
         F.count(F.lit(1)).alias("clientes"),
         M.ratio(F.sum(month_diff("_entrada", "_perda")), F.count(F.lit(1))).alias("meses_ate_lost"),
     )
 
 
-def reactivations(v: DataFrame, as_of: date) -> DataFrame:
+def reactivations(v: DataFrame, as_of: date, recurring: Sequence[str] | None = None) -> DataFrame:
     """Returns to recurring billing after 3 or more empty months, by months away.
 
     ``taxa_reativacao`` is the share of all lapses (returned or not, within
     ``as_of``) that came back after exactly that many months.
     """
     w = Window.partitionBy("cliente_id").orderBy("_mes")
-    recurring = client_months(v).filter((F.col("_recorrente") == 1) & (F.col("_mes") <= F.lit(as_of)))
-    gaps = recurring.select(
+    billed = client_months(v, recurring=recurring).filter((F.col("_recorrente") == 1) & (F.col("_mes") <= F.lit(as_of)))
+    gaps = billed.select(
         F.lead("_mes").over(w).alias("_volta"), "_mes",
     ).select(
         F.col("_volta").isNotNull().alias("_voltou"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from vendaflux.functions import measures as M
 from vendaflux.functions import values as V
 from vendaflux.functions.months import month_diff, month_key, month_start
-from vendaflux.operators.adhoc import client_discount_ticket, latest_months, window_rows
+from vendaflux.operators.adhoc import client_discount_ticket, has_discount, latest_months, window_rows
 from vendaflux.operators.joins import keys_only_in_left
 from vendaflux.sources.schema import column_set_diff
 
@@ -80,11 +81,12 @@ def dq_pareto_input(v: DataFrame) -> DataFrame:
     return _input(v, V.REQUIRED_ABC, ("receita_negativa", F.col("receita") >= 0))
 
 
-def dq_adhoc_input(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.PRIOR_MONTHS) -> DataFrame:
+def dq_adhoc_input(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.PRIOR_MONTHS,
+                   as_of: date | None = None) -> DataFrame:
     """Columns, enough months, no negative revenue, no empty month in the windows, products in both
     windows, a possible correlation, and product deltas that add up to the total delta."""
     need = recent + prior
-    required = sorted({*V.REQUIRED_DECLINE, *V.REQUIRED_CORRELATION})
+    required = sorted({*V.REQUIRED_DECLINE, *V.REQUIRED_CORRELATION} - ({"desconto_pct"} if has_discount(v) else set()))
     months = latest_months(v, need)
     calendar = months.agg(F.count(F.lit(1)).alias("n"), (month_diff(F.min("_mes"), F.max("_mes")) + 1).alias("span"))
     rows = window_rows(v, recent, prior, None)
@@ -97,9 +99,11 @@ def dq_adhoc_input(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.P
         F.sum(rec / recent - ant / prior).alias("by_product"),
         (F.sum(rec) / recent - F.sum(ant) / prior).alias("overall"))
     negative = v.agg(_fails(F.col("receita") >= 0).alias("n"))
-    r = client_discount_ticket(v).agg(F.corr("desconto_medio", "ticket_medio").alias("r"))
+    possible = has_discount(v) and {"cliente_id", "canal"} <= set(v.columns)
+    r = client_discount_ticket(v, as_of=as_of).agg(F.corr("desconto_medio", "ticket_medio").alias("r")) if possible else None
+    corr = F.lit(None).cast("double") if r is None else r.scalar()
     one = deltas.select("*", calendar.select("n").scalar().alias("n"), calendar.select("span").scalar().alias("span"),
-                        negative.scalar().alias("negative"), r.scalar().alias("corr"))
+                        negative.scalar().alias("negative"), corr.alias("corr"))
     return _rows(one, {
         "colunas_ausentes": _missing(v, required),
         "meses_insuficientes": F.greatest(F.lit(need) - F.col("n"), F.lit(0)),

@@ -6,6 +6,7 @@ are chart points, checks and insights.  ``write_results`` stores them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from vendaflux.operators import cohort as C
 from vendaflux.operators import decompose as D
 from vendaflux.operators import gap as G
 from vendaflux.operators import insights as I
+from vendaflux.operators import lifecycle as L
 from vendaflux.operators import quality as Q
 from vendaflux.plans.materialise import materialise
 from vendaflux.sources.schema import require_columns
@@ -58,10 +60,16 @@ def gap_params(m: DataFrame, tolerance: float = V.GAP_TOLERANCE) -> DataFrame:
         F.lit(V.PARAM_GAP_METHOD).alias("metodo_decomposicao"), "linhas_meta"))
 
 
-def run_cohort(v: DataFrame) -> dict[str, DataFrame]:
+def run_cohort(v: DataFrame, as_of: date | None = None, recurring: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """With ``as_of``, and the recurring products or ``tipo_produto``, the lifecycle tables come too."""
     require_columns(v, V.REQUIRED_COHORT)
     retention, summary = C.cohort_retention(v), C.cohort_summary(v)
-    return {
+    life = {}
+    if as_of is not None and (recurring is not None or "tipo_produto" in v.columns):
+        life = {"ciclo": L.lifecycle_counts(v, as_of, recurring), "reativacoes": L.reactivations(v, as_of, recurring)}
+        if "canal" in v.columns:
+            life |= {"churn": L.churn_by_channel(v, as_of, recurring=recurring), "tempo_ate_lost": L.time_to_lost(v, as_of, recurring=recurring)}
+    return life | {
         "resumo": summary, "detalhe": C.retention_matrix(retention), "parametros": cohort_params(v),
         "grafico": C.retention_heatmap_points(retention), "insights": I.insights_cohort(summary),
         "entrada": Q.dq_cohort_input(v), "saida": Q.dq_cohort_output(retention, summary),
@@ -78,19 +86,18 @@ def run_pareto(v: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def run_adhoc(v: DataFrame) -> dict[str, DataFrame]:
-    """Without a list price or discount the second question is skipped, the first still runs."""
+def run_adhoc(v: DataFrame, as_of: date | None = None) -> dict[str, DataFrame]:
+    """Without a discount and a list price the second question is skipped, the first and the checks still run."""
     require_columns(v, V.REQUIRED_DECLINE)
     delta = H.product_delta(v)
     out = {
         "resumo": H.top_declines(delta), "detalhe": H.product_month_series(v), "parametros": adhoc_params(v),
-        "grafico": H.delta_bar_points(delta), "insights": I.insights_adhoc(v),
+        "grafico": H.delta_bar_points(delta), "insights": I.insights_adhoc(v, as_of), "entrada": Q.dq_adhoc_input(v, as_of=as_of),
     }
-    correlation = H.discount_correlation(v)
+    correlation = H.discount_correlation(v, as_of=as_of)
     if correlation is not None:
         out["correlacao"] = correlation
-        out["dispersao"] = H.scatter_points(H.client_discount_ticket(v))
-        out["entrada"] = Q.dq_adhoc_input(v)
+        out["dispersao"] = H.scatter_points(H.client_discount_ticket(v, as_of=as_of))
     return out
 
 

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
-
-    A machine-local folder is chosen only when the session runs in local mode
-    and names none; on a cluster a missing setting is an error, because
-    executors could not read each other's files.
-    """
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which is shared too."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        if not configured:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="vendaflux-")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 

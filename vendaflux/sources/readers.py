@@ -12,17 +12,35 @@ from vendaflux.functions.months import month_key
 from vendaflux.sources import schema as S
 
 
+def conform(df: DataFrame, fields: T.StructType) -> DataFrame:
+    """Columns of the contract by name, in any order and case, with its types; others are kept, missing ones stay missing.
+
+    A value that cannot be cast becomes NULL, it does not fail the job.
+    """
+    types = {f.name: f.dataType for f in fields.fields}
+
+    def clean(c: str) -> Column:
+        name = c.strip().lower()
+        if name not in types:
+            return F.col(f"`{c}`")
+        value = F.col(f"`{c}`")
+        if dict(df.dtypes)[c] == "string":
+            value = F.nullif(F.trim(value), F.lit(""))
+        return value.try_cast(types[name]).alias(name)
+
+    return df.select(*[clean(c) for c in df.columns])
+
+
 def _scan(spark: SparkSession, path: str, fields: T.StructType, fmt: str | None) -> DataFrame:
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
-    if fmt == "csv":
-        return spark.read.schema(fields).option("header", True).csv(path)
-    return spark.read.format(fmt).load(path)
+    raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    return conform(raw, fields)
 
 
 def scan_sales(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Sales fact.  The month key is always derived from the date."""
     df = _scan(spark, path, S.SALES, fmt)
-    return df.withColumn("mes_ref", month_key("data"))
+    return df.withColumn("mes_ref", month_key("data")) if "data" in df.columns else df
 
 
 def scan_targets(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
