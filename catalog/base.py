@@ -28,7 +28,8 @@ _CONTRACT = ("data", "mes_ref", "cliente_id", "produto", "canal", "regional", "q
 def _scan(spark, d):
     """The extract as CSV files with the columns in another order, read back by name."""
     v = vendas(spark, d, *reversed(_CONTRACT)).withColumnRenamed("cliente_id", "CLIENTE_ID")
-    back = R.scan_sales(spark, write_csv(v.withColumn("mes_ref", F.lit("-")), _scratch(spark)), "csv")
+    raw = v.withColumns({"mes_ref": F.lit("-"), "quantidade": F.col("quantidade").cast("bigint")})
+    back = R.scan_sales(spark, write_csv(raw, _scratch(spark)), "csv")
     return back.select(*_CONTRACT).withColumns({
         "quantidade": F.col("quantidade").cast(dict(v.dtypes)["quantidade"]),
         "receita": F.col("receita").cast("double"), "desconto_pct": F.col("desconto_pct").cast("double")})
