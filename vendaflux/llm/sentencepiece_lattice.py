@@ -20,14 +20,17 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vendaflux.llm.common import text_of, written
 
@@ -36,6 +39,8 @@ MARK = "▁"
 HEAD, LONGEST = 4_000_000, 60
 #: Distinct words that a task remembers or counts before it hands them on.
 CACHE = 250_000
+#: Texts that are looked up together, and units whose lattices are made in one task.
+SLICE, PART = 512, 20_000
 UNKNOWN_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -85,6 +90,13 @@ def normalised(text: str, prefix: bool) -> str:
     return MARK + text if prefix and text else text
 
 
+def chunks_of(text: str, prefix: bool) -> list[str]:
+    """Runs of space marks with what follows them."""
+    if prefix and "  " not in text and text[:1] != " " and MARK not in text:
+        return [MARK + p for p in text.split(" ")]
+    return CHUNK.findall(normalised(text, prefix))
+
+
 def units_of(chunk: str, pairs: frozenset[str]) -> list[str]:
     out, a = [], 0
     for i in range(1, len(chunk)):
@@ -113,17 +125,20 @@ def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for text in batch.text:
                 if text:
-                    chunks.update(CHUNK.findall(normalised(text, prefix)))
-                    if len(chunks) > 2 * CACHE:
+                    chunks.update(chunks_of(text, prefix))
+                    if len(chunks) > CACHE:
                         yield hand_on()
-        yield hand_on()
+        if chunks:
+            yield hand_on()
 
     return docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """Edges of each unit (up to LONGEST characters): ``unit, n, edges`` with start, end, id and score."""
-    rows = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    # dealt by unit before they grow: edges are grouped where they are made, and a part fits into memory
+    rows = units.repartition(max(1, -(-units.count() // PART)), "unit")
+    rows = rows.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
     rows = rows.select("unit", "n", "start", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(model.longest), F.length("unit") - F.col("start")))).alias("size"))
     rows = rows.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
@@ -146,6 +161,11 @@ def _left(value: Column, by: Column) -> Column:
     return F.call_function("shiftleft", value, by)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though ``body`` uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_merges(model: Model) -> Column:
     """Ids of a unit by merges, from ``unit`` and ``edges`` (in order of cost, then start)."""
     one = F.lit(1).cast("long")
@@ -162,7 +182,8 @@ def fold_merges(model: Model) -> Column:
     full = _left(one, size + 1) - 1
     start = F.struct(full.alias("mask"), bits.alias("bits"))
     mask = F.aggregate(F.sequence(F.lit(1), size), start, merge, lambda s: s["mask"])
-    return _ids_between(model, F.filter(F.sequence(F.lit(0), size), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(one) == 1))
+    return _ids_between(model, _once(mask, lambda m: F.filter(
+        F.sequence(F.lit(0), size), lambda i: F.call_function("shiftright", m, i).bitwiseAND(one) == 1)))
 
 
 def _ids_between(model: Model, cuts: Column) -> Column:
@@ -174,7 +195,7 @@ def _ids_between(model: Model, cuts: Column) -> Column:
     def pairs(at: Column) -> Column:
         return F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    return F.flatten(F.transform(F.element_at(F.transform(F.array(cuts), pairs), 1), ids))
+    return F.flatten(F.transform(_once(cuts, pairs), ids))
 
 
 def fold_viterbi(model: Model) -> Column:
@@ -196,7 +217,7 @@ def fold_viterbi(model: Model) -> Column:
             F.element_at(p, 1) > 0, F.concat(F.array(F.element_at(best, F.element_at(p, 1) + 1)["start"]), p)).otherwise(p))
         return path
 
-    return _ids_between(model, F.element_at(F.transform(F.array(best), back), 1))
+    return _ids_between(model, _once(best, back))
 
 
 def plain_ids(unit: str, model: Model) -> list[int]:
@@ -287,100 +308,129 @@ class Dictionary:
         taken = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in order]) if len(order) else np.zeros(0, int)
         return cls(hashes[order], np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), ids[taken.astype(int)].astype(np.uint16 if len(ids) == 0 or ids.max() < 65536 else np.int32))
 
-    def get(self, unit: str) -> np.ndarray | None:
-        h = np.uint64(xxhash.xxh64_intdigest(unit))
-        i = np.searchsorted(self.hashes, h)
-        if i < len(self.hashes) and self.hashes[i] == h:
-            return self.ids[self.bounds[i]: self.bounds[i + 1]].astype(np.int32)
-        return None
+    def get(self, units: list[str]) -> list[tuple[int, ...] | None]:
+        """Ids of each unit; None for units that it does not hold."""
+        if not len(self.hashes):
+            return [None] * len(units)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, units), np.uint64, len(units))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        a, b, ids = self.bounds[at].tolist(), self.bounds[at + 1].tolist(), self.ids
+        return [tuple(ids[i:j].tolist()) if ok else None for i, j, ok in zip(a, b, (self.hashes[at] == h).tolist(), strict=True)]
+
+
+class Encoder:
+    """Ids of texts from a dictionary; -1 stands for each unit that it does not hold."""
+
+    def __init__(self, known: Dictionary, pairs: frozenset[str], prefix: bool) -> None:
+        self.known, self.pairs, self.prefix = known, pairs, prefix
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.lost: dict[str, list[str]] = {}
+
+    def learn(self, chunks: list[str]) -> None:
+        split = [units_of(c, self.pairs) for c in chunks]
+        found = iter(self.known.get([u for units in split for u in units]))
+        for chunk, units in zip(chunks, split, strict=True):
+            ids: list[int] = []
+            for u in units:
+                got = next(found)
+                if got is None:
+                    self.lost.setdefault(chunk, []).append(u)
+                    ids.append(-1)
+                else:
+                    ids.extend(got)
+            self.words[chunk] = tuple(ids)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
+        split = [chunks_of(t, self.prefix) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)) - self.words.keys()
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            self.lost.clear()
+            new = set(chain.from_iterable(split))
+        self.learn(list(new))
+        word, lost = self.words.__getitem__, self.lost
+        ids = [np.fromiter(chain.from_iterable(map(word, chunks)), np.int32) for chunks in split]
+        missing = [[u for c in chunks if c in lost for u in lost[c]] if lost else [] for chunks in split]
+        return ids, missing
+
+
+def decoder(model: Model) -> Callable[[np.ndarray], str]:
+    byte = {i: b for b, i in enumerate(model.byte_ids)}
+    names = [bytes([byte[i]]) if i in byte else " ⁇ ".encode() if i == model.unknown else n.encode("utf-8") if n in model.pieces else b""
+             for i, n in enumerate(model.names)]
+    mark, prefix = MARK.encode(), model.prefix
+
+    def text(ids: np.ndarray) -> str:
+        joined = b"".join(map(names.__getitem__, ids.tolist())).replace(mark, b" ")
+        return (joined[1:] if prefix and joined[:1] == b" " else joined).decode("utf-8", "replace")
 
+    return text
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "ids", head: int = HEAD) -> DataFrame:
-    """``docs`` with the ids of each text."""
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "ids", head: int = HEAD, round_trip: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text, and on demand whether decoding them gives it back (spaces for space marks)."""
     spark, pairs, prefix = docs.sparkSession, model.pairs(), model.prefix
     encoded = written(unit_ids(distinct_units(docs.select(F.col(text_col).alias("text")), model), model), "pieces_units")
     total = encoded.count()
     common = encoded if total <= head else encoded.orderBy(F.desc("n"), "unit").limit(head)
-    sent = spark.sparkContext.broadcast(Dictionary.collect(common))  # at most ``head`` units
-
-    def look_up(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, words, none = sent.value, {}, np.zeros(0, np.int32)
-
-        def ids_of(chunk: str) -> tuple[np.ndarray, tuple[str, ...]]:
-            parts, missing = [], []
-            for u in units_of(chunk, pairs):
-                got = known.get(u)
-                if got is None:
-                    missing.append(u)
-                    got = np.array([-1], np.int32)
-                parts.append(got)
-            return (parts[0] if len(parts) == 1 else np.concatenate(parts)), tuple(missing)
-
-        for batch in texts:
-            ids, missing = [], []
-            for text in batch:
-                if not text:
-                    ids.append(none)
-                    missing.append([])
-                    continue
-                parts, lost = [], []
-                for chunk in CHUNK.findall(normalised(text, prefix)):
-                    got = words.get(chunk)
-                    if got is None:
-                        if len(words) >= CACHE:
-                            words.clear()
-                        got = words[chunk] = ids_of(chunk)
-                    parts.append(got[0])
-                    lost.extend(got[1])
-                ids.append(np.concatenate(parts))
-                missing.append(lost)
-            yield pd.DataFrame({"ids": ids, "missing": missing})
-
-    look = F.pandas_udf(look_up, "ids array<int>, missing array<string>")
+    held_by_all = Dictionary.collect(common)
+    sent = spark.sparkContext.broadcast((held_by_all.hashes, held_by_all.bounds, held_by_all.ids))  # at most ``head`` units
+    docs = docs.drop(out, *([round_trip] if round_trip else []))
+    check = round_trip is not None and total <= head
+    at = docs.columns.index(text_col)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, text_of_ids = Encoder(Dictionary(*sent.value), pairs, prefix), decoder(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                texts = part.column(at).to_pylist()
+                ids, missing = look(texts)
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                more = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids), pa.int32()))]
+                if check:
+                    more.append(pa.array([text_of_ids(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                elif total > head:
+                    more.append(pa.array(missing, pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, out, "__more"][: len(part.columns) + len(more)])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    if check:
+        return docs.mapInArrow(look_up, schema.add("__more", "boolean")).withColumnRenamed("__more", round_trip)
     if total <= head:
-        return docs.withColumn("__e", look(F.col(text_col))).withColumn(out, F.col("__e.ids")).drop("__e")
+        return docs.mapInArrow(look_up, schema)
 
     # the rare units: joined by unit, gathered by text, put into the gaps in order
-    held = written(docs.withColumn("__e", look(F.col(text_col))).withColumn("__row", F.monotonically_increasing_id()), "pieces_held")
-    gaps = held.select("__row", F.posexplode("__e.missing").alias("at", "unit"))
-    fills = (gaps.join(encoded.select("unit", "ids"), "unit").groupBy("__row")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("__fill")))
+    held = written(docs.mapInArrow(look_up, schema.add("__more", T.ArrayType(T.StringType()))).withColumn("__row", F.monotonically_increasing_id()), "pieces_held")
+    gaps = held.select("__row", F.posexplode("__more").alias("at", "unit"))
+    fills = (gaps.join(encoded.select("unit", F.col("ids").alias("found")), "unit").groupBy("__row")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "found"))), lambda x: x["found"]).alias("__fill")))
 
     def fill(ids: pd.Series, fills: pd.Series) -> pd.Series:
         def one(row: np.ndarray, more) -> np.ndarray:
-            at = np.flatnonzero(row == -1)
-            if not len(at):
-                return row
-            pieces, last = [], 0
-            for i, m in zip(at, more, strict=True):
-                pieces += [row[last:i], m]
-                last = i + 1
-            return np.concatenate([*pieces, row[last:]])
+            parts = np.split(row, np.flatnonzero(row == -1))
+            return np.concatenate([parts[0], *[np.concatenate([m, p[1:]]) for m, p in zip(more, parts[1:], strict=True)]]) if more is not None else row
 
         return pd.Series([one(a, b) for a, b in zip(ids, fills, strict=True)])
 
     filled = held.join(fills, "__row", "left")
-    return filled.withColumn(out, F.pandas_udf(fill, "array<int>")("__e.ids", "__fill")).drop("__e", "__row", "__fill")
+    filled = filled.withColumn(out, F.pandas_udf(fill, "array<int>")(out, "__fill")).drop("__more", "__row", "__fill")
+    if round_trip is None:
+        return filled
+    back = decode(filled, model, out, "__back")
+    return back.withColumn(round_trip, F.col("__back") == F.regexp_replace(text_of(text_col), MARK, " ")).drop("__back")
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of each row's ids."""
-    byte = {i: b for b, i in enumerate(model.byte_ids)}
-    names = [bytes([byte[i]]) if i in byte else b"" if n not in model.pieces and i != model.unknown else (n if i != model.unknown else " ⁇ ").encode("utf-8")
-             for i, n in enumerate(model.names)]
-    mark, prefix = MARK.encode(), model.prefix
-
-    def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        text = decoder(model)
         for batch in ids:
-            joined = (b"".join([names[i] for i in row]).replace(mark, b" ") if row is not None else b"" for row in (x.tolist() if x is not None else None for x in batch))
-            yield pd.Series([(j[1:] if prefix and j[:1] == b" " else j).decode("utf-8", "replace") for j in joined], dtype=object)
+            yield pd.Series([text(x) if x is not None else "" for x in batch], dtype=object)
 
-    return rows.withColumn(out, F.pandas_udf(text, "string")(F.col(ids_col)))
+    return rows.withColumn(out, F.pandas_udf(texts, "string")(F.col(ids_col)))
 
 
 def tokenise(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens``, and whether decoding gives the text back (spaces for space marks)."""
-    model = Model.load(model_path)
-    rows = decode(encode(docs, model), model)
-    same = F.col("decoded") == F.regexp_replace(text_of("text"), MARK, " ")
-    return rows.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")
+    """``docs`` with ``ids``, ``n_tokens``, and ``round_trip``: whether decoding gives the text back."""
+    return encode(docs, Model.load(model_path), round_trip="round_trip").withColumn("n_tokens", F.size("ids").cast("long"))
