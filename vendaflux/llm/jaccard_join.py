@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendaflux.llm.common import written
@@ -101,12 +101,18 @@ def folded(maps: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def node_of(hashes: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], U).view(np.int64)[0])
+
+
 def sets_of(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``doc_id, n, node, prefix, bits`` of each row; the shingles in ``common`` (sorted) come last in prefixes."""
+    """``doc_id, n, node, prefix, bits`` of each row; the shingles in ``common`` (sorted) come last in prefixes.
+
+    Of rows with the same set that a task has seen before, prefix and bits are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(common)  # at most MAX_COMMON numbers
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, last = Shingler(width), sent.value
+        shingles, last, seen = Shingler(width), sent.value, set()
         for batch in batches:
             rows = []
             for text in batch.text:
@@ -115,44 +121,71 @@ def sets_of(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
                 if not n:
                     rows.append((0, None, None, None))
                     continue
+                node = node_of(h)
+                if node in seen:
+                    rows.append((n, node, None, None))
+                    continue
+                if len(seen) > 4 * CACHE:
+                    seen.clear()
+                seen.add(node)
                 order = h
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                     order = np.concatenate([h[~late], h[late]])
-                node = np.array([xxhash.xxh64_intdigest(h.tobytes())], U).view(np.int64)[0]
                 rows.append((n, node, order[: prefix_length(n, percent)].view(np.int64), bit_map(h, percent)))
             n, node, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "n": np.array(n, np.int64), "node": pd.array(node, dtype="Int64"),
                                 "prefix": list(prefix), "bits": list(bits)})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(build, f"doc_id {kind}, n long, node long, prefix array<long>, bits binary")
-
-
-def inverted(sets: DataFrame) -> DataFrame:
-    """Prefix entries of nodes, by shingle: ``h, node, n``."""
-    nodes = sets.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "n", "prefix").dropDuplicates(["node"])
-    return nodes.select(F.explode("prefix").alias("h"), "node", "n")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(
+        build, f"doc_id {kind}, n long, node long, prefix array<long>, bits binary")
 
 
-def common_shingles(index: DataFrame) -> np.ndarray:
-    """Shingles in lists longer than COMMON, or than the smallest doubling of it that leaves MAX_COMMON of them."""
-    lengths = written(index.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > COMMON), "join_common")
+def common_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
+    """Shingles that more than COMMON prefixes hold in the order by hash, or than the smallest doubling of it that leaves
+    at most MAX_COMMON.  Tasks hand on those that several of their sets hold.  Links don't depend on this choice, only
+    the length of inverted lists does."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, seen = Shingler(width), set()
+        for batch in batches:
+            parts = []
+            for text in batch.text:
+                h = shingles(text)
+                if len(h) and (node := node_of(h)) not in seen:
+                    if len(seen) > 4 * CACHE:
+                        seen.clear()
+                    seen.add(node)
+                    parts.append(h[: prefix_length(len(h), percent)])
+            values, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
+            more = counts > 1
+            yield pd.DataFrame({"h": values[more].view(np.int64), "c": counts[more].astype(np.int64)})
+
+    lengths = written(docs.where("doc_id IS NOT NULL").select("text").mapInPandas(count, "h long, c long").groupBy("h")
+                      .agg(F.sum("c").alias("c")).where(F.col("c") > COMMON), "join_common")
     at = COMMON
     while lengths.where(F.col("c") > at).count() > MAX_COMMON:
         at *= 2
     return np.sort(np.array([r.h for r in lengths.where(F.col("c") > at).select("h").collect()], np.int64).view(U))
 
 
+def inverted_lists(sets: DataFrame) -> DataFrame:
+    """Prefix entries of nodes that share a shingle with another, with the length of its list: ``h, node, c``.
+
+    One exchange by shingle serves the removal of repeats and the count."""
+    entries = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "node").repartition("h").distinct()
+    return entries.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")
+
+
 def short_list_edges(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of lists up to SHORT."""
     rows = lists.where(F.col("c") <= SHORT)
     a, b = rows.alias("a"), rows.alias("b")
     pairs = (a.join(b, F.col("a.h") == F.col("b.h"))
-             .where("a.node < b.node").where(F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"))
-             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+             .where("a.node < b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
     pairs = (pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-             .join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b"))
+             .join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+             .where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,15 +206,19 @@ def long_list_edges(lists: DataFrame, bits: DataFrame, percent: int) -> DataFram
 
     def forest(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "node"], ignore_index=True)
-        n, node, width = rows.n.to_numpy(), rows.node.to_numpy(), int(rows.bits.str.len().min())
-        maps, group, edges = folded(list(rows.bits), width), np.arange(len(rows)), []
+        n, node, width = rows.n.to_numpy(), rows.node.to_numpy(), rows.bits.str.len().to_numpy()
+        group, edges, maps = np.arange(len(rows)), [], {}
+        for w in np.unique(width):  # widths grow with sizes; a smaller set meets larger ones at its own width
+            first = int(np.searchsorted(width, w))
+            maps[w] = first, folded(list(rows.bits.iloc[first:]), int(w))
         ends = np.searchsorted(n, n * 100 // percent, side="right")
         for i in range(len(rows)):
             others = np.arange(i + 1, ends[i])
             others = others[group[others] != group[i]]
             if not len(others):
                 continue
-            differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1)
+            first, at = maps[width[i]]
+            differ = np.bitwise_count(at[others - first] ^ at[i - first]).sum(axis=1)
             found = others[(100 + percent) * differ <= (100 - percent) * (n[others] + n[i])]
             for g, j in {group[j]: j for j in found}.items():
                 edges.append((node[i], node[j]))
@@ -224,29 +261,14 @@ def divide_skip(sets: list[np.ndarray], queries: range, percent: int) -> list[tu
     return links
 
 
-def cell_links(cells: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a forest) inside cells: ``a, b`` of ``root, node, shingles``; large cells are searched block by block."""
-    sizes = cells.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * block)).cast("int").alias("blocks")).where("blocks > 1")
-    placed = cells.join(sizes, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = [F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        x, y = rows.x.iat[0], rows.y.iat[0]
-        rows = rows.iloc[np.argsort(rows.block.to_numpy() != x, kind="stable")]
-        sets = [np.frombuffer(s, U) for s in rows.shingles]
-        first = int((rows.block == x).sum())
-        links = divide_skip(sets, range(first if x != y else len(sets)), percent)
-        node = rows.node.to_numpy()
-        return pd.DataFrame([(node[i], node[j]) for i, j in links], columns=["a", "b"], dtype="int64")
-
-    return placed.select("root", "block", "node", "shingles", *key).groupBy("root", "x", "y").applyInPandas(search, "a long, b long")
+def blocks_of(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``root, node, doc_id, block, blocks``: large cells in blocks of about ``block`` shingles."""
+    sizes = cells.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    return cells.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` (sorted, packed) of the nodes in ``wanted`` (``node, doc_id``), from their texts."""
+    """``wanted`` (``root, node, doc_id, block, blocks``) with ``shingles`` (sorted, packed) from the nodes' texts."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER))
     places = wanted.select(place("doc_id").alias("place")).distinct()
     texts = (docs.withColumn("place", place("doc_id")).join(F.broadcast(places), "place", "left_semi")  # at most PREFILTER rows
@@ -255,41 +277,60 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
         for batch in batches:
-            rows = []
-            for text, node in zip(batch.text, batch.node, strict=True):
-                h = shingles(text)
-                if len(h) and np.array([xxhash.xxh64_intdigest(h.tobytes())], U).view(np.int64)[0] == node:
-                    rows.append((node, h.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "shingles"])
+            sets = [shingles(text) for text in batch.text]
+            right = np.array([len(h) > 0 and node_of(h) == node for h, node in zip(sets, batch.node, strict=True)], bool)
+            yield batch.assign(shingles=[h.tobytes() for h in sets]).loc[right, ["root", "node", "block", "blocks", "shingles"]]
+
+    return texts.select("text", "root", "node", "block", "blocks").mapInPandas(pack, "root long, node long, block int, blocks int, shingles binary")
+
+
+def cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a forest) inside cells: ``a, b`` of ``root, node, block, blocks, shingles``; each block meets each other."""
+    placed = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = [F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
+        x, y = rows.x.iat[0], rows.y.iat[0]
+        rows = rows.iloc[np.argsort(rows.block.to_numpy() != x, kind="stable")]
+        sets = [np.frombuffer(s, U) for s in rows.shingles]
+        first = int((rows.block == x).sum())
+        links = divide_skip(sets, range(first if x != y else len(sets)), percent)
+        node = rows.node.to_numpy()
+        return pd.DataFrame([(node[i], node[j]) for i, j in links], columns=["a", "b"], dtype="int64")
 
-    return texts.select("text", "node").mapInPandas(pack, "node long, shingles binary")
+    return placed.select("root", "block", "node", "shingles", *key).groupBy("root", "x", "y").applyInPandas(search, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = written(sets_of(docs, width, percent, np.zeros(0, U)), "join_sets")
-    common = common_shingles(inverted(first))
-    sets = written(sets_of(docs, width, percent, common), "join_sets") if len(common) else first
-
-    nodes = written(sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join_nodes")
+    sets = written(sets_of(docs, width, percent, common_shingles(docs, width, percent)), "join_sets")
+    nodes = written(sets.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")), "join_nodes")
     bits = nodes.select("node", "n", "bits")
-    index = inverted(sets)
-    lists = written(index.join(index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h"), "join_lists")
+    lists = written(inverted_lists(sets), "join_lists")
     near = short_list_edges(lists, bits, percent).unionByName(long_list_edges(lists, bits, percent))
-    cells = written(components(near), "join_cells")
-    wanted = cells.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")
-    full = shingles_of(docs, wanted, width).dropDuplicates(["node"])
-    links = cell_links(cells.join(full, "node"), percent)
+    cells = written(components(near).join(nodes.select("node", "doc_id", "n"), "node"), "join_cells")
+    links = cell_links(shingles_of(docs, blocks_of(cells), width), percent)
     linked = components(links)
     least = linked.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     of_node = linked.join(least, "root").select("node", "least")
     of_node = nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))
-    known = F.col("doc_id").isNotNull()
-    # rows of one id in several components: the smallest id reachable from any is taken by each row for itself
-    return (sets.select("doc_id", "n", "node").join(of_node, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("least", "doc_id")).alias("component_id")))
+    known = sets.select("doc_id", "n", "node").join(of_node, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    unknown = docs.where("doc_id IS NULL").select("doc_id", set_sizes(width)("text").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return known.unionByName(unknown)
+
+
+def set_sizes(width: int):
+    """Size of the shingle set of each text."""
+    def size(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingles = Shingler(width)
+        for batch in texts:
+            yield pd.Series([len(shingles(t)) for t in batch], dtype="int64")
+
+    return F.pandas_udf(size, "long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -298,3 +339,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = (found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
             .where("NOT stays").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+#: The same for four-word shingles at 85 %, as plain joins of all shingles: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
