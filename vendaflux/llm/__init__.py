@@ -1 +1,10 @@
-"""Operators for preparing training text at scale; nothing else in the library imports this subpackage."""
+"""Operators for preparing training text at scale; nothing else in the library imports this subpackage.
+
+Functions that run in tasks travel with them, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -75,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op6_ngram_jaccard": jaccard_join.SQL,
     "op9_warc": warc.SQL,
 }

@@ -147,11 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of each text being toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # a megabyte, whatever the input
 
     @F.pandas_udf("double")
     def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        logit = sent.value.scorer()
+        logit = Model(*sent.value).scorer()
         for batch in texts:
             yield pd.Series([noisy_or(np.array([logit(w) for _, _, w in sentences(t)])) if t else 0.0 for t in batch], dtype=float)
 
@@ -160,10 +160,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 def toxic_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The sentences to blame: ``id, start, end, sentence, p``, where ``p`` is at least ``least``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logit = sent.value.scorer()
+        logit = Model(*sent.value).scorer()
         for batch in batches:
             rows = []
             for i, text in zip(batch.id, batch.text, strict=True):
