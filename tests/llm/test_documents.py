@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from corpus_fixtures import near_docs, no_docs, odd_docs  # noqa: F401
 
 from vendaflux.llm import exact_dedup, fingerprint, jaccard_join, mixing
 from vendaflux.llm.components import components

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from corpus_fixtures import no_docs, odd_docs  # noqa: F401
 
 from vendaflux.llm import html_extract, pii, sentencepiece_lattice, toxicity, url_filter, warc
 from vendaflux.llm.sentencepiece_lattice import Model
