@@ -304,9 +304,11 @@ class Dictionary:
         sizes = np.frombuffer(b"".join(p.n for p in parts), np.int32)
         ids = np.frombuffer(b"".join(p.ids for p in parts), np.int32)
         order = np.argsort(hashes)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        taken = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in order]) if len(order) else np.zeros(0, int)
-        return cls(hashes[order], np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), ids[taken.astype(int)].astype(np.uint16 if len(ids) == 0 or ids.max() < 65536 else np.int32))
+        ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+        starts, sizes = (np.cumsum(sizes, dtype=np.int64) - sizes)[order], sizes[order]
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        taken = np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])
+        return cls(hashes[order], bounds, ids[taken])
 
     def get(self, units: list[str]) -> list[tuple[int, ...] | None]:
         """Ids of each unit; None for units that it does not hold."""
