@@ -26,7 +26,7 @@ from vendaflux.llm.common import text_of, written
 #: Cells of a sub-table, rounds of peeling, how much larger each retry is, and retries.
 CELLS, ROUNDS, LARGER, RETRIES = 16, 8, 4, 6
 #: A line is cut at the first sentence end after so many characters.
-LONG_LINE = 400
+LONG_LINE = 200
 PARAGRAPH = rf"[^\n]{{{LONG_LINE},}}?[.!?](?=\s)|[^\n]+"
 #: Documents of a bucket of ids, and quantiles of ids between which buckets are even.
 BUCKET, QUANTILES = 2000, 64
@@ -132,18 +132,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         bucket = F.coalesce(F.greatest(bucket, F.lit(0)).cast("long"), F.lit(-1).cast("long"))
     else:
         bucket = F.lit(-1).cast("long")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     rows = docs.withColumn("bucket", bucket)
-    w = Window.partitionBy("bucket").orderBy(*order)
-    rows = rows.withColumn("next", F.lead("text").over(w)).withColumn("nth", F.row_number().over(w))
-    used = [r.bucket for r in rows.select("bucket").distinct().orderBy(F.desc("bucket")).collect()]
-    heads = docs.sparkSession.createDataFrame([(b, used[(i + 1) % len(used)]) for i, b in enumerate(used)], "bucket long, then long")
-    # one row per BUCKET documents
-    firsts = rows.where("nth = 1").select(F.col("bucket").alias("then"), F.col("text").alias("head"))
-    heads = heads.join(firsts, "then").select("bucket", "head")
-    inner = rows.where("next IS NOT NULL").select("doc_id", "text", "next")
-    ends = rows.where("next IS NULL").join(heads, "bucket").select("doc_id", "text", F.col("head").alias("next"))
-    return inner.unionByName(ends)
+    # the first document of each bucket: its largest id, of equal ids the first text; ids alone are read to find it
+    tops = written(rows.groupBy("bucket").agg(F.max("doc_id").alias("top")), "fingerprint_tops")
+    used = [r.bucket for r in tops.orderBy(F.desc("bucket")).select("bucket").collect()]  # one row per BUCKET documents
+    turn = docs.sparkSession.createDataFrame([(b, used[(i + 1) % len(used)]) for i, b in enumerate(used)], "bucket long, then long")
+    firsts = (rows.alias("r").join(tops.alias("t"), (F.col("r.bucket") == F.col("t.bucket")) & F.col("r.doc_id").eqNullSafe(F.col("t.top")))
+              .groupBy(F.col("t.bucket").alias("then")).agg(F.min("r.text").alias("head")))
+    heads = turn.join(firsts, "then").select("bucket", "head")
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    return (rows.withColumn("next", F.lead("text").over(w)).join(heads, "bucket", "left")
+            .select("doc_id", "text", F.coalesce("next", "head").alias("next")))
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
