@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from corpus_fixtures import near_docs, no_docs, odd_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from vendaflux.llm import exact_dedup, fingerprint, jaccard_join, mixing
 from vendaflux.llm.components import components
@@ -159,6 +160,21 @@ def test_fingerprints_on_odd_rows(spark, odd_docs, no_docs):
     assert only.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest() and only.near_next == 1.0
 
 
+def test_half_of_a_short_or_unpunctuated_text_is_seen(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'abcdefgh'[rng.integers(8)]}{rng.integers(900)}" for _ in range(n)) for n in (40, 60, 6000)]
+    texts += ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 300)), "x" * 5000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0 < got[i].near_edited < 1 for i in range(len(texts)))
+    assert 0.25 < got[2].near_edited < 0.6
+    # a word put into the middle of an unpunctuated line moves no cut but those beside it
+    words = texts[2].split()
+    keys = [set(r.k) for r in spark.createDataFrame([(texts[2],), (" ".join(words[:3000] + ["new"] + words[3000:]),)], "t string").select(
+        fingerprint.paragraph_keys(F.col("t")).alias("k")).collect()]
+    assert len(keys[0]) > 500 and len(keys[0] ^ keys[1]) <= 6
+
+
 def test_small_sketches_fail_and_larger_ones_succeed(spark):
     a, b = list(range(100)), list(range(50, 150))
     row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")

@@ -1,13 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs (lines; long lines at sentence ends).  The digest of each goes into one cell of three
+A text is cut at line and sentence ends, and longer sentences into runs of words by content: a run ends where a hash of
+two neighbouring words (of two characters, in words without end and in scripts without spaces) says so, so that an edit
+moves no cut but those beside it.  The digest of each paragraph that this gives goes into one cell of three
 sub-tables; a cell holds a count, the exclusive or of its digests, and that of their checks.  Two sketches subtract cell
 by cell: what both texts have cancels out.  Cells left with a single digest give it away; taking it out of its other
 cells uncovers more, until the sketch is empty and all paragraphs in which the versions differ are known.  Where a
-sketch is too small for that, the pair is tried again with larger ones, which spread the digests over several tables.
+sketch is too small for that, the pair is tried again with larger ones, which spread the digests over several tables;
+the very last are compared as they are.
 
 Everything is DataFrame functions.  Documents meet their successors in buckets of neighbouring ids, so each text moves
-once; only the first document of a bucket moves again, to the bucket before.
+once; only the first document of a bucket moves again, to the bucket before.  Digests are made and compared where a text
+meets its successor, and are never written.
 
 Cases: a null text is an empty one.  Ids come in descending order, null last, equal ids by text.  A single document is
 its own successor.  Repeated paragraphs count once.  Two texts without paragraphs are alike (1.0).  Extra columns are
@@ -23,11 +27,16 @@ from pyspark.sql import functions as F
 
 from vendaflux.llm.common import text_of, written
 
-#: Cells of a sub-table, rounds of peeling, how much larger each retry is, and retries.
-CELLS, ROUNDS, LARGER, RETRIES = 16, 8, 4, 6
-#: A line is cut at the first sentence end after so many characters.
-LONG_LINE = 200
-PARAGRAPH = rf"[^\n]{{{LONG_LINE},}}?[.!?](?=\s)|[^\n]+"
+#: Cells of a sub-table, rounds of peeling, how much larger each retry is, and tries with sketches before arrays are compared.
+CELLS, ROUNDS, LARGER, RETRIES = 16, 8, 4, 2
+#: A line is cut at the first sentence end after so many characters: at every one.
+LONG_LINE = 1
+SENTENCE = rf"[^\n]{{{LONG_LINE},}}?[.!?](?=\s)|[^\n]+"
+#: Sentences of more characters are cut by content.  Units of that: words, and single characters of longer ones.
+LONG_SENTENCE = 48
+UNIT = r"\s*(?:\S{1,32}+(?!\S)|\S)|\s+"
+#: One of so many units ends a run; most characters of a run.
+UNITS, LONGEST = 8, 256
 #: Documents of a bucket of ids, and quantiles of ids between which buckets are even.
 BUCKET, QUANTILES = 2000, 64
 
@@ -37,8 +46,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _runs(sentence: Column) -> Column:
+    """A sentence with a line end after each run."""
+    def ends(units: Column, u: Column, i: Column) -> Column:
+        return F.pmod(F.xxhash64(F.get(units, i - 1), u), F.lit(UNITS)) == 0
+
+    return let(F.regexp_extract_all(sentence, F.lit(UNIT), F.lit(0)), lambda units: F.array_join(
+        F.transform(units, lambda u, i: F.when(ends(units, u, i), F.concat(u, F.lit("\n"))).otherwise(u)), ""))
+
+
 def paragraph_keys(text: Column) -> Column:
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.trim(p))
+    sentences = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    cut = F.array_join(F.transform(sentences, lambda s: F.when(F.length(s) > LONG_SENTENCE, _runs(s)).otherwise(s)), "\n")
+    pieces = F.transform(F.regexp_extract_all(cut, F.lit(rf"[^\n]{{1,{LONGEST}}}"), F.lit(0)), lambda p: F.trim(p))
     return F.array_distinct(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
@@ -65,9 +85,18 @@ def _cell(c: Column, k: Column, h: Column) -> Column:
 
 def sketch(placed: Column) -> Column:
     """The cells of placed digests: ``c`` (count), ``k`` and ``h`` (exclusive or of digests and of checks)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * CELLS - 1)), lambda at: F.aggregate(
-        placed, _cell(F.lit(0), F.lit(0), F.lit(0)),
-        lambda s, p: F.when(_hit(p, at), _cell(s["c"] + 1, s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(p["h"]))).otherwise(s)))
+    def add(s: Column, p: Column) -> Column:
+        return _cell(s["c"] + 1, s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(p["h"]))
+
+    def cells(j: int, four: Column, some: Column) -> Column:
+        return F.transform(F.sequence(4 * four, 4 * four + 3), lambda at: F.aggregate(
+            F.filter(some, lambda p: p[f"p{j}"] == at), _cell(F.lit(0), F.lit(0), F.lit(0)), add))
+
+    def table(j: int) -> Column:  # four cells at a time, from the digests that these have
+        return F.flatten(F.transform(F.sequence(F.lit(j * CELLS // 4), F.lit((j + 1) * CELLS // 4 - 1)), lambda four: let(
+            F.filter(placed, lambda p: F.shiftright(p[f"p{j}"], 2) == four), lambda some: cells(j, four, some))))
+
+    return F.concat(table(0), table(1), table(2))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -109,15 +138,35 @@ def difference(a: Column, b: Column, level: int) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, d: s + d)  # null where one is
 
 
-def fingerprint(keys: Column, whole: Column) -> Column:
+def first_sketch(keys: Column) -> Column:
+    return let(_placed(keys, 0, 1), sketch)
+
+
+def alike(a: Column, b: Column, first_a: Column, first_b: Column) -> Column:
+    """What both arrays of digests have, over what either has, from them and their first sketches.
+
+    A level is tried where the one before was too small, and where its cells are as many as the difference by the squares
+    of the first cells' counts."""
+    first = let(subtract(first_a, first_b), lambda x: F.struct(
+        F.aggregate(x, F.lit(0), lambda n, c: n + c["c"] * c["c"]).alias("squares"), peel(x, 0).alias("d")))
+    larger = lambda f: F.coalesce(*[F.when(f["squares"] <= 9 * CELLS * LARGER ** level, difference(a, b, level))
+                                    for level in range(1, RETRIES)], exact)
+    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(let(let(first, lambda f: F.coalesce(f["d"], larger(f))), lambda d: (total - d) / (total + d)))
+
+
+def fingerprint(first: Column, whole: Column) -> Column:
     """The first sketch as text: the digest ``whole`` of the whole text, then place, count, digests and checks of cells in use."""
-    cells = F.transform(let(_placed(keys, 0, 1), sketch), lambda c, at: F.when(c["c"] != 0, F.concat_ws(
+    cells = F.transform(first, lambda c, at: F.when(c["c"] != 0, F.concat_ws(
         "-", at.cast("string"), c["c"].cast("string"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"]), 16, "0"))))
     return F.concat(F.lower(F.lpad(F.hex(whole), 16, "0")), F.lit(":"), F.lower(F.array_join(cells, ",")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next`` of ``doc_id, text``: the text of the next smaller id; of the largest, for the smallest."""
+    """``doc_id, text, next`` of ``doc_id, text``: the text of the next smaller id; of the largest, for the smallest.
+
+    Also the digests of both, ``keys`` and ``next_keys``."""
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("double").alias("x"))
     n, cuts = ids.agg(F.count("*"), F.percentile_approx("x", [i / QUANTILES for i in range(QUANTILES + 1)], 1000)).first()
     if n:
@@ -141,27 +190,17 @@ def with_next(docs: DataFrame) -> DataFrame:
               .groupBy(F.col("t.bucket").alias("then")).agg(F.min("r.text").alias("head")))
     heads = turn.join(firsts, "then").select("bucket", "head")
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    return (rows.withColumn("next", F.lead("text").over(w)).join(heads, "bucket", "left")
-            .select("doc_id", "text", F.coalesce("next", "head").alias("next")))
+    # digests are made once a text, behind the shuffle by bucket that the window uses
+    rows = rows.repartition("bucket").withColumn("keys", paragraph_keys(F.col("text")))
+    ahead = rows.select("*", F.lead("text").over(w).alias("next"), F.lead("keys").over(w).alias("next_keys"))
+    return (ahead.join(heads, "bucket", "left").select(
+        "doc_id", "text", "keys", F.coalesce("next", "head").alias("next"), F.coalesce("next_keys", paragraph_keys(F.col("head"))).alias("next_keys")))
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (with arrays of digests ``a`` and ``b``) and ``likeness``: what both have, over what either has.
-
-    Level by level, only the pairs whose sketch was too small go on; the very last are compared as they are."""
-    done, todo = None, pairs
-    for level in range(RETRIES):
-        tried = written(todo.withColumn("d", difference(F.col("a"), F.col("b"), level)), "fingerprint_level")
-        solved = tried.where("d IS NOT NULL")
-        done = solved if done is None else done.unionByName(solved)
-        todo = tried.where("d IS NULL").drop("d")
-        if todo.isEmpty():
-            break
-    else:
-        exact = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
-        done = done.unionByName(todo.withColumn("d", exact))
-    total = F.size("a") + F.size("b")
-    return done.withColumn("likeness", F.when(total == 0, 1.0).otherwise((total - F.col("d")) / (total + F.col("d")))).drop("d")
+    """``pairs`` (with arrays of digests ``a`` and ``b``) and ``likeness``: what both have, over what either has."""
+    a, b = F.col("a"), F.col("b")
+    return pairs.withColumn("likeness", let(first_sketch(a), lambda x: let(first_sketch(b), lambda y: alike(a, b, x, y))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,15 +209,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next", F.lit(1), F.floor(n / 2).cast("int")))
     rows = docs.withColumn("edited", edited)
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited",
-                       paragraph_keys(F.col("text")).alias("keys"), paragraph_keys(F.col("edited")).alias("edited_keys"),
-                       paragraph_keys(F.col("next")).alias("next_keys"))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "edited_sha256", "keys", "edited_keys", "next_keys",
-                               F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("edited_whole")), "fingerprint_rows")
-    pair = lambda which, b: F.struct(F.lit(which).alias("which"), F.col(b).alias("b"))
-    pairs = rows.select("row", F.col("keys").alias("a"), F.explode(F.array(pair("edited", "edited_keys"), pair("next", "next_keys"))).alias("p"))
-    alike = likeness(pairs.select("row", "a", "p.which", "p.b")).select("row", "which", "likeness")
-    of = lambda which: F.max(F.when(F.col("which") == which, F.col("likeness")))
-    near = alike.groupBy("row").agg(of("edited").alias("near_edited"), of("next").alias("near_next"))
-    return rows.join(near, "row").select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys"), F.col("whole")).alias("fingerprint"),
-                                         fingerprint(F.col("edited_keys"), F.col("edited_whole")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+    def compared(keys: Column, edited_keys: Column, next_keys: Column) -> Column:
+        firsts = F.array(first_sketch(keys), first_sketch(edited_keys), first_sketch(next_keys))
+        return let(firsts, lambda f: F.struct(
+            fingerprint(f[0], F.xxhash64("text")).alias("fingerprint"), fingerprint(f[1], F.xxhash64("edited")).alias("edited_fingerprint"),
+            alike(keys, edited_keys, f[0], f[1]).alias("near_edited"), alike(keys, next_keys, f[0], f[2]).alias("near_next")))
+
+    keys = F.array("keys", paragraph_keys(F.col("edited")), "next_keys")
+    out = let(keys, lambda k: compared(k[0], k[1], k[2]))
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.inline(F.array(out)))
