@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendaflux.llm import exact_dedup, fingerprint, html_extract, jaccard_join, mixing, pii, sentencepiece_lattice, toxicity, url_filter, warc
+from vendaflux.llm import (
+    conversation_trie,
+    exact_dedup,
+    fingerprint,
+    html_extract,
+    jaccard_join,
+    line_frequency,
+    mixing,
+    pii,
+    sentencepiece_lattice,
+    spelling_variants,
+    toxicity,
+    url_filter,
+    warc,
+)
 from vendaflux.llm.common import table
 
 
@@ -60,6 +74,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt(table(spark, sf_dir, "conversations"))).drop("node")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
@@ -71,10 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_ngram_jaccard": jaccard_join.SQL,
     "op9_warc": warc.SQL,
+    "op11_prefix_trie": conversation_trie.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
+    "op13_quality_rules": line_frequency.SQL,
 }
