@@ -187,7 +187,7 @@ SELECT CASE WHEN canal = 'BUILDING' THEN canal ELSE upper(canal[1]) || lower(can
 SELECT cliente_id, data, CAST(receita AS DOUBLE) AS receita, canal, regional, produto
 FROM vendas WHERE receita > 0 AND status_faturamento = 'Efetivado' AND data >= DATE '1999-08-01'""")),
     "sales_cohort_base": Entry(
-        lambda s, d: E.sales_cohort_base(T.faturamento(s, d), T.clientes(s, d), T.produtos(s, d), AS_OF, recurring=RECURRING),
+        lambda s, d: E.sales_cohort_base(T.faturamento(s, d), T.clientes(s, d), T.produtos(s, d), AS_OF, recurring=RECURRING, dates=T.datas(s, d)),
         over_sales(_LIFE, select="""
 SELECT v.cliente_id, v.data, CAST(v.receita AS DOUBLE) AS receita, v.canal, v.regional, v.gerencia, v.produto, v.tipo_produto,
        strftime(x.primeira_compra, '%Y-%m') AS safra, x.primeira_compra, x.ultima_compra,
@@ -196,7 +196,7 @@ SELECT v.cliente_id, v.data, CAST(v.receita AS DOUBLE) AS receita, v.canal, v.re
 FROM vendas v JOIN vida x USING (cliente_id)
 WHERE v.receita > 0 AND v.status_faturamento = 'Efetivado' AND v.data >= DATE '1996-08-01'""")),
     "client_lifespan": Entry(
-        lambda s, d: E.client_lifespan(X.horizon(X.effective_only(vendas(s, d, "cliente_id", "data", "receita", "status_faturamento")), AS_OF, 60))
+        lambda s, d: E.client_lifespan(X.horizon(X.effective_only(vendas(s, d, "cliente_id", "data", "receita", "status_faturamento")), AS_OF, 60), T.datas(s, d))
         .withColumn("receita_total", M.as_double(F.col("receita_total"))),
         over_sales(_LIFE, select="""
 SELECT cliente_id, primeira_compra, ultima_compra, meses_com_compra, total_transacoes, CAST(receita_total AS DOUBLE) AS receita_total FROM vida""")),
@@ -221,10 +221,18 @@ FROM metas WHERE meta_receita > 0 AND mes >= DATE '1999-08-01'""")),
             T.metas(s, d).groupBy("mes_ref", "canal").agg(F.sum("meta_receita").alias("meta_receita")),
             vendas(s, d, "data", "canal", "regional", "produto", "receita"), ["mes_ref", "canal"], ["regional", "produto"]
         ),
-        over_targets("g AS (SELECT mes_ref, canal, SUM(meta_receita) AS meta FROM metas GROUP BY ALL)",
-                     "c AS (SELECT mes_ref, canal, regional, produto, SUM(receita) AS x FROM vendas GROUP BY ALL)", select="""
-SELECT mes_ref, canal, regional, produto, (p) AS participacao, (CAST(meta AS DOUBLE) * p) AS meta_receita
-FROM (SELECT *, CAST(x AS DOUBLE) / CAST(SUM(x) OVER (PARTITION BY mes_ref, canal) AS DOUBLE) AS p FROM c) JOIN g USING (mes_ref, canal)""")),
+        over_targets("g AS (SELECT mes_ref, canal, CAST(CAST(SUM(meta_receita) AS DECIMAL(28,2)) * 100 AS HUGEINT) AS cents FROM metas GROUP BY ALL)",
+                     """c AS (SELECT mes_ref, canal, regional, produto, CAST(SUM(receita) * 10000 AS HUGEINT) AS w
+ FROM vendas GROUP BY ALL HAVING SUM(receita) > 0)""",
+                     """base AS (SELECT g.mes_ref, canal, any_value(cents) AS cents, COALESCE(MAX(m) FILTER (m <= g.mes_ref), MIN(m)) AS src
+ FROM g LEFT JOIN (SELECT DISTINCT mes_ref AS m, canal FROM c) USING (canal) GROUP BY 1, 2)""",
+                     """parts AS (SELECT b.mes_ref, b.canal, regional, produto, cents, w, SUM(w) OVER (PARTITION BY b.mes_ref, b.canal) AS t
+ FROM base b JOIN c ON c.canal = b.canal AND c.mes_ref = b.src)""",
+                     """cut AS (SELECT *, (cents * w) // t AS f, row_number() OVER (PARTITION BY mes_ref, canal ORDER BY (cents * w) % t DESC, regional, produto) AS nth FROM parts)""",
+                     select="""
+SELECT mes_ref, canal, regional, produto, CAST(w AS DOUBLE) / CAST(t AS DOUBLE) AS participacao,
+       CAST(CAST(f + CASE WHEN nth <= cents - SUM(f) OVER (PARTITION BY mes_ref, canal) THEN 1 ELSE 0 END AS DECIMAL(20,0)) AS DOUBLE) / 100 AS meta_receita
+FROM cut""")),
     "target_rollup": Entry(
         lambda s, d: E.target_rollup(T.metas(s, d), ["mes_ref", "canal"]),
         over_targets(select="SELECT mes_ref, canal, CAST(SUM(meta_receita) AS DOUBLE) AS meta_receita FROM metas GROUP BY ALL")),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from catalog.registry import Entry, over_sales
-from catalog.tables import AS_OF, vendas
+from catalog.tables import AS_OF, datas, vendas
 from vendaflux.operators import cohort as C
 from vendaflux.operators import filters as X
 from vendaflux.operators import insights as I
 from vendaflux.operators import lifecycle as L
 from vendaflux.plans.analyses import cohort_params
 
+CALENDAR = 80  # months from the first to the last date of the test tables
 _FIRST = "f AS (SELECT cliente_id, MIN(mes) AS c FROM vendas GROUP BY 1)"
 _CELLS = """n AS (
   SELECT strftime(c, '%Y-%m') AS coorte, CAST(date_diff('month', c, mes) AS INTEGER) AS periodo_idx,
@@ -74,23 +75,23 @@ def _sales(spark, d) -> DataFrame:
 
 
 QUERIES = {
-    "cohort_retention": Entry(lambda s, d: C.cohort_retention(_sales(s, d)), _cohort_sql("SELECT * FROM ret")),
-    "cohort_counts": Entry(lambda s, d: C.cohort_counts(_sales(s, d)), _cohort_sql("SELECT * FROM n")),
+    "cohort_retention": Entry(lambda s, d: C.cohort_retention(_sales(s, d), dates=datas(s, d)), _cohort_sql("SELECT * FROM ret")),
+    "cohort_counts": Entry(lambda s, d: C.cohort_counts(_sales(s, d), dates=datas(s, d)), _cohort_sql("SELECT * FROM n")),
     "cohort_revenue": Entry(lambda s, d: C.cohort_revenue(_sales(s, d)), _cohort_sql("SELECT coorte, receita FROM resumo")),
-    "cohort_summary": Entry(lambda s, d: C.cohort_summary(_sales(s, d)), _cohort_sql("SELECT * FROM resumo")),
+    "cohort_summary": Entry(lambda s, d: C.cohort_summary(_sales(s, d), dates=datas(s, d)), _cohort_sql("SELECT * FROM resumo")),
     "J_left_marks": Entry(
-        lambda s, d: C.cohort_summary(_sales(s, d)).select("coorte", "retencao_m1", "retencao_m2", "retencao_m3"),
+        lambda s, d: C.cohort_summary(_sales(s, d), dates=datas(s, d)).select("coorte", "retencao_m1", "retencao_m2", "retencao_m3"),
         _cohort_sql("""
 SELECT b.coorte, a1.retencao AS retencao_m1, a2.retencao AS retencao_m2, a3.retencao AS retencao_m3 FROM (SELECT coorte FROM ret WHERE periodo_idx = 0) b
 LEFT JOIN ret a1 ON a1.coorte = b.coorte AND a1.periodo_idx = 1 LEFT JOIN ret a2 ON a2.coorte = b.coorte AND a2.periodo_idx = 2
 LEFT JOIN ret a3 ON a3.coorte = b.coorte AND a3.periodo_idx = 3""")),
-    "cohort_averages": Entry(lambda s, d: C.cohort_averages(C.cohort_summary(_sales(s, d))), _cohort_sql("SELECT * FROM medias", _MEANS)),
-    "cohort_best_worst": Entry(lambda s, d: C.cohort_best_worst(C.cohort_summary(_sales(s, d))), _cohort_sql("SELECT * FROM extremos", _BESTS)),
+    "cohort_averages": Entry(lambda s, d: C.cohort_averages(C.cohort_summary(_sales(s, d), dates=datas(s, d))), _cohort_sql("SELECT * FROM medias", _MEANS)),
+    "cohort_best_worst": Entry(lambda s, d: C.cohort_best_worst(C.cohort_summary(_sales(s, d), dates=datas(s, d))), _cohort_sql("SELECT * FROM extremos", _BESTS)),
     "max_life_month": Entry(
         lambda s, d: C.max_life_month(_sales(s, d)),
         _cohort_sql("SELECT MAX(periodo_idx) AS janela_meses, COUNT(DISTINCT coorte) AS coortes FROM ret")),
     "m0_filter": Entry(
-        lambda s, d: X.m0_filter(C.cohort_retention(_sales(s, d))).select("coorte", "clientes_base"),
+        lambda s, d: X.m0_filter(C.cohort_retention(_sales(s, d), dates=datas(s, d))).select("coorte", "clientes_base"),
         _cohort_sql("SELECT coorte, clientes_base FROM ret WHERE periodo_idx = 0")),
     "cohort_by_channel": Entry(
         lambda s, d: C.cohort_by_channel(vendas(s, d, "cliente_id", "data", "canal", "receita")),
@@ -99,12 +100,10 @@ LEFT JOIN ret a3 ON a3.coorte = b.coorte AND a3.periodo_idx = 3""")),
 SELECT q.*, b.clientes_ativos AS clientes_base, round_even(CAST(q.clientes_ativos AS DOUBLE) / b.clientes_ativos, 4) AS retencao
 FROM q LEFT JOIN q b ON b.canal = q.canal AND b.coorte = q.coorte AND b.periodo_idx = 0""")),
     "retention_matrix": Entry(
-        lambda s, d: C.retention_matrix(C.cohort_retention(_sales(s, d))),
-        _cohort_sql("SELECT * FROM (PIVOT largura ON mes USING MAX(retencao)) WHERE coorte IS NOT NULL", """largura AS (
-  SELECT coorte, 'm' || periodo_idx AS mes, retencao FROM ret
-  UNION ALL SELECT NULL, 'm' || k, NULL FROM (SELECT unnest(generate_series(0, (SELECT MAX(periodo_idx) FROM ret))) AS k))""")),
+        lambda s, d: C.retention_matrix(C.cohort_retention(_sales(s, d), dates=datas(s, d)), widest=C.life_months(datas(s, d))),
+        _cohort_sql("SELECT coorte, " + ", ".join(f"MAX(retencao) FILTER (periodo_idx = {k}) AS m{k}" for k in range(CALENDAR)) + " FROM ret GROUP BY coorte")),
     "retention_heatmap_points": Entry(
-        lambda s, d: C.retention_heatmap_points(C.cohort_retention(_sales(s, d))),
+        lambda s, d: C.retention_heatmap_points(C.cohort_retention(_sales(s, d), dates=datas(s, d))),
         _cohort_sql("SELECT coorte, periodo_idx, retencao FROM ret")),
     "params_cohort": Entry(
         lambda s, d: cohort_params(_sales(s, d)),
@@ -113,7 +112,7 @@ SELECT 'definicao_coorte' AS parametro, 'Mês da primeira compra por cliente' AS
 UNION ALL SELECT 'janela_meses', CAST(MAX(periodo_idx) AS VARCHAR) FROM ret
 UNION ALL SELECT 'metrica_retencao', 'clientes_ativos / clientes_base (M0)'""")),
     "insights_cohort": Entry(
-        lambda s, d: I.insights_cohort(C.cohort_summary(_sales(s, d))),
+        lambda s, d: I.insights_cohort(C.cohort_summary(_sales(s, d), dates=datas(s, d))),
         _cohort_sql("""
 SELECT 'media' AS topico, unnest(['m1', 'm2', 'm3']) AS chave, unnest([media_m1, media_m2, media_m3]) AS valor, CAST(NULL AS VARCHAR) AS texto FROM medias
 UNION ALL SELECT grupo, CAST(posicao AS VARCHAR), retencao_m1, coorte FROM extremos""", _BESTS, _MEANS)),

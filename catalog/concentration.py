@@ -82,12 +82,12 @@ def _confirmed(spark, d):
 
 
 def _report(spark, d):
-    return A.abc_client_report(_confirmed(spark, d), T.clientes(spark, d), AS_OF)
+    return A.abc_client_report(_confirmed(spark, d), T.clientes(spark, d), AS_OF, T.datas(spark, d))
 
 
 QUERIES = {
     "client_metrics": Entry(
-        lambda s, d: A.client_metrics(_confirmed(s, d)).withColumn("receita", M.as_double(F.col("receita"))),
+        lambda s, d: A.client_metrics(_confirmed(s, d), T.datas(s, d)).withColumn("receita", M.as_double(F.col("receita"))),
         over_sales(_metrics(_CONFIRMED), select="SELECT * EXCLUDE (x), CAST(x AS DOUBLE) AS receita FROM metricas")),
     "client_revenue": Entry(
         lambda s, d: A.client_revenue(_clients(s, d)).withColumn("receita", M.as_double(F.col("receita"))).orderBy(F.desc("receita"), "cliente_id"),

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from catalog.registry import Entry, over_sales, over_targets
-from catalog.tables import metas, vendas
+from catalog.tables import datas, metas, vendas
 from vendaflux.operators import abc as A
 from vendaflux.operators import cohort as C
 from vendaflux.operators import decompose as D
@@ -89,7 +89,7 @@ QUERIES = {
             ("canal_sem_vendas", "SELECT COUNT(*) FROM (SELECT canal FROM metas EXCEPT SELECT canal FROM vendas)")))),
     "dq_cohort_output": Entry(
         lambda s, d: Q.dq_cohort_output(
-            C.cohort_retention(vendas(s, d, "cliente_id", "data", "receita")), C.cohort_summary(vendas(s, d, "cliente_id", "data", "receita"))),
+            C.cohort_retention(vendas(s, d, "cliente_id", "data", "receita"), dates=datas(s, d)), C.cohort_summary(vendas(s, d, "cliente_id", "data", "receita"), datas(s, d))),
         over_sales(_FIRST, _CELLS, _RET, _SUM, select=_report(
             ("base_por_coorte", "SELECT COUNT(*) FILTER (b <> 1) FROM (SELECT coorte, COUNT(*) FILTER (periodo_idx = 0) AS b FROM ret GROUP BY 1)"),
             ("retencao_fora_de_faixa", _fails("retencao BETWEEN 0 AND 1", "ret")), ("m0_diferente_de_1", _count("periodo_idx = 0 AND retencao <> 1", "ret")),

@@ -95,6 +95,11 @@ def vendas(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return out.select(*cols)
 
 
+def datas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates of the fact, from the narrowest table that has them."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("data"))
+
+
 def faturamento(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact alone, before any dimension."""
     return vendas(spark, sf_dir, "cliente_id", "produto_id", "data", "receita", "valor_tabela", "status_faturamento")

@@ -7,6 +7,7 @@ import pytest
 from catalog import entries
 from catalog.tables import AS_OF, vendas
 from vendaflux.operators.filters import effective_only, horizon
+from vendaflux.operators.ranking import global_rank
 from vendaflux.plans import analyses
 from vendaflux.plans.materialise import ensure_checkpoint_dir
 from vendaflux.sources import synth
@@ -77,3 +78,29 @@ def test_analyses_write_their_tables(spark, tmp_path):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_ranked_rows_move_once(spark, no_broadcast):
+    """Client rows are shuffled to their range only; nothing is checkpointed."""
+    df = spark.range(5000).selectExpr("id AS cliente_id", "CAST(id % 700 AS DECIMAL(18,4)) AS receita")
+    text = plan(global_rank(df, "receita", "cliente_id"))
+    lines = text.splitlines()
+    below = [after for line, after in zip(lines, lines[1:]) if re.search(r"(?<!Broadcast)Exchange ", line)]
+    assert "rangepartitioning" not in text and "Scan ExistingRDD" not in text
+    # offsets are aggregated before they move, or are few rows by then; the rows themselves move once
+    assert sum("Aggregate" not in x and "Window" not in x for x in below) == 1, below
+
+
+@pytest.mark.parametrize("name", ["dq_sales", "duplicates"])
+def test_duplicate_screening_shuffles_hashes_first(spark, no_broadcast, name):
+    """The exchange that all rows pass carries the hash and a count."""
+    text = plan(entries()[name].run(spark, SF))
+    assert re.search(r"HashAggregate\(keys=\[_marca#\d+L?\], functions=\[partial_count", text)
+    assert "LeftSemi" in text
+
+
+def test_no_month_sequence_and_no_expand(spark):
+    assert "sequence(" not in plan(entries()["lifecycle_counts"].run(spark, SF))
+    for name in ("client_metrics", "client_lifespan", "cohort_retention"):
+        text = plan(entries()[name].run(spark, SF))
+        assert "Expand" not in text and "bit_or" in text, name

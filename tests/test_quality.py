@@ -1,8 +1,12 @@
 from datetime import date
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from conftest import rows
 from vendaflux.operators import abc as A
 from vendaflux.operators import cohort as C
+from vendaflux.operators import profile as P
 from vendaflux.operators import quality as Q
 from vendaflux.sources import synth
 
@@ -54,3 +58,13 @@ def test_adhoc_input_reports_gaps(spark):
     got = report(Q.dq_adhoc_input(df))
     assert (got["meses_insuficientes"], got["meses_zerados"], got["receita_negativa"], got["produto_em_uma_so_janela"]) == (2, 1, 1, 1)
     assert got["soma_dos_deltas"] == 0
+
+
+def test_clashing_hashes_make_no_duplicate(spark, monkeypatch):
+    """With one hash for all rows the full columns decide; NULLs are equal to NULLs."""
+    data = [(1, "a", None), (1, "a", None), (1, "b", None), (1, None, "a"), (2, "b", 'x'), (2, "b", 'x'), (2, "b", 'x')]
+    df = spark.createDataFrame(data, "k int, x string, y string")
+    want = [(1, "a", None, 2), (2, "b", "x", 3)]
+    assert rows(P.duplicates(df)) == want
+    monkeypatch.setattr(P, "row_mark", lambda cols: F.lit(7).cast("bigint"))
+    assert rows(P.duplicates(df)) == want

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -113,3 +114,44 @@ def test_contract_discount(spark):
     v = spark.createDataFrame([(1,), (2,)], "cliente_id int")
     terms = spark.createDataFrame([(1, 0.1)], "cliente_id int, desconto_contratual double")
     assert rows(E.contract_discount(v, terms)) == [(1, 0.1), (2, 0.0)]
+
+
+def apportioned(cents, weights):
+    """Largest remainder over sorted keys, in whole numbers."""
+    total = sum(weights.values())
+    parts = {k: cents * w // total for k, w in weights.items()}
+    left = cents - sum(parts.values())
+    for k in sorted(weights, key=lambda k: (-(cents * weights[k] % total), k))[:left]:
+        parts[k] += 1
+    return parts
+
+
+def test_allocation_against_brute_force(spark):
+    """Months without sales, keys that never sold, awkward shares: the cents of every target are all there."""
+    rnd = random.Random(11)
+    months, shops, items = [date(2024, m, 1) for m in range(1, 7)], ["A", "B", "C"], ["p", "q", "r", "s", "t", "u", "v"]
+    sales = [(m, c, p, Decimal(rnd.randrange(1, 10 ** 6)) / 10000) for m in months for c in shops[:2] for p in items if rnd.random() < 0.6 and (c, m.month) not in {("A", 3), ("A", 4), ("B", 1)}]
+    goals = [(f"2024-{m:02}", c, Decimal(rnd.randrange(1, 10 ** 7)) / 100) for m in range(1, 8) for c in shops]
+    v = spark.createDataFrame(sales, "data date, canal string, produto string, receita decimal(18,4)")
+    t = spark.createDataFrame(goals + [("2024-01", "A", Decimal("0.01"))], "mes_ref string, canal string, meta_receita decimal(18,2)")
+    want = {}
+    for m, c, goal in goals:
+        if (m, c) == ("2024-01", "A"):
+            goal += Decimal("0.01")
+        sold = sorted({f"{d:%Y-%m}" for d, k, _, _ in sales if k == c})
+        base = max([x for x in sold if x <= m], default=min(sold, default=None))
+        weights = {p: int(x * 10000) for d, k, p, x in sales if k == c and f"{d:%Y-%m}" == base} if base else {p: 1 for p in {s[2] for s in sales}}
+        want |= {(m, c, p): n for p, n in apportioned(int(goal * 100), weights).items()}
+    got = E.target_allocate(t, v, ["mes_ref", "canal"], ["produto"]).collect()
+    assert {(r.mes_ref, r.canal, r.produto): round(r.meta_receita * 100) for r in got} == want and len(got) == len(want)
+    for m, c, goal in goals:
+        share = sum(r.participacao for r in got if (r.mes_ref, r.canal) == (m, c))
+        assert share == pytest.approx(1)
+
+
+def test_allocation_of_a_total_target_and_without_sales(spark):
+    v = spark.createDataFrame([(date(2024, 1, 1), "X", Decimal(1)), (date(2024, 1, 9), "Y", Decimal(2)), (date(2024, 1, 9), "Z", Decimal(-5))], "data date, canal string, receita decimal(18,4)")
+    t = spark.createDataFrame([("2024-05", Decimal(100))], "mes_ref string, meta_receita decimal(18,4)")
+    assert rows(E.target_allocate(t, v, ["mes_ref"], ["canal"]).select("canal", "meta_receita")) == [("X", 33.33), ("Y", 66.67)]
+    none = E.target_allocate(t, v.limit(0), ["mes_ref"], ["canal"])
+    assert rows(none.select("mes_ref", "canal", "meta_receita")) == [("2024-05", None, 100.0)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendaflux.functions import measures as M
@@ -48,7 +48,22 @@ def distinct_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
+def repeated_rows(df: DataFrame, cols: Sequence[str], name: str = "ocorrencias") -> DataFrame:
+    """Rows (of ``cols``) that occur more than once, with their count, in two stages.
+
+    A 64-bit hash of the row is counted first, so only hashes and counts of all rows are shuffled.  Whole rows move
+    only where the hash repeats; they are counted by their columns, so a clash of hashes cannot make a duplicate.
+    Copies are combined before either shuffle, so a row that fills a third of the table is one row by then."""
+    marked = df.select(*cols, row_mark(cols).alias("_marca"))
+    again = marked.groupBy("_marca").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_marca")
+    return marked.join(again, "_marca", "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
+
+
+def row_mark(cols: Sequence[str]) -> Column:
+    """Hash of a row; NULLs count by their place."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])
+
+
 def duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Keys (default: whole rows) that occur more than once, with their count."""
-    cols = list(cols or df.columns)
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("ocorrencias")).filter(F.col("ocorrencias") > 1)
+    return repeated_rows(df, list(cols or df.columns))

@@ -13,6 +13,7 @@ from vendaflux.functions import values as V
 from vendaflux.functions.months import month_diff, month_key, month_start
 from vendaflux.operators.adhoc import client_discount_ticket, has_discount, latest_months, window_rows
 from vendaflux.operators.joins import keys_only_in_left
+from vendaflux.operators.profile import repeated_rows
 from vendaflux.sources.schema import column_set_diff
 
 
@@ -39,21 +40,21 @@ def _nulls(df: DataFrame, required: Sequence[str]) -> Column:
 def dq_sales(v: DataFrame) -> DataFrame:
     """Columns, nulls, duplicate rows, discount range, positive figures.
 
-    The duplicate check needs equal rows together, so it sets the one shuffle;
-    the other rules ride on it, weighted by the number of copies.  Copies are
-    combined before the shuffle.  Rules on absent columns are left out.
+    One pass combines the rules per row hash before the only shuffle of all rows, which carries the hash and counts;
+    whole rows move only where a hash repeats (``repeated_rows``).  Rules on absent columns are left out.
     """
     cols = [c for c in V.REQUIRED_SALES if c in v.columns]
-    g = v.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
-    aggs = {"nulos": F.sum(_nulls(v, cols) * n), "linhas_duplicadas": F.sum(n - 1)}
+    aggs = {"nulos": F.sum(_nulls(v, cols))}
     if "desconto_pct" in cols:
-        aggs["desconto_fora_da_faixa"] = _fails(F.col("desconto_pct").between(*V.DISCOUNT_RANGE), n)
+        aggs["desconto_fora_da_faixa"] = _fails(F.col("desconto_pct").between(*V.DISCOUNT_RANGE))
     for c in ("quantidade", "receita", "custo"):
         if c in cols:
-            aggs[f"{c}_nao_positiva"] = _fails(F.col(c) > 0, n)
-    one = g.agg(*[a.alias(name) for name, a in aggs.items()])
-    return _rows(one, {"colunas_ausentes": _missing(v, V.REQUIRED_SALES), **{k: F.col(k) for k in aggs}})
+            aggs[f"{c}_nao_positiva"] = _fails(F.col(c) > 0)
+    one = v.agg(*[a.alias(name) for name, a in aggs.items()])
+    copies = repeated_rows(v, cols).agg(F.coalesce(F.sum(F.col("ocorrencias") - 1), F.lit(0)).alias("linhas_duplicadas"))
+    rules = {"colunas_ausentes": _missing(v, V.REQUIRED_SALES), "nulos": F.col("nulos"), "linhas_duplicadas": F.col("linhas_duplicadas"),
+             **{k: F.col(k) for k in aggs if k != "nulos"}}
+    return _rows(one.withColumn("linhas_duplicadas", copies.scalar()), rules)
 
 
 def dq_targets(m: DataFrame) -> DataFrame:

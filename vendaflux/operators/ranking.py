@@ -1,39 +1,69 @@
 """Global rank, running sum and shares without a single-task window.
 
 ``row_number() over (order by x)`` has no partition key, so Spark sends every
-row to one task.  Here the rows are range-partitioned on (keys, value, tie
-breaker): the tie breaker splits groups of equal values, so no range can be
-hot.  Each range is numbered locally; the ranges' totals (one row per range)
-give the offsets.
+row to one task.  Here one job takes a bounded sample and cuts the order into
+ranges of about equal size.  A cut is a value and a tie breaker, so a value
+that very many rows share is cut as well.  The cuts are constants of the plan:
+the range of a row is an expression that gives the same for a recomputed row.
 
-The ranged rows are materialised once.  That fixes the range number of every
-row, so the two branches that read it agree even when a task is retried.
+The rows then move once, to their range, and are numbered there; the ranges'
+totals (few rows, combined before the shuffle) give the offsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vendaflux.functions import measures as M
-from vendaflux.plans.materialise import materialise
 
+#: Sampled rows for each range; ranges at most, so that the sample on the driver is bounded.
+SAMPLED_PER_RANGE, MOST_RANGES = 32, 8192
 
-def global_rank(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
+
+def order_cuts(df: DataFrame, value: str, tie: str) -> list[tuple]:
+    """Pairs (value, tie) that cut the order (value descending, tie ascending) into ranges of about equal size.
+
+    The sample is the rows with the smallest hashes of the tie breaker: the same for every run over the same rows."""
+    ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    size = ranges * SAMPLED_PER_RANGE
+    sample = df.select(value, tie).orderBy(F.xxhash64(tie, value)).limit(size).collect()  # at most ``size`` pairs
+    known = sorted((r for r in sample if r[0] is not None and r[1] is not None), key=lambda r: r[1])
+    known.sort(key=lambda r: r[0], reverse=True)
+    step = max(1, len(known) // ranges)
+    return [tuple(r) for r in known[step::step]]
+
+
+def range_of(value: str, tie: str, cuts: list[tuple], schema: T.StructType) -> Column:
+    """Number of cuts at or before a row, by binary search in a constant."""
+    if not cuts:
+        return F.lit(0)
+    kinds = [schema[value].dataType, schema[tie].dataType]
+    table = F.array(*[F.struct(F.lit(v).cast(kinds[0]).alias("v"), F.lit(t).cast(kinds[1]).alias("t")) for v, t in cuts])
+    v, t = F.col(value), F.col(tie)
+
+    def go(low: Column, step: Column) -> Column:
+        cut = F.get(table, low + step - 1)
+        before = F.coalesce((cut["v"] > v) | ((cut["v"] == v) & (cut["t"] <= t)) | v.isNull(), F.lit(False))
+        return F.when(before, low + step).otherwise(low)
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), go)
+
+
+def global_rank(df: DataFrame, value: str, tie: str, by: Sequence[str] = (), cut_by: DataFrame | None = None) -> DataFrame:
     """Add ``posicao_ranking``, ``acumulado``, ``total`` and ``n_total`` (descending by ``value``).
 
     ``df`` must have one row per (``by``, ``tie``) and an exact ``value``
     (decimal or integer): then a recomputed row always has the same value.
+    ``cut_by`` may name a cheaper table of the same values and ties for the job that finds the cuts.
     """
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(
-        df.repartitionByRange(ranges, *by, F.desc(value), F.asc(tie))
-        .withColumn("_faixa", F.spark_partition_id())
-    )
-    # At most ``ranges`` rows per key: the windows below run on range totals only.
+    cuts = order_cuts(df if cut_by is None else cut_by, value, tie)
+    ranged = df.withColumn("_faixa", range_of(value, tie, cuts, df.schema))
+    # At most one row per key and range: the windows below run on range totals only.
     per_range = ranged.groupBy(*by, "_faixa").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*by).orderBy("_faixa")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
