@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.registry import Entry, over_sales
-from catalog.tables import AS_OF, vendas
+from catalog.tables import AS_OF, datas, vendas
 from vendaflux.operators import adhoc as H
 from vendaflux.operators import filters as X
 from vendaflux.operators import insights as I
@@ -42,7 +42,7 @@ def _pairs(spark, d):
 
 
 def _delta(spark, d):
-    return H.product_delta(_products(spark, d), dates=vendas(spark, d, "data"))
+    return H.product_delta(_products(spark, d), dates=datas(spark, d))
 
 
 def _all(spark, d):

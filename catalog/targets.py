@@ -7,13 +7,12 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from catalog.registry import Entry, over_sales, over_targets
-from catalog.tables import AS_OF, metas, vendas
+from catalog.tables import AS_OF, datas, metas, vendas
 from vendaflux.operators import decompose as D
 from vendaflux.operators import filters as X
 from vendaflux.operators import gap as G
 from vendaflux.operators import insights as I
 from vendaflux.plans.analyses import gap_params, month_cells
-from vendaflux.plans.materialise import materialise
 
 JULY = date(2001, 7, 1)  # the last full month of the test tables
 
@@ -82,8 +81,8 @@ def _cv(spark, d):
 
 
 def _dates(spark, d):
-    """Dates of the billed lines without any dimension."""
-    return vendas(spark, d, "data")
+    """Every date of the billed lines, from the orders alone (each order has lines)."""
+    return datas(spark, d)
 
 
 def _detail(spark, d):
@@ -91,10 +90,8 @@ def _detail(spark, d):
 
 
 def _insights(spark, d):
-    """The month cells are computed once and serve the summary and the detail."""
-    cells, m = materialise(month_cells(_v(spark, d))), materialise(metas(spark, d))
     decomp = D.decompose_gap(_cv(spark, d), last_month=JULY, dates=_dates(spark, d))
-    return I.insights_gap(G.gap_monthly(cells, m), G.gap_detail(cells, m), decomp)
+    return I.insights_gap(_v(spark, d), metas(spark, d), decomp)
 
 
 _MIX = """q AS (SELECT produto, CAST(SUM(quantidade) FILTER (mes = DATE '2001-06-01') AS DOUBLE) AS q0,

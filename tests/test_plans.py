@@ -104,3 +104,15 @@ def test_no_month_sequence_and_no_expand(spark):
     for name in ("client_metrics", "client_lifespan", "cohort_retention"):
         text = plan(entries()[name].run(spark, SF))
         assert "Expand" not in text and "bit_or" in text, name
+
+
+def test_months_are_looked_up_without_the_fact(spark):
+    """The billed lines are read once; the months come from the orders."""
+    for name in ("decompose_gap", "decompose_detail", "decompose_mix", "product_delta"):
+        text = plan(entries()[name].run(spark, SF))
+        assert len(re.findall(r"FileScan parquet \[l_orderkey", text)) == 1, name
+
+
+def test_gap_facts_need_no_checkpoint(spark, no_broadcast):
+    text = plan(entries()["insights_gap"].run(spark, SF))
+    assert "Scan ExistingRDD" not in text and "Expand" in text

@@ -1,11 +1,15 @@
 import random
+import re
 from datetime import date
 from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import rows
 from vendaflux.functions import values as V
+from vendaflux.operators import decompose as D
 from vendaflux.operators import quality as Q
 from vendaflux.sources import extracts as E
 from vendaflux.sources import readers as R
@@ -155,3 +159,49 @@ def test_allocation_of_a_total_target_and_without_sales(spark):
     assert rows(E.target_allocate(t, v, ["mes_ref"], ["canal"]).select("canal", "meta_receita")) == [("X", 33.33), ("Y", 66.67)]
     none = E.target_allocate(t, v.limit(0), ["mes_ref"], ["canal"])
     assert rows(none.select("mes_ref", "canal", "meta_receita")) == [("2024-05", None, 100.0)]
+
+
+@pytest.mark.parametrize("most", [R.LITERAL_LABELS, 0])
+def test_both_routes_of_a_mapping_give_the_same_rows(spark, most):
+    """One label holds half of the rows; labels without a mapping, NULLs and chains are kept as they are."""
+    rnd = random.Random(5)
+    data = [("hot" if rnd.random() < 0.5 else rnd.choice(["a", "b", "c", None, "HOT"]), i) for i in range(2000)]
+    v = spark.createDataFrame(data, "canal string, n int").repartition(7)
+    pairs = {"hot": "HOT", "a": "b", "b": "x", "zz": "y"}
+    mapping = spark.createDataFrame([*pairs.items(), (None, "never")], "de string, para string")
+    got = R.normalise_keys(v, "canal", mapping, most)
+    assert got.columns == v.columns and rows(got) == sorted(((pairs.get(c, c), n) for c, n in data), key=str)
+    assert rows(R.normalise_keys(v, "canal", mapping.limit(0), most)) == rows(v)
+
+
+def test_hot_label_is_dealt_to_several_tasks(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, x in zip(old, ("-1", "false")):
+        spark.conf.set(k, x)
+    try:
+        v = spark.range(4000, numPartitions=8).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("l").alias("canal"), "id")
+        mapping = spark.createDataFrame([(f"x{i}", "y") for i in range(500)] + [("hot", "HOT")], "de string, para string")
+        got = R.normalise_keys(v, "canal", mapping).withColumn("task", F.spark_partition_id()).filter("canal = 'HOT'")
+        assert got.select("task").distinct().count() > 3 and got.count() == 2666
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+
+
+def test_stored_months_prune_the_scan(spark, tmp_path):
+    """Months come from folder names; the scan lists only the months wanted, and results equal those of the whole table."""
+    data = [(date(2024, m, 3), f"2024-{m:02}", c, k, Decimal(10 * m + k)) for m in (1, 2, 4, 5) for c in "XY" for k in range(m)]
+    v = spark.createDataFrame(data, "data date, mes_ref string, canal string, cliente_id int, receita decimal(18,4)")
+    stored = spark.read.parquet(W.write_by_month(v, str(tmp_path / "extract")))
+    assert R.stored_months(stored) == ["2024-05", "2024-04", "2024-02", "2024-01"]
+    two = R.latest_stored_months(stored, 2)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[mes_ref#\d+ IN \(2024-05,2024-04\)\]", plan)
+    assert rows(two.select("mes_ref").distinct()) == [("2024-04",), ("2024-05",)]
+    text = D.decompose_gap(two, dates=two)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+    assert rows(D.decompose_gap(two)) == rows(D.decompose_gap(v))
+    assert rows(R.latest_stored_months(stored, 1, "2024-03").select("mes_ref").distinct()) == [("2024-02",)]
+    months = spark.createDataFrame([("2024-01", 1), ("2024-01", 2), ("2024-04", 1), ("2030-01", 1)], "mes_ref string, k int")
+    some = R.rows_of_months(stored, months.filter("k = 1"))
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString().lower() and some.count() == 10

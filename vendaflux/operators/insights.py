@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from vendaflux.functions import measures as M
 from vendaflux.functions import values as V
+from vendaflux.functions.months import month_key, month_start
 from vendaflux.operators.abc import _class_totals
 from vendaflux.operators.adhoc import discount_correlation, product_delta, top_declines
 from vendaflux.operators.cohort import cohort_averages, cohort_best_worst
-from vendaflux.operators.decompose import effect_totals
-from vendaflux.operators.gap import gap_drivers, gap_extremes, status_counts
 from vendaflux.plans.materialise import materialise
 
 
@@ -72,32 +71,71 @@ def insights_adhoc(v: DataFrame, as_of: date | None = None) -> DataFrame:
     return _union(falls, _facts(corr, _fact("correlacao", "r", F.col("r"), F.col("interpretacao"))))
 
 
-def insights_gap(monthly: DataFrame, detail: DataFrame, decomp: DataFrame) -> DataFrame:
+def _gap_levels(v: DataFrame, m: DataFrame, tolerance: float) -> DataFrame:
+    """Realised, target and gap per month, product and channel, from one pass over the cells of sales and targets.
+
+    A month counts when both sides have it; products and channels add up the cells that have both a sale and a target.
+    """
+    money = "decimal(28,4)"
+    real = v.groupBy(month_start("data").alias("_mes"), *V.DIMENSIONS).agg(F.sum("receita").cast(money).alias("_r"))
+    real = real.select(month_key("_mes").alias("mes_ref"), *V.DIMENSIONS, "_r")
+    goal = m.groupBy(*V.TARGET_KEYS).agg(F.sum(F.col("meta_receita").cast(money)).alias("_m"))
+    cells = real.join(goal, list(V.TARGET_KEYS), "full")
+    month, product, channel = (F.col(c) for c in ("mes_ref", "produto", "canal"))
+    level = F.when(F.grouping("mes_ref") == 0, "mes").when(F.grouping("produto") == 0, "produto").otherwise("canal")
+    sums = cells.groupingSets([[month], [product], [channel]], month, product, channel).agg(
+        level.alias("nivel"), F.sum("_r").alias("_r"), F.sum("_m").alias("_m"), F.count("_r").alias("_n"),
+        F.coalesce(F.sum(F.col("_r") - F.col("_m")), F.lit(0)).alias("_g"))
+    pct = M.half_even(M.ratio(F.col("_r") - F.col("_m"), F.col("_m")), 4)
+    return sums.select(
+        "nivel", F.coalesce("mes_ref", "produto", "canal").alias("chave"), "_r", "_m", "_n", M.as_double(F.col("_g")).alias("gap_celulas"),
+        M.as_double(F.col("_r") - F.col("_m")).alias("gap"), pct.alias("gap_pct"), M.gap_status(pct, tolerance).alias("status"))
+
+
+def insights_gap(v: DataFrame, m: DataFrame, decomp: DataFrame, tolerance: float = V.GAP_TOLERANCE) -> DataFrame:
     """Last month, months per status, drivers by product and channel, effects and the diagnosis.
 
-    Each input is materialised once: all are small aggregates that several branches read.
+    ``v`` are sales (or sums of them by ``data`` and dimensions), ``m`` targets.  Nothing is materialised: the levels
+    come from one pass with grouping sets, and ordered aggregates turn them into one row that is unfolded to facts.
+    Lists in that row hold a value per channel, none per month or client.
     """
-    monthly, detail, decomp = materialise(monthly), materialise(detail), materialise(decomp)
-    last = monthly.orderBy(F.desc("mes_ref")).limit(1)
-    last_facts = _facts(
-        last, *[_fact("ultimo_mes", c, F.col(c), F.col("mes_ref")) for c in ("realizado", "meta", "gap", "gap_pct")],
-        _fact("ultimo_mes", "status", None, F.col("status")))
-    counts = monthly.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in (V.GAP_ABOVE, V.GAP_ON, V.GAP_BELOW)])
-    status = _facts(counts, *[_fact("meses", s, F.col(f"`{s}`")) for s in (V.GAP_ABOVE, V.GAP_ON, V.GAP_BELOW)])
-    ends = gap_extremes(detail, "produto")
-    product = _facts(ends, _fact("produto", "detrator", F.col("pior_valor"), F.col("pior")),
-                     _fact("produto", "destaque", F.col("melhor_valor"), F.col("melhor")))
-    channel = gap_drivers(detail, "canal").select(
-        F.inline(F.array(_fact("canal", F.col("canal"), F.col("gap"), F.when(F.col("gap") < 0, "negativo").otherwise("positivo")))))
-    e = effect_totals(decomp)
-    effects = _facts(
-        e, _fact("decomposicao", "gap_total", F.col("gap_total")),
-        _fact("decomposicao", "efeito_volume", F.col("efeito_volume")),
-        _fact("decomposicao", "efeito_preco", F.col("efeito_preco")),
-        _fact("decomposicao", "efeito_cruzado", F.col("efeito_cruzado")),
-        _fact("decomposicao", "pct_volume", F.col("pct_volume")), _fact("decomposicao", "pct_preco", F.col("pct_preco")),
-        _fact("decomposicao", "dominante", None, F.col("efeito_dominante"))).filter(
-            F.col("valor").isNotNull() | (F.col("chave") == "dominante"))
-    per_channel = decomp.select(F.inline(F.array(*[
-        _fact(f"canal_{c}", F.col("canal"), F.round(c, 2)) for c in ("efeito_volume", "efeito_preco", "efeito_cruzado")])))
-    return _union(last_facts, status, product, channel, effects, per_channel)
+    at = F.col("nivel")
+    both = (at == "mes") & F.col("_r").isNotNull() & F.col("_m").isNotNull()
+    figures = F.struct("chave", M.as_double(F.col("_r")).alias("realizado"), M.as_double(F.col("_m")).alias("meta"), "gap", "gap_pct", "status")
+    # a product or channel that has only targets is no driver
+    driver = F.col("_n") > 0
+    worst = F.min(F.when((at == "produto") & driver, F.struct("gap_celulas", "chave")))
+    best = F.min(F.when((at == "produto") & driver, F.struct((-F.col("gap_celulas")).alias("v"), "chave")))
+    channels = F.sort_array(F.collect_list(F.when((at == "canal") & driver, F.struct("chave", "gap_celulas"))))
+    one = _gap_levels(v, m, tolerance).agg(
+        F.max(F.when(both, figures)).alias("u"), worst.alias("w"), best.alias("b"), channels.alias("c"),
+        *[F.count(F.when(both & (F.col("status") == s), 1)).alias(s) for s in (V.GAP_ABOVE, V.GAP_ON, V.GAP_BELOW)])
+    u = F.col("u")
+    fixed = F.array(
+        *[_fact("ultimo_mes", c, u[c], u["chave"]) for c in ("realizado", "meta", "gap", "gap_pct")], _fact("ultimo_mes", "status", None, u["status"]),
+        *[_fact("meses", s, F.col(f"`{s}`")) for s in (V.GAP_ABOVE, V.GAP_ON, V.GAP_BELOW)],
+        _fact("produto", "detrator", F.col("w.gap_celulas"), F.col("w.chave")), _fact("produto", "destaque", -F.col("b.v") + F.lit(0.0), F.col("b.chave")))
+    per_channel = F.transform("c", lambda x: _fact("canal", x["chave"], x["gap_celulas"], F.when(x["gap_celulas"] < 0, "negativo").otherwise("positivo")))
+    levels = one.select(F.inline(F.concat(F.filter(fixed, lambda f: (f["topico"] != "ultimo_mes") | u.isNotNull()), per_channel)))
+    return levels.unionByName(_effect_facts(decomp))
+
+
+def _effect_facts(decomp: DataFrame) -> DataFrame:
+    """Totals of the effects and the effects per channel, from one read of the decomposition."""
+    effects = ("efeito_volume", "efeito_preco", "efeito_cruzado")
+    one = decomp.agg(*[F.round(F.sum(c), 2).alias(c) for c in (*effects, "gap_total")],
+                     F.sort_array(F.collect_list(F.struct("canal", *[F.round(c, 2).alias(c) for c in effects]))).alias("c"))
+
+    def pct(c: str) -> Column:
+        return M.ratio_or_zero(F.abs(F.col(c)), F.abs(F.col("gap_total"))) * 100
+
+    totals = [_fact("decomposicao", c, F.col(c)) for c in ("gap_total", *effects)]
+    totals += [_fact("decomposicao", "pct_volume", pct("efeito_volume")), _fact("decomposicao", "pct_preco", pct("efeito_preco"))]
+    known = F.filter(F.array(*totals), lambda f: f["valor"].isNotNull())
+    dominant = F.array(_fact("decomposicao", "dominante", None, M.dominant_effect(F.col("efeito_volume"), F.col("efeito_preco"))))
+
+    def of_channels(c: str) -> Column:
+        return F.transform("c", lambda x: _fact(f"canal_{c}", x["canal"], x[c]))
+
+    per_channel = [of_channels(c) for c in effects]
+    return one.select(F.inline(F.concat(known, dominant, *per_channel)))

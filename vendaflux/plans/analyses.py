@@ -118,6 +118,6 @@ def run_gap(v: DataFrame, m: DataFrame, last_month: date | None = None,
     return {
         "resumo": monthly, "detalhe": detail, "parametros": gap_params(m, tolerance),
         "decomposicao": decomp, "grafico": G.gap_series_points(monthly),
-        "insights": I.insights_gap(monthly, detail, decomp),
+        "insights": I.insights_gap(cells, m, decomp, tolerance),
         "entrada": Q.dq_gap_input(v, m), "saida": Q.dq_gap_output(decomp, cells, m),
     }

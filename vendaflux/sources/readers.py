@@ -95,11 +95,52 @@ def standardise(df: DataFrame, fields: T.StructType = S.SALES,
     return df.select(*[clean(f) for f in fields.fields])
 
 
-def normalise_keys(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
+#: Labels that a mapping may have to be put into the plan as a constant map (each row looks through it).
+LITERAL_LABELS = 200
+#: Parts that a hot label is dealt to where the mapping is joined.
+SALTS = 16
+
+
+def normalise_keys(df: DataFrame, col: str, mapping: DataFrame, literal_labels: int = LITERAL_LABELS) -> DataFrame:
     """Replace label variants.  ``mapping`` has unique ``de`` labels and their ``para`` label.
 
-    No broadcast hint: Spark broadcasts the mapping when its measured size allows.
+    The mapping is counted first (a small job, at most ``literal_labels`` + 1 rows are read).  Up to that number it
+    becomes a constant map: the rows move nowhere.  A larger one is joined, and labels that hold more than one part in
+    ``SALTS`` of the rows are dealt to ``SALTS`` parts, with their mapping row in each.  Both ways give the same rows.
     """
-    m = mapping.select(F.col("de").alias(col), F.col("para").alias("_para"))
-    joined = df.join(m, col, "left")
+    known = mapping.select("de", "para").filter("de IS NOT NULL").limit(literal_labels + 1).collect()
+    if len(known) <= literal_labels:
+        if not known:
+            return df
+        table = F.create_map(*[F.lit(x) for r in known for x in (r["de"], r["para"])])
+        return df.withColumn(col, F.coalesce(F.try_element_at(table, F.col(col)), F.col(col)))
+    return _normalise_by_join(df, col, mapping)
+
+
+def _normalise_by_join(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = [r[0] for r in counts.filter(F.col("_n") * SALTS > total).select(col).collect()]  # fewer than SALTS labels
+    # the part follows from the input partition, so a repeated task deals its rows as before
+    part = F.when(F.col(col).isin(hot), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    parts = F.when(F.col("de").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    m = mapping.select(F.col("de").alias("_de"), F.col("para").alias("_para"), F.explode(parts).alias("_parte_de"))
+    joined = df.withColumn("_parte", part).join(m, (F.col(col) == F.col("_de")) & (F.col("_parte") == F.col("_parte_de")), "left")
     return joined.withColumn(col, F.coalesce("_para", col)).select(*df.columns)
+
+
+def stored_months(stored: DataFrame, month_col: str = "mes_ref") -> list[str]:
+    """Months of an extract that ``write_by_month`` laid out, newest first, from its folder names: no row is read."""
+    found = {part.partition("=")[2] for file in stored.inputFiles() for part in file.split("/") if part.startswith(f"{month_col}=")}
+    return sorted(found - {"__HIVE_DEFAULT_PARTITION__"}, reverse=True)
+
+
+def latest_stored_months(stored: DataFrame, n: int, last_month: str | None = None, month_col: str = "mes_ref") -> DataFrame:
+    """The rows of the ``n`` latest months present (up to ``last_month``): a filter on constants, so other folders are not listed in the scan."""
+    months = [m for m in stored_months(stored, month_col) if last_month is None or m <= last_month][:n]
+    return stored.filter(F.col(month_col).isin(months))
+
+
+def rows_of_months(stored: DataFrame, months: DataFrame, month_col: str = "mes_ref") -> DataFrame:
+    """The rows whose month is in a table of months (distinct first): its months prune the folders while the query runs."""
+    return stored.join(months.select(month_col).distinct(), month_col, "left_semi")
