@@ -120,7 +120,7 @@ UNION ALL SELECT grupo, CAST(posicao AS VARCHAR), retencao_m1, coorte FROM extre
         lambda s, d: L.lifecycle_status(_life_plain(s, d), AS_OF),
         over_sales(_LIFE, select="SELECT cliente_id, strftime(m, '%Y-%m') AS mes_ref, status FROM ciclo")),
     "lifecycle_counts": Entry(
-        lambda s, d: L.lifecycle_counts(_life_plain(s, d), AS_OF),
+        lambda s, d: L.lifecycle_counts(_life_plain(s, d), AS_OF, dates=datas(s, d)),
         over_sales(_LIFE, select="SELECT strftime(m, '%Y-%m') AS mes_ref, status, COUNT(*) AS clientes FROM ciclo GROUP BY 1, 2")),
     "churn_by_channel": Entry(
         lambda s, d: L.churn_by_channel(_life(s, d), AS_OF),

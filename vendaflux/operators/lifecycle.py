@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from vendaflux.functions import measures as M
 from vendaflux.functions import values as V
 from vendaflux.functions.months import month_diff, month_key, month_number, month_start
+from vendaflux.functions.monthset import Span
 
 
 def client_months(v: DataFrame, by: str | None = None, recurring: Sequence[str] | None = None) -> DataFrame:
@@ -110,34 +111,38 @@ def lifecycle_status(v: DataFrame, as_of: date, recurring: Sequence[str] | None
 
 
 def _events(segments: DataFrame) -> DataFrame:
-    """Where a segment enters and leaves each status: at most four stays, as (month number, status, +1 or -1)."""
-    month, end = month_number("_mes"), month_number("_fim")
-    rest = month + F.col("_recorrente")  # months without recurring billing begin here
-    lost = F.greatest(rest, month_number(_last_recurring()) + V.LOST_AFTER_MONTHS)
-    dormant = F.greatest(rest, month + V.DORMANT_AFTER_MONTHS)
-    billed = F.when(month - month_number("_ultimo") - 1 >= V.LOST_AFTER_MONTHS, V.LIFE_BACK).otherwise(V.LIFE_ACTIVE)
+    """Where segments enter and leave each status: at most four stays each, as (month number, status, + or - clients).
+
+    Segments of the same months and kind are counted first; they number no more than the calendar allows.
+    """
+    kinds = segments.groupBy(month_number("_mes").alias("m"), F.col("_recorrente").alias("r"), month_number("_ultimo").alias("u"),
+                             month_number("_fim").alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    month, end = F.col("m"), F.col("e")
+    rest = month + F.col("r")  # months without recurring billing begin here
+    last_recurring = F.when(F.col("r") == 1, month).otherwise(F.col("u"))
+    lost, dormant = F.greatest(rest, last_recurring + V.LOST_AFTER_MONTHS), F.greatest(rest, month + V.DORMANT_AFTER_MONTHS)
+    billed = F.when(month - F.col("u") - 1 >= V.LOST_AFTER_MONTHS, V.LIFE_BACK).otherwise(V.LIFE_ACTIVE)
     stays = [(billed, month, rest - 1), (F.lit(V.LIFE_AT_RISK), rest, F.least(lost, dormant) - 1),
              (F.lit(V.LIFE_LOST), lost, dormant - 1), (F.lit(V.LIFE_DORMANT), dormant, end)]
-    events = []
-    for status, first, last in stays:
-        last = F.least(last, end)
-        stayed = (first <= last).cast("int")  # a stay of no month enters and leaves with 0
-        events += [F.struct(first.alias("_m"), status.alias("status"), stayed.alias("_d")),
-                   F.struct((last + 1).alias("_m"), status.alias("status"), (-stayed).alias("_d"))]
-    return segments.select(F.inline(F.array(*events))).filter("_d <> 0")
+    rows = kinds.select("n", F.inline(F.array(*[
+        F.struct(status.alias("status"), first.alias("a"), F.least(last, end).alias("b")) for status, first, last in stays]))).filter("a <= b")
+    return rows.select("status", F.inline(F.array(
+        F.struct(F.col("a").alias("_m"), F.col("n").alias("_d")), F.struct((F.col("b") + 1).alias("_m"), (-F.col("n")).alias("_d")))))
 
 
-def lifecycle_counts(v: DataFrame, as_of: date, recurring: Sequence[str] | None = None) -> DataFrame:
+def lifecycle_counts(v: DataFrame, as_of: date, recurring: Sequence[str] | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Clients per month and status; the statuses of a month add up to the clients already entered.
 
     Segments give events, which are summed by month and cumulated: no row is made for the months that a client only
-    stays in a status.  The calendar adds a zero for each month and status, so months without an event are there.
+    stays in a status.  The calendar adds a zero for each month and status, so months without an event are there; its
+    first month comes from a small job over ``dates`` (any table with the dates of ``v``, itself by default).
     """
     changes = _events(_segments(v, as_of, recurring=recurring)).groupBy("status", "_m").agg(F.sum("_d").alias("_d"))
     last = as_of.year * 12 + as_of.month
     statuses = F.array(*[F.lit(x) for x in (V.LIFE_ACTIVE, V.LIFE_BACK, V.LIFE_AT_RISK, V.LIFE_LOST, V.LIFE_DORMANT)])
-    calendar = v.sparkSession.range(0, last + 1, numPartitions=1).select(F.col("id").cast("int").alias("_m"))
-    calendar = calendar.filter(F.col("_m") >= changes.agg(F.min("_m")).scalar()).select(F.explode(statuses).alias("status"), "_m", F.lit(0).cast("bigint").alias("_d"))
+    first = Span.of(v if dates is None else dates).first
+    calendar = v.sparkSession.range(first or last, last + 1, numPartitions=1).select(
+        F.explode(statuses).alias("status"), F.col("id").cast("int").alias("_m"), F.lit(0).cast("bigint").alias("_d"))
     by_month = changes.unionByName(calendar).groupBy("status", "_m").agg(F.sum("_d").alias("_d"))
     running = Window.partitionBy("status").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # calendar months
     counts = by_month.withColumn("clientes", F.sum("_d").over(running)).filter((F.col("clientes") > 0) & (F.col("_m") <= last))
