@@ -185,12 +185,85 @@ def test_small_sketches_fail_and_larger_ones_succeed(spark):
 
 # mixing
 
-def test_targets_stop_at_three_times_the_size():
-    assert mixing.code_point_order(["b", None, "a", "é", "Z"]) == ["Z", "a", "b", "é", None]
-    sizes = {"a": 100, "b": 100, "c": 10, None: 90}
-    t = mixing.targets_by_weight(sizes)
-    assert t["c"] == 30 and sum(t.values()) == pytest.approx(300)
-    assert t["b"] / t["a"] == pytest.approx(2) and t[None] / t["a"] == pytest.approx(1)
+def targets_by_weight(sizes, cycle=(1, 2, 3), cap=3):
+    """Brute force: op2_mixing's targets."""
+    names = sorted(n for n in sizes if n is not None) + [None] * (None in sizes)
+    weight = {n: cycle[i % len(cycle)] for i, n in enumerate(names)}
+    capped = set()
+    while True:
+        left = sum(sizes.values()) - cap * sum(sizes[n] for n in capped)
+        share = {n: left * w / sum(weight[m] for m in names if m not in capped) for n, w in weight.items() if n not in capped}
+        above = {n for n in share if share[n] > cap * sizes[n]}
+        if not above:
+            return {n: float(cap * sizes[n]) if n in capped else share[n] for n in names}
+        capped |= above
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 10, None: 90}, {"b": 5, None: 7, "a": 3, "é": 1000, "Z": 1}, {"x": 0, "y": 0}, {"only": 9},
+                                   {f"s{i}": (i * 7919) % 1000 + (50_000 if i == 3 else 0) for i in range(20)}])
+def test_targets_equal_brute_force(spark, sizes):
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, total long"))
+    assert {r.source: r.target for r in got.collect()} == pytest.approx(targets_by_weight(sizes))
+
+
+def brute_tilt(sizes, target, cap=3):
+    """By halving: the multiplier at which the words taken are the target."""
+    low, high = -800.0, float(np.log(cap))
+    taken = lambda lam: sum(s * min(cap, np.exp(min(lam * s, 2.0))) for s in sizes)
+    for _ in range(300):
+        lam = (low + high) / 2
+        low, high = (lam, high) if taken(lam) < target else (low, lam)
+    return lam
+
+
+def test_multipliers_for_every_ratio(spark):
+    """Brute force: op2_mixing's rates, for targets from nothing to three times a source, with equal and unequal sizes."""
+    rng = np.random.default_rng(6)
+    ratios = [0.0, 0.01, 0.5, 0.999, 1.0, 1.3, 2.0, 2.05, 2.1, 2.5, 2.9, 2.99, 2.9999, 3.0]
+    sources = {}
+    for i, r in enumerate(ratios * 2):
+        sizes = [40] * 30 if i < len(ratios) else [int(x) for x in rng.choice([1, 2, 30, 200, 5000], 60)]
+        sources[f"s{i}" if i else None] = (sizes, r * sum(sizes))
+    classes = [(n, size, count) for n, (sizes, _) in sources.items() for size, count in Counter(sizes).items()]
+    goals = spark.createDataFrame([(n, sum(sizes), float(t)) for n, (sizes, t) in sources.items()], "source string, total long, target double")
+    got = mixing.multipliers(spark.createDataFrame(classes, "source string, size long, n long"), goals)
+    for r in got.collect():
+        sizes, target = sources[r.source]
+        taken = sum(s * min(3.0, np.exp(min(r.lam * s, 2.0))) for s in sizes)
+        assert taken == pytest.approx(target, rel=1e-8, abs=1e-6)
+        if 0 < target < 3 * sum(sizes):
+            assert [min(3.0, np.exp(min(r.lam * s, 2.0))) for s in sizes] == pytest.approx([min(3.0, np.exp(min(brute_tilt(sizes, target) * s, 2.0))) for s in sizes], rel=1e-5)
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.multipliers(spark.createDataFrame(classes, "source string, size long, n long"), goals, steps=1)
+
+
+def test_mix_takes_what_ratios_above_two_ask_for(spark):
+    """Three sources of 6,200, 2,000 and 1,800 words: the third is to give 5,000, more than 2.7 times its size."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for source, words in (("a", 6200), ("b", 2000), ("c", 1800)):
+        while words:
+            n = min(words, int(rng.choice([1, 3, 17, 60])))
+            rows.append((len(rows), "w " * n, source))
+            words -= n
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+    assert goal["c"] == pytest.approx(5000) and all(abs(taken[s] - t) <= 2 for s, t in goal.items())
+
+
+def test_balance_beyond_the_cap_and_unsettled(spark):
+    """Targets of 2.1 to 2.9 times a group: the first step overshoots the cap, the dual still falls to its minimum."""
+    cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 50.0), ("b", "x", 70.0), ("b", "y", 80.0)], "source string, lang string, mass double")
+    goals = {"source": {"a": 2.9 * 150, "b": 2.1 * 150}, "lang": {"x": 440.0, "y": 2.9 * 150 + 2.1 * 150 - 440.0}}
+    lam = mixing.balance(cells, goals)
+    mass = {(s, g): m * min(3.0, np.exp(lam["source"][s] + lam["lang"][g])) for s, g, m in cells.collect()}
+    for s, t in goals["source"].items():
+        assert sum(v for (k, _), v in mass.items() if k == s) == pytest.approx(t, rel=1e-6)
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.balance(cells, {"source": {"a": 151.0, "b": 149.0}, "lang": {"x": 9000.0, "y": 1.0}}, steps=5)
 
 
 def test_balance_meets_overlapping_constraints(spark):

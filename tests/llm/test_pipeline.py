@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from test_documents import brute_components, shingle_sets
+from test_documents import brute_components, shingle_sets, targets_by_weight
 
 from vendaflux.llm.common import table, written
-from vendaflux.llm.mixing import targets_by_weight
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,11 +1,17 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix gives each group (a source, or any other column) a number of words to take.  Among all rates that meet these
-constraints the one nearest to "take everything once" (least relative entropy, words as base measure) has the form
-``exp(sum of the group multipliers)``.  The multipliers solve a convex dual, found by Newton steps: Spark sums masses
-and curvatures over the cells of all constraint columns, the driver solves a system as large as the number of groups.
-Rates become whole copies: within a cell the error is carried from longer to shorter documents, so what is missing in
-the end is about half of the shortest one.
+The mix gives each source a number of words to take.  Among all rates that meet these constraints, with no document taken
+more than ``CAP`` times, the one nearest to "take every document once" (least relative entropy, one as base measure) is
+``min(CAP, exp(multiplier of the source * words of the document))``.  The multipliers solve a convex dual: in each Newton
+iteration Spark sums the words taken and their slope over (source, size) classes.  The words taken only grow with the
+multiplier, and bounds of the solution are known from the start, so a step that leaves them is replaced by halving them
+(at the cap the slope may be 0).  An iteration that does not settle is an error.  Sources may be any number: sizes,
+targets and multipliers are tables.
+
+Rates become whole copies: within a source the error is carried from longer to shorter documents, so what is missing in
+the end is about half of the shortest one.  Sums are exact decimals, so reruns agree whatever the partitions.
+
+``balance`` solves the same dual for several constraint columns at once, whose groups the driver can hold.
 
 Cases: a null or empty text has size 0 and is taken 0 words; a null source is a group of its own, last in order.
 Repeated rows are documents of their own.  Extra columns are ignored.  No rows give no rows.
@@ -13,6 +19,8 @@ Repeated rows are documents of their own.  Extra columns are ignored.  No rows g
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,89 +30,122 @@ from vendaflux.llm.common import WORD, text_of, written
 
 #: No document is taken more often than this.
 CAP = 3
-#: Groups of a constraint column that the driver can hold; more raise an error.
-MAX_GROUPS = 100_000
 #: Rows of one size in a cell that are ranked in one task.
 RANKED_ROWS = 4096
+#: Relative error of a settled target, and iterations after which a dual that has not settled is an error.
+TOLERANCE, STEPS = 1e-9, 200
+EXACT = "decimal(38,8)"
 
 
-def code_point_order(names: list[str | None]) -> list[str | None]:
-    return sorted((n for n in names if n is not None)) + [None] * (None in names)
+def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
+    """``source, total, weight, target``: the sum of all totals shared by weights that repeat in the order of sources
+    (code points, null last); what is above ``cap`` times a total goes to the others by weight, until none is above.
 
-
-def targets_by_weight(sizes: dict[str | None, int], cycle: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> dict[str | None, float]:
-    """Share the sum of all sizes by weights that repeat in the order of names; what is above ``cap`` times a size goes
-    to the others by weight, until none is above."""
-    weight = {name: cycle[i % len(cycle)] for i, name in enumerate(code_point_order(list(sizes)))}
-    total, capped = float(sum(sizes.values())), {}
+    ``sizes`` has one row for each source."""
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row for each source
+    weight = F.get(F.array(*[F.lit(w) for w in cycle]), F.pmod(place, F.lit(len(cycle))))
+    now = written(sizes.withColumn("weight", weight).withColumn("stopped", F.lit(False)), "mix_targets")
     while True:
-        open_ = {n: w for n, w in weight.items() if n not in capped}
-        left, parts = total - sum(capped.values()), sum(open_.values())
-        target = capped | {n: left * w / parts for n, w in open_.items()}
-        above = {n: float(cap * sizes[n]) for n in open_ if target[n] > cap * sizes[n]}
-        if not above or len(above) == len(open_):
-            return target | above
-        capped |= above
-
-
-def group_sizes(sized: DataFrame, column: str) -> dict[str | None, int]:
-    rows = sized.groupBy(column).agg(F.sum("size").alias("size")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {column}")
-    return {r[column]: r["size"] for r in rows}
-
-
-def balance(cells: DataFrame, targets: dict[str, dict[str | None, float]], cap: float = CAP,
-            tolerance: float = 1e-9, steps: int = 50) -> dict[str, dict[str | None, float]]:
-    """Multipliers of each group: ``targets`` names a target for each group of each constraint column.
-
-    ``cells`` has the constraint columns and ``mass``.  With several columns the Hessian is full, so their groups may
-    number a few thousand together; with one column it is diagonal.
+        left, parts = now.agg(F.sum("total") - F.coalesce(F.sum(F.when(F.col("stopped"), F.col("total") * cap)), F.lit(0)),
+                              F.sum(F.when(~F.col("stopped"), F.col("weight")))).first()
+        share = F.lit(float(left or 0)) * F.col("weight") / float(parts or 1)
+        above = ~F.col("stopped") & (share > F.col("total") * cap)
+        if not now.where(above).limit(1).count():
+            return now.select("source", "total", "weight", F.when(F.col("stopped"), F.col("total") * cap).otherwise(share).cast("double").alias("target"))
+        now = written(now.withColumn("stopped", F.col("stopped") | above), "mix_targets")
+
+
+def multipliers(classes: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
+    """``goals`` (``source, total, target``) with the multiplier ``lam`` of each source, for ``classes`` of ``source, size, n``.
+
+    With whole sizes of 1 or more, ``exp(lam) * total`` bounds the words taken from above below 0, and at ``log(cap)``
+    every document is at the cap, so the solution lies between these."""
+    ratio = F.col("target") / F.col("total")
+    limit = math.log(cap)
+    moments = classes.where("size > 0").groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).cast("double")).alias("m2"))
+    now = goals.alias("g").join(moments.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left").select("g.*", "m2")
+    nothing = (F.col("total") == 0) | (F.col("target") <= 0)
+    start = F.log(ratio) * F.col("total") / F.col("m2")
+    now = now.withColumn("low", F.when(nothing, F.lit(-700.0)).otherwise(F.least(F.log(ratio), F.lit(0.0))))
+    now = now.withColumn("high", F.when(nothing, F.lit(-700.0)).when(ratio > 1, F.lit(limit)).otherwise(F.lit(0.0)))
+    full = ratio >= cap * (1 - 1e-12)
+    now = now.withColumn("lam", F.when(nothing, F.lit(-700.0)).when(full, F.lit(limit)).otherwise(F.greatest("low", F.least("high", start))))
+    now = written(now.withColumn("settled", nothing | full).drop("m2"), "mix_dual")
+    kept = classes.where("size > 0")
+    for _ in range(steps):
+        if not now.where("NOT settled").limit(1).count():
+            return now.select("source", "total", "target", "lam")
+        open_ = now.where("NOT settled").select(F.col("source").alias("s"), "lam")
+        tilt = F.col("lam") * F.col("size")
+        words = F.col("n") * F.col("size")
+        sums = kept.join(open_, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
+            F.sum((words * F.least(F.exp(F.least(tilt, F.lit(limit))), F.lit(float(cap)))).cast(EXACT)).cast("double").alias("taken"),
+            F.sum(F.when(tilt < limit, words * F.col("size") * F.exp(F.least(tilt, F.lit(limit)))).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"))
+        gap = F.col("target") - F.col("taken")
+        known = now.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        fine = F.col("settled") | F.coalesce(F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0)), F.lit(False))
+        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("low")), F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
+        known = known.select("source", "total", "target", "lam", "slope", gap.alias("gap"), fine.alias("settled"), low.alias("low"), high.alias("high"))
+        newton = F.col("lam") + F.try_divide("gap", "slope")
+        inside = F.coalesce((newton > F.col("low")) & (newton < F.col("high")), F.lit(False))
+        half = (F.col("low") + F.col("high")) / 2
+        moved = F.when(F.col("settled"), F.col("lam")).when(inside, newton).otherwise(half)
+        # bounds that touch leave nothing to search
+        stuck = F.col("settled") | (F.col("high") - F.col("low") <= 1e-15 * F.greatest(F.abs("low"), F.lit(1e-300)))
+        now = written(known.select("source", "total", "target", moved.alias("lam"), "low", "high", stuck.alias("settled")), "mix_dual")
+    raise RuntimeError(f"the balance did not settle in {steps} steps")
+
+
+def balance(cells: DataFrame, goals: dict[str, dict[str | None, float]], cap: float = CAP,
+            tolerance: float = TOLERANCE, steps: int = STEPS) -> dict[str, dict[str | None, float]]:
+    """Multipliers of each group of several constraint columns: ``goals`` names a target for each group of each column.
+
+    ``cells`` has the constraint columns and ``mass``; rates are ``min(cap, exp(sum of multipliers))``.  The dual is
+    convex (beyond the cap it goes on in a straight line); a Newton step is halved until the dual falls.  The Hessian is
+    a matrix on the driver, so groups may number a few thousand together.
     """
-    spark, columns = cells.sparkSession, list(targets)
-    index = {(c, g): i for i, (c, g) in enumerate((c, g) for c in columns for g in targets[c])}
-    aims = np.array([targets[c][g] for c, g in index], float)
-    if len(columns) > 1 and len(index) > 4000:
+    spark, columns = cells.sparkSession, list(goals)
+    index = {(c, g): i for i, (c, g) in enumerate((c, g) for c in columns for g in goals[c])}
+    aims = np.array([goals[c][g] for c, g in index], float)
+    if len(index) > 4000:
         raise ValueError("too many groups for a full Hessian")
     for c in columns:
         numbers = spark.createDataFrame([(g, i) for (k, g), i in index.items() if k == c], f"`{c}` {dict(cells.dtypes)[c]}, `i_{c}` int")
-        cells = cells.alias("a").join(F.broadcast(numbers).alias("b"), F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).select(  # at most MAX_GROUPS rows
+        cells = cells.alias("a").join(F.broadcast(numbers).alias("b"), F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).select(  # at most 4000 rows
             "a.*", f"b.i_{c}")
-    cells = written(cells.where("mass > 0"), "mix_cells")
+    ids = [F.col(f"i_{c}") for c in columns]
+    cells = written(cells.where("mass > 0").groupBy(*ids).agg(F.sum("mass").alias("mass")), "mix_cells")
+    limit = math.log(cap)
+
+    def look(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        table = F.array(*[F.lit(float(x)) for x in lam])
+        tilt = sum((F.get(table, i) for i in ids), F.lit(0.0))
+        now = cells.select(*ids, "mass", tilt.alias("u"))
+        rate = F.exp(F.least("u", F.lit(limit)))
+        now = now.select(*ids, (F.col("mass") * rate).alias("m"), (F.col("mass") * (rate + cap * F.greatest(F.col("u") - limit, F.lit(0.0)))).alias("d"))
+        sums = (now.withColumn("i", F.explode(F.array(*ids))).withColumn("j", F.explode(F.array(*ids))).groupBy("i", "j")
+                .agg(F.sum("m"), F.sum("d")).collect())
+        have, curve, value = np.zeros(len(index)), np.zeros((len(index),) * 2), 0.0
+        for i, j, m, d in sums:
+            curve[i, j] = m  # beyond the cap a bound of the curvature, so that the step is never 0 there
+            if i == j:
+                have[i] = m
+                value += d / len(columns)
+        return value - float(lam @ aims), aims - have, curve
+
     lam = np.zeros(len(index))
+    value, gap, curve = look(lam)
     for _ in range(steps):
-        now = cells
-        for c in columns:
-            table = spark.createDataFrame([(i, float(lam[i])) for (k, _), i in index.items() if k == c], f"`i_{c}` int, `l_{c}` double")
-            now = now.join(F.broadcast(table), f"i_{c}")
-        tilt = F.exp(sum((F.col(f"l_{c}") for c in columns), F.lit(0.0)))
-        now = now.select(*[f"i_{c}" for c in columns], (F.col("mass") * F.least(tilt, F.lit(float(cap)))).alias("m"),
-                         F.when(tilt < cap, F.col("mass") * tilt).otherwise(0.0).alias("h"))
-        if len(columns) == 1:
-            sums = now.groupBy(f"i_{columns[0]}").agg(F.sum("m"), F.sum("h")).collect()
-            have, curve = np.zeros(len(index)), np.zeros(len(index))
-            for i, m, h in sums:
-                have[i], curve[i] = m, h
-            gap = aims - have
-            step = np.divide(gap, curve, out=np.zeros_like(gap), where=curve > 0)
-        else:
-            ids = F.array(*[f"i_{c}" for c in columns])
-            sums = (now.withColumn("i", F.explode(ids)).withColumn("j", F.explode(ids)).groupBy("i", "j")
-                    .agg(F.sum("m"), F.sum("h")).collect())
-            have, curve2 = np.zeros(len(index)), np.zeros((len(index),) * 2)
-            for i, j, m, h in sums:
-                curve2[i, j] = h
-                if i == j:
-                    have[i] = m
-            gap = aims - have
-            step = np.linalg.lstsq(curve2 + 1e-9 * np.eye(len(index)) * max(1.0, curve2.max()), gap, rcond=None)[0]
         if np.all(np.abs(gap) <= tolerance * np.maximum(1.0, aims)):
-            break
-        lam = lam + np.clip(step, -2.0, 2.0)
-    out: dict[str, dict[str | None, float]] = {c: {} for c in columns}
-    for (c, g), i in index.items():
-        out[c][g] = float(lam[i])
-    return out
+            return {c: {g: float(lam[index[c, g]]) for g in goals[c]} for c in columns}
+        step, size = np.linalg.lstsq(curve + 1e-12 * max(1.0, curve.max()) * np.eye(len(index)), gap, rcond=None)[0], 1.0
+        while True:
+            tried = look(lam + size * step)
+            if tried[0] <= value - 1e-4 * size * float(step @ gap) + 1e-12 * abs(value) or size < 1e-6:
+                break
+            size /= 2
+        lam, (value, gap, curve) = lam + size * step, tried
+    raise RuntimeError(f"the balance did not settle in {steps} steps")
 
 
 def copies_by_size(classes: DataFrame, cell: list[str], cap: int = CAP) -> DataFrame:
@@ -129,24 +170,21 @@ def copies_by_size(classes: DataFrame, cell: list[str], cap: int = CAP) -> DataF
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         cycle: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """Per row: ``doc_id, source, size, source_size, target, rate, copies, taken`` (words, copies counted)."""
-    spark = docs.sparkSession
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                 F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
                                 F.xxhash64(text_col).alias("print"), F.monotonically_increasing_id().alias("row")), "mix_sizes")
-    sizes = group_sizes(sized, "source")
-    targets = targets_by_weight(sizes, cycle, cap) if sizes else {}
-    cells = sized.groupBy("source").agg(F.sum("size").cast("double").alias("mass"))
-    lam = balance(cells, {"source": targets}, cap)["source"] if sizes else {}
-    kind = dict(sized.dtypes)["source"]
-    rates = spark.createDataFrame([(g, i, sizes[g], float(targets[g]), float(min(cap, np.exp(lam[g])))) for i, g in enumerate(sizes)],
-                                  f"s {kind}, cell int, source_size long, target double, rate double")
-    # at most MAX_GROUPS rows
-    sized = sized.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    classes = sized.groupBy("cell", "size").agg(F.count("*").alias("n"), F.first("rate").alias("rate"))
-    plan = written(copies_by_size(classes, ["cell"], cap), "mix_classes").drop("rate")
+    classes = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix_classes")
+    goals = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")), cycle, cap)
+    solved = written(multipliers(classes, goals, cap).select(F.col("source").alias("s"), F.col("total").alias("source_size"), "target", "lam",
+                                                             F.monotonically_increasing_id().alias("cell")), "mix_rates")
+    tilt = F.least(F.col("lam") * F.col("size"), F.lit(math.log(cap)))
+    rate = F.when(F.col("size") == 0, 0.0).when(tilt >= math.log(cap), float(cap)).otherwise(F.exp(tilt))
+    rated = classes.join(solved, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
+    plan = written(copies_by_size(rated.select("cell", "source", "size", "n", "source_size", "target", "rate"), ["cell"], cap), "mix_copies")
 
     # which documents of a class get one more: the first by a hash of id and text; large classes are ranked in parts
-    ranked = sized.join(plan, ["cell", "size"])
+    of_class = plan.withColumnRenamed("source", "s").withColumnRenamed("size", "class_size")
+    ranked = sized.join(of_class, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("class_size"))).drop("s", "class_size")
     ranked = ranked.withColumn("part", F.pmod(F.xxhash64("doc_id", "print"), F.ceil(F.col("n") / RANKED_ROWS)))
     parts = ranked.where("more > 0").groupBy("cell", "size", "part").agg(F.count("*").alias("in_part"))
     before = parts.withColumn("before", F.sum("in_part").over(
