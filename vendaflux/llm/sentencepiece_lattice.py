@@ -35,12 +35,14 @@ from pyspark.sql import types as T
 from vendaflux.llm.common import text_of, written
 
 MARK = "▁"
-#: Units in the dictionary that tasks hold (about 20 bytes each); characters of a unit that fit the bits of a number.
-HEAD, LONGEST = 4_000_000, 60
+#: Units in the dictionary that tasks hold (about 25 bytes each); characters of a unit that fit the bits of a number.
+HEAD, LONGEST = 3_000_000, 60
 #: Distinct words that a task remembers or counts before it hands them on.
 CACHE = 250_000
 #: Texts that are looked up together, and units whose lattices are made in one task.
 SLICE, PART = 512, 20_000
+#: Units that one task packs for the dictionary.
+PACKED = 100_000
 UNKNOWN_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -58,7 +60,9 @@ class Model:
     names: list[str] = field(default_factory=list)
 
     @classmethod
-    def load(cls, path: str = DEFAULT_MODEL, bpe: bool = True) -> Model:
+    def load(cls, path: str = DEFAULT_MODEL) -> Model:
+        """The model in a file.  Scores of a BPE model are the order of its merges (0, -1, -2, ...), those of a unigram
+        model logarithms of probabilities; that tells how its lattice is folded."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,6 +71,7 @@ class Model:
         normal = {names[i]: (i, sp.get_score(i)) for i in ids
                   if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         byte = {int(names[i][3:5], 16): i for i in ids if sp.is_byte(i)}
+        bpe = all(score == int(score) for _, score in normal.values())
         return cls(normal, [byte[b] for b in range(256)] if byte else [], sp.unk_id(), bpe, bool(sp.encode("a", out_type=str)[0].startswith(MARK)), names)
 
     @property
@@ -91,12 +96,16 @@ def normalised(text: str, prefix: bool) -> str:
 
 
 def chunks_of(text: str, prefix: bool) -> list[str]:
-    """Runs of space marks with what follows them."""
-    if prefix and "  " not in text and text[:1] != " " and MARK not in text:
-        return [MARK + p for p in text.split(" ")]
+    """Runs of space marks with what follows them; where each has one mark they are given without it (see ``chunk_of``)."""
+    if prefix and "  " not in text and text[:1] != " " and text[-1:] != " " and MARK not in text:
+        return text.split(" ")
     return CHUNK.findall(normalised(text, prefix))
 
 
+def chunk_of(word: str, prefix: bool) -> str:
+    return MARK + word if prefix and word[:1] != MARK else word
+
+
 def units_of(chunk: str, pairs: frozenset[str]) -> list[str]:
     out, a = [], 0
     for i in range(1, len(chunk)):
@@ -117,7 +126,7 @@ def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
         def hand_on() -> pd.DataFrame:
             units: Counter[str] = Counter()
             for chunk, n in chunks.items():
-                for u in units_of(chunk, pairs):
+                for u in units_of(chunk_of(chunk, prefix), pairs):
                     units[u] += n
             chunks.clear()
             return pd.DataFrame({"unit": list(units), "n": np.fromiter(units.values(), np.int64, len(units))})
@@ -145,7 +154,7 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     pieces = F.broadcast(model.table(units.sparkSession))  # a row for each piece of the model
     edges = rows.join(pieces, "piece").select("unit", "n", F.struct(
         (-F.col("score")).alias("cost"), "start", (F.col("start") + F.col("size")).alias("end"), "id").alias("edge"))
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _fallback_ids(model: Model, char: Column) -> Column:
@@ -291,79 +300,91 @@ class Dictionary:
 
     @classmethod
     def collect(cls, encoded: DataFrame) -> Dictionary:
-        """Gather a bounded number of units, packed by task."""
-        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Gather a bounded number of units.  Tasks sort and pack them by ranges of their hash; here they are only joined on."""
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = [np.asarray(x, np.int32) for x in b.ids]
-                yield pd.DataFrame({"h": [np.array([xxhash.xxh64_intdigest(u) for u in b.unit], np.uint64).tobytes()],
-                                    "n": [np.array([len(x) for x in ids], np.int32).tobytes()],
-                                    "ids": [np.concatenate(ids).astype(np.int32).tobytes() if ids else b""]})
-
-        parts = encoded.select("unit", "ids").mapInPandas(pack, "h binary, n binary, ids binary").collect()
-        hashes = np.frombuffer(b"".join(p.h for p in parts), np.uint64)
-        sizes = np.frombuffer(b"".join(p.n for p in parts), np.int32)
-        ids = np.frombuffer(b"".join(p.ids for p in parts), np.int32)
-        order = np.argsort(hashes)
-        ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
-        starts, sizes = (np.cumsum(sizes, dtype=np.int64) - sizes)[order], sizes[order]
-        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        taken = np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])
-        return cls(hashes[order], bounds, ids[taken])
-
-    def get(self, units: list[str]) -> list[tuple[int, ...] | None]:
+                lists = b.column(1)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (
+                    b.column(0).to_numpy().tobytes(), np.diff(lists.offsets.to_numpy()).astype(np.uint32).tobytes(),
+                    lists.flatten().to_numpy().astype(kind).tobytes())], ["h", "n", "ids"])
+
+        top = encoded.agg(F.max(F.array_max("ids"))).first()[0] or 0
+        kind = np.uint16 if top < 1 << 16 else np.int32
+        ranges = max(1, -(-encoded.count() // PACKED))
+        ordered = encoded.select(F.xxhash64("unit").alias("h"), "ids").repartitionByRange(ranges, "h").sortWithinPartitions("h")
+        parts = ordered.mapInArrow(pack, "h binary, n binary, ids binary").collect()
+        hashes = np.frombuffer(b"".join(p.h for p in parts), np.int64)
+        bounds = np.concatenate([np.zeros(1, np.uint32), np.cumsum(np.frombuffer(b"".join(p.n for p in parts), np.uint32), dtype=np.uint32)])
+        return cls(hashes, bounds, np.frombuffer(b"".join(p.ids for p in parts), kind))
+
+    def get(self, units: list[str]) -> list[np.ndarray | None]:
         """Ids of each unit; None for units that it does not hold."""
         if not len(self.hashes):
             return [None] * len(units)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, units), np.uint64, len(units))
+        h = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).view(np.int64)  # as Spark's xxhash64
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         a, b, ids = self.bounds[at].tolist(), self.bounds[at + 1].tolist(), self.ids
-        return [tuple(ids[i:j].tolist()) if ok else None for i, j, ok in zip(a, b, (self.hashes[at] == h).tolist(), strict=True)]
+        return [ids[i:j] if ok else None for i, j, ok in zip(a, b, (self.hashes[at] == h).tolist(), strict=True)]
 
 
 class Encoder:
-    """Ids of texts from a dictionary; -1 stands for each unit that it does not hold."""
+    """Ids of texts from a dictionary; -1 stands for each unit that it does not hold.
 
-    def __init__(self, known: Dictionary, pairs: frozenset[str], prefix: bool) -> None:
-        self.known, self.pairs, self.prefix = known, pairs, prefix
-        self.words: dict[str, tuple[int, ...]] = {}
+    Words are remembered as packed ids, and whether decoding them gives the word back."""
+
+    def __init__(self, known: Dictionary, pairs: frozenset[str], prefix: bool, back: Callable[[np.ndarray], bytes]) -> None:
+        self.known, self.pairs, self.prefix, self.back = known, pairs, prefix, back
+        self.words: dict[str, bytes] = {}
         self.lost: dict[str, list[str]] = {}
+        self.changed: set[str] = set()
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        chunks = [chunk_of(w, self.prefix) for w in words]
         split = [units_of(c, self.pairs) for c in chunks]
         found = iter(self.known.get([u for units in split for u in units]))
-        for chunk, units in zip(chunks, split, strict=True):
-            ids: list[int] = []
-            for u in units:
-                got = next(found)
-                if got is None:
-                    self.lost.setdefault(chunk, []).append(u)
-                    ids.append(-1)
-                else:
-                    ids.extend(got)
-            self.words[chunk] = tuple(ids)
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
+        gap = np.array([-1], np.int32)
+        for word, chunk, units in zip(words, chunks, split, strict=True):
+            got = [next(found) for _ in units]
+            if any(x is None for x in got):
+                self.lost[word] = [u for u, x in zip(units, got, strict=True) if x is None]
+                got = [gap if x is None else x for x in got]
+            ids = got[0].astype(np.int32) if len(got) == 1 else np.concatenate(got).astype(np.int32)
+            self.words[word] = ids.tobytes()
+            if word not in self.lost and self.back(ids) != chunk.encode("utf-8", "surrogatepass").replace(MARK.encode(), b" "):
+                self.changed.add(word)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]], list[bool]]:
+        """Ids, units that are not held, and whether the ids of each text give it back (as far as they are held)."""
         split = [chunks_of(t, self.prefix) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)) - self.words.keys()
+        new = set(chain.from_iterable(split)).difference(self.words)
         if len(self.words) + len(new) > CACHE:
             self.words.clear()
             self.lost.clear()
+            self.changed.clear()
             new = set(chain.from_iterable(split))
         self.learn(list(new))
-        word, lost = self.words.__getitem__, self.lost
-        ids = [np.fromiter(chain.from_iterable(map(word, chunks)), np.int32) for chunks in split]
+        word, lost, changed = self.words.__getitem__, self.lost, self.changed
+        ids = [np.frombuffer(b"".join(map(word, chunks)), np.int32) for chunks in split]
         missing = [[u for c in chunks if c in lost for u in lost[c]] if lost else [] for chunks in split]
-        return ids, missing
+        # a text is its words in order, so it comes back if each of them does
+        same = [not changed or changed.isdisjoint(chunks) for chunks in split]
+        return ids, missing, same
 
 
-def decoder(model: Model) -> Callable[[np.ndarray], str]:
+def joiner(model: Model) -> Callable[[np.ndarray], bytes]:
+    """The bytes that ids stand for, with spaces for marks."""
     byte = {i: b for b, i in enumerate(model.byte_ids)}
     names = [bytes([byte[i]]) if i in byte else " ⁇ ".encode() if i == model.unknown else n.encode("utf-8") if n in model.pieces else b""
              for i, n in enumerate(model.names)]
-    mark, prefix = MARK.encode(), model.prefix
+    names = [n.replace(MARK.encode(), b" ") for n in names]
+    return lambda ids: b"".join(map(names.__getitem__, ids.tolist()))
+
+
+def decoder(model: Model) -> Callable[[np.ndarray], str]:
+    join, prefix = joiner(model), model.prefix
 
     def text(ids: np.ndarray) -> str:
-        joined = b"".join(map(names.__getitem__, ids.tolist())).replace(mark, b" ")
+        joined = join(ids)
         return (joined[1:] if prefix and joined[:1] == b" " else joined).decode("utf-8", "replace")
 
     return text
@@ -377,21 +398,22 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "id
     common = encoded if total <= head else encoded.orderBy(F.desc("n"), "unit").limit(head)
     held_by_all = Dictionary.collect(common)
     sent = spark.sparkContext.broadcast((held_by_all.hashes, held_by_all.bounds, held_by_all.ids))  # at most ``head`` units
+    del held_by_all
     docs = docs.drop(out, *([round_trip] if round_trip else []))
     check = round_trip is not None and total <= head
     at = docs.columns.index(text_col)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, text_of_ids = Encoder(Dictionary(*sent.value), pairs, prefix), decoder(model)
+        look, text_of_ids = Encoder(Dictionary(*sent.value), pairs, prefix, joiner(model)), decoder(model)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 texts = part.column(at).to_pylist()
-                ids, missing = look(texts)
+                ids, missing, same = look(texts)
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 more = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids), pa.int32()))]
                 if check:
-                    more.append(pa.array([text_of_ids(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                    more.append(pa.array([ok or text_of_ids(x) == (t or "").replace(MARK, " ") for ok, x, t in zip(same, ids, texts, strict=True)], pa.bool_()))
                 elif total > head:
                     more.append(pa.array(missing, pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, out, "__more"][: len(part.columns) + len(more)])
