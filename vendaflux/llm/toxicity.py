@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has a probability from a linear model over hashed words and their
-first letters; the document's is their noisy-or, ``1 - prod(1 - p)``.  Only documents are labelled: the gradient of the
+A document is a bag of sentences.  Each sentence has a probability from a linear model over hashed words and the
+letter sequences of all of each word; the document's is their noisy-or, ``1 - prod(1 - p)``.  Only documents are labelled: the gradient of the
 document's likelihood decides which sentences are to blame, so the trained model also locates them.
 
 The model is fitted on at most ``MAX_PER_CLASS`` labelled documents of each class, chosen by a hash of their ids; all
@@ -9,7 +9,8 @@ documents are scored.
 
 Cases: a null or empty text, or one without words, has no sentence and score 0.  Rows with a null label, or whose
 document is missing, are not learnt from; of repeated labels the highest counts.  Without labels of both classes all
-scores are those of an untrained model (near 0).  Repeated rows get the same score.  Extra columns are ignored.
+scores are those of an untrained model (near 0).  Repeated rows get the same score.  Extra columns are ignored.  No
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 #: Labelled documents of each class that the model is fitted on: a bound for what the driver holds.
 MAX_PER_CLASS = 4000
 DIMENSIONS = 1 << 18
-PREFIXES = (4, 5)
+GRAMS = (5, 6)
 START = -6.0
 EPOCHS, BATCH, RATE, FLOOR, SMOOTHING = 12, 256, 0.5, 0.01, 5.0
 #: Words whose weight a task remembers at once.
@@ -38,10 +39,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> tuple[int, ...]:
-    """Short words as they are; of longer ones their first letters, which inflected and compound forms share."""
-    parts = [word] if len(word) <= max(PREFIXES) else []
-    parts += ["^" + word[:n] for n in PREFIXES if len(word) > n]
-    return tuple(zlib.crc32(x.encode()) % DIMENSIONS for x in parts)
+    """The word, and all runs of ``GRAMS`` letters of it with its ends marked, which inflected and compound forms share."""
+    marked = f"^{word}$"
+    parts = {word} | {marked[i: i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in sorted(parts))
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
