@@ -14,8 +14,8 @@ Extra columns are ignored.  No rows give no rows.
 from __future__ import annotations
 
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -42,6 +42,10 @@ BOILERPLATE_WORDS = re.compile(
     r"contentinfo|complementary)(?=$|[\s_-])", re.I)
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body|articlebody)(?=$|[\s_-])", re.I)
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
+# class names that begin so tell of the layout around a part, not of the part
+MODIFIERS = re.compile(r"(?:no|not|has|have|with|without|is|hide|show|toggle)[_-]", re.I)
+#: Elements that hold a whole page or its article: their class names say nothing about what is inside.
+WHOLE_TAGS = frozenset("html body main article".split())
 
 #: Weights of the classifier, in log-odds.
 W = {"bias": -0.8, "boilerplate": -8.0, "hinted": -7.0, "article": 3.0, "content": 1.2, "paragraph": 1.0, "heading": 0.6, "item": -0.6,
@@ -55,7 +59,9 @@ class Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple] = [("", 0, False, False, False, False, False)]  # tag, container, silent, and the last four of a block
+        self.stack: list[tuple] = [("", 0, False, False, False, False, False, "")]  # tag, container, silent, the last four of a block, kind
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each tag is open, so that no tag searches the stack
+        self.open_blocks: list[int] = []
         self.parents = [-1]
         self.blocks: list[tuple] = []
         self.parts: list[str] = []
@@ -66,7 +72,7 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tag, container, _, *flags = self.stack[-1]
+            _, container, _, *flags, _ = self.stack[-1]
             self.blocks.append((text, container, self.kind, self.linked, *flags))
         self.parts.clear()
         self.linked = 0
@@ -74,17 +80,21 @@ class Blocks(HTMLParser):
     def pop_to(self, depth: int) -> None:
         if any(x[0] in BLOCK_TAGS for x in self.stack[depth:]):
             self.flush()
-        self.anchors -= sum(x[0] == "a" for x in self.stack[depth:])
+        for x in self.stack[depth:]:
+            self.places[x[0]].pop()
+        while self.open_blocks and self.open_blocks[-1] >= depth:
+            self.open_blocks.pop()
         del self.stack[depth:]
-        self.kind = next((x[0] for x in reversed(self.stack) if x[0] in BLOCK_TAGS), "")
+        self.anchors, self.kind = len(self.places["a"]), self.stack[-1][-1]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open one of the tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
 
     def close_open(self, tags: set[str], scope: set[str]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] in tags:
-                self.pop_to(depth)
-                return
-            if self.stack[depth][0] in scope:
-                return
+        depth = self.last(tags)
+        if depth > self.last(scope - tags):
+            self.pop_to(depth)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID_TAGS:
@@ -93,8 +103,8 @@ class Blocks(HTMLParser):
             elif tag == "br":
                 self.parts.append(" ")
             return
-        if tag not in HEAD_TAGS and tag != "head" and any(x[0] == "head" for x in self.stack):
-            self.pop_to(next(i for i, x in enumerate(self.stack) if x[0] == "head"))
+        if tag not in HEAD_TAGS and tag != "head" and self.places["head"]:
+            self.pop_to(self.places["head"][0])
         block = tag in BLOCK_TAGS
         if block:
             self.close_open({"p"}, {"article", "section", "div", "td", "th", "body", "button"})
@@ -103,38 +113,35 @@ class Blocks(HTMLParser):
             self.flush()
         elif tag == "option":
             self.close_open({"option"}, {"select"})
-        _, container, silent, bad, hinted, article, content = self.stack[-1]
+        _, container, silent, bad, hinted, article, content, _ = self.stack[-1]
         if block:
             self.parents.append(container)
             container = len(self.parents) - 1
             self.kind = tag
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        names = " ".join(name for k, v in attrs if v and k in ("class", "id", "role") for name in v.split() if not MODIFIERS.match(name))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
         if names:
-            hinted = hinted or bool(BOILERPLATE_WORDS.search(names)) or bool(HEADER_WORDS.search(names)) and not article
+            hinted = hinted or tag not in WHOLE_TAGS and (bool(BOILERPLATE_WORDS.search(names)) or bool(HEADER_WORDS.search(names)) and not article)
             content = content or bool(CONTENT_WORDS.search(names))
         bad = bad or tag in BOILERPLATE_TAGS or tag == "header" and not article
-        self.stack.append((tag, container, silent or tag in SILENT_TAGS or hidden, bad, hinted, article or tag in ("article", "main"), content))
+        self.places[tag].append(len(self.stack))
+        if block:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((tag, container, silent or tag in SILENT_TAGS or hidden, bad, hinted, article or tag in ("article", "main"), content, self.kind))
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK_TAGS or tag in SILENT_TAGS or tag == "a":
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.stack[depth][0] == tag:
-                    self.pop_to(depth)
-                    return
-                if self.stack[depth][0] in ("td", "th", "table", "body") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    return
+        if tag not in BLOCK_TAGS and tag not in SILENT_TAGS and tag != "a":
+            fence = self.open_blocks[-1] if self.open_blocks else 0
+        elif tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+            fence = 0
         else:
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.stack[depth][0] == tag:
-                    self.pop_to(depth)
-                    return
-                if self.stack[depth][0] in BLOCK_TAGS:
-                    return
+            fence = self.last({"td", "th", "table", "body"} - {tag})
+        if self.places[tag] and self.places[tag][-1] > fence:
+            self.pop_to(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][2]:
