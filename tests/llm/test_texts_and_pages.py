@@ -249,3 +249,51 @@ def test_incoming_revisits_join_their_response(spark):
     rows = [(4, "u", "d1", 500, "response"), (2, "u", "d1", 500, "revisit"), (9, "u", "d2", 500, "revisit"), (6, "u", "d1", 500, "response"), (7, "u", "d3", 50, "response"), (8, "u", "d3", 50, "response")]
     got = {r.id: (r.record_type, r.refers_to) for r in warc.resolve(spark.createDataFrame(rows, "id long, url string, digest string, bytes long, type string")).collect()}
     assert got == {4: ("response", None), 2: ("revisit", 4), 9: ("revisit", None), 6: ("revisit", 4), 7: ("response", None), 8: ("response", None)}
+
+
+@pytest.mark.parametrize("page", [
+    "<html><body class='no-sidebar'><div><p>{a}</p><p>{b}</p></div></body></html>", "<body><div class='content with-sidebar'><p>{a}</p><p>{b}</p></div></body>",
+    "<body class='has-menu sidebar'><main class='main-with-nav'><p>{a}</p><p>{b}</p></main><div class='sidebar'><p>Other pages. {a}</p></div></body>"])
+def test_layout_names_do_not_hide_the_article(page):
+    a = "The river rose during the night and the people of the lower town left their houses. " * 3
+    b = "In the morning the water stood at the church door, and boats went from street to street. " * 3
+    assert html_extract.main_text(page.format(a=a, b=b)) == f"{a.strip()}\n\n{b.strip()}"
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for html in ("<p>x" + "<b>" * 100_000 + "</i>" * 1000, "<div>" * 60_000 + "text", "<td>" + "<b>" * 50_000 + "</div>" * 50_000, "<p>a<li>b" * 30_000):
+        html_extract.read_blocks(html)
+    assert time.process_time() - start < 20
+
+
+def test_words_with_one_beginning_differ():
+    """All letters of a word are features: words with equal first five letters, also long ones, get different features."""
+    assert set(toxicity.features("motherhood")) != set(toxicity.features("motherland")) and set(toxicity.features("mothe")) != set(toxicity.features("mother"))
+    assert set(toxicity.features("a" * 40 + "b")) != set(toxicity.features("a" * 40 + "c"))
+    assert toxicity.features("") == toxicity.features("") and len(toxicity.features("日本語")) > 1
+
+
+def test_scores_equal_a_brute_force_scorer(spark):
+    """Brute force: op8_toxicity's score, from the weights, letter by letter."""
+    import zlib
+
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(0, 0.3, toxicity.DIMENSIONS).astype(np.float32), -4.0)
+    texts = ["", None, "One. two! three?\nFour five six", "...", "x" * 300 + " y. Ünder STRAẞE 12 a_b", "the same the same. " * 40]
+
+    def chance(text):
+        clean = 1.0
+        for part in re.split(r"[.!?\n]", text or ""):
+            if words := re.findall(r"[^\W\d_]+", part.lower()):
+                z = model.bias
+                for w in words:
+                    grams = {w} | {f"^{w}$"[i:i + n] for n in toxicity.GRAMS for i in range(len(w) + 3 - n)}
+                    z += sum(float(model.weights[zlib.crc32(g.encode()) % toxicity.DIMENSIONS]) for g in grams)
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - clean
+
+    got = toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    assert [r.score for r in got] == pytest.approx([chance(t) for t in texts], abs=1e-6)

@@ -33,3 +33,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def text_of(column: str | Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

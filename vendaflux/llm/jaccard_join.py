@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendaflux.llm.common import written
+from vendaflux.llm.common import free_name, written
 from vendaflux.llm.components import components
 
 #: Inverted lists up to this length give pairs; prefixes avoid shingles in lists above COMMON; the driver holds and
@@ -334,11 +334,17 @@ def set_sizes(width: int):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, and those with a null id, with all columns."""
-    found = join(docs, id_col, text_col, width, percent).where("doc_id IS NOT NULL")
-    gone = (found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
-            .where("NOT stays").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of ``docs`` of each component, with all columns: the one with the smallest id, a null id last.
+
+    Rows are told apart by number, so copies under one id or without an id go too."""
+    row = free_name(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "join_rows")
+    found = join(numbered, row, text_col, width, percent)
+    others = found.where("component_id <> doc_id OR n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    ids = numbered.select(row, F.col(id_col).alias("id"))
+    least = others.join(ids, row).groupBy("component_id").agg(F.min_by(row, F.struct(F.col("id").isNull(), "id", row)).alias("stays"))
+    gone = others.join(least, "component_id").where(F.col(row) != F.col("stays")).select(row)
+    return numbered.join(gone, row, "left_anti").select(docs.columns)
 
 
 #: The same for four-word shingles at 85 %, as plain joins of all shingles: for small tables.

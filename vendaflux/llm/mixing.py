@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendaflux.llm.common import WORD, text_of, written
+from vendaflux.llm.common import WORD, free_name, text_of, written
 
 #: No document is taken more often than this.
 CAP = 3
@@ -202,9 +202,10 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
     Rows equal in id, source and text are told apart by number only: the mix's copies of all of them are made from one."""
-    keyed = docs.withColumn("__key", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(source_col, text_col))))
-    plan = (mix(keyed, "__key", text_col, source_col, **options).groupBy(F.col("doc_id").alias("__key"))
-            .agg(F.sum("copies").alias("__copies")).where("__copies > 0"))
-    once = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    rows = keyed.join(plan, "__key").withColumn("__nth", once).where("__nth = 1")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    key, nth, times = (free_name(docs, x) for x in ("key", "nth", "times"))
+    keyed = docs.withColumn(key, F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(source_col, text_col))))
+    plan = (mix(keyed, key, text_col, source_col, **options).groupBy(F.col("doc_id").alias(key))
+            .agg(F.sum("copies").alias(times)).where(F.col(times) > 0))
+    once = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    rows = keyed.join(plan, key).withColumn(nth, once).where(F.col(nth) == 1)
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
