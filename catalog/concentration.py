@@ -189,7 +189,8 @@ GROUP BY 1 ORDER BY SUM(receita) DESC, cliente_id LIMIT 10""")),
         lambda s, d: abc_params(_clients(s, d)),
         over_sales(select="""
 SELECT 'regra_abc' AS parametro, 'A até 80%, B até 95%, C restante' AS valor UNION ALL SELECT 'threshold_classe_a', '0.8' UNION ALL SELECT 'threshold_classe_b', '0.95'
-UNION ALL SELECT 'total_clientes', CAST(COUNT(DISTINCT cliente_id) AS VARCHAR) FROM vendas""")),
+UNION ALL SELECT 'total_clientes', CAST(COUNT(DISTINCT cliente_id) AS VARCHAR) FROM vendas
+UNION ALL SELECT 'periodo_dados', 'Conforme base_vendas_historica.csv'""")),
     "insights_abc": Entry(
         lambda s, d: I.insights_abc(A.rank_and_classify(A.client_revenue(_clients(s, d)))),
         _abc_sql(f"""

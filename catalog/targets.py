@@ -214,7 +214,13 @@ SELECT v AS efeito_volume, p AS efeito_preco, x AS efeito_cruzado, g AS gap_tota
     "params_gap": Entry(lambda s, d: gap_params(metas(s, d)), over_targets(select="""
 SELECT 'granularidade' AS parametro, 'mes_ref × canal × regional × produto' AS valor UNION ALL SELECT 'tolerancia_gap', '±2%'
 UNION ALL SELECT 'metodo_decomposicao', 'Efeito Volume + Efeito Preço + Efeito Cruzado (aditivo)'
-UNION ALL SELECT 'linhas_meta', CAST(COUNT(*) AS VARCHAR) FROM metas""")),
+UNION ALL SELECT 'linhas_meta', CAST(COUNT(*) AS VARCHAR) FROM metas UNION ALL SELECT 'fonte_meta', 'forecast_mensal.csv'""")),
+    "gap_figures": Entry(
+        lambda s, d: G.gap_figures(G.gap_monthly(_v(s, d), metas(s, d))),
+        over_targets(_MONTHLY, select="""
+SELECT mes_ref, 'R$ ' || format('{:,}', CAST(round_even(realizado, 0) AS BIGINT)) AS realizado, 'R$ ' || format('{:,}', CAST(round_even(meta, 0) AS BIGINT)) AS meta,
+       'R$ ' || CASE WHEN gap >= 0 THEN '+' ELSE '' END || format('{:,}', CAST(round_even(gap, 0) AS BIGINT)) AS gap,
+       CASE WHEN gap_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', gap_pct * 100) || '%' AS gap_pct FROM mensal""")),
     "insights_gap": Entry(_insights, over_targets(_MONTHLY, _DETAIL, _decomp("canal", _JULY2), _TOTALS,
         "ult AS (SELECT * FROM mensal ORDER BY mes_ref DESC LIMIT 1)", "dp AS (SELECT produto, CAST(SUM(gx) AS DOUBLE) AS g FROM det GROUP BY 1)",
         "dc AS (SELECT canal, CAST(SUM(gx) AS DOUBLE) AS g FROM det GROUP BY 1)", select="""

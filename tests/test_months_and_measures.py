@@ -59,3 +59,23 @@ def test_product_type_and_labels(spark):
     assert one(spark, *labels) == ("forte positiva", "moderada positiva", "fraca", "moderada negativa", "forte negativa")
     assert one(spark, M.risk_level(F.lit(0.5)), M.risk_level(F.lit(0.51)), M.risk_level(F.lit(0.35))) == ("ELEVADO", "CRÍTICO", "MODERADO")
     assert one(spark, M.clip(F.lit(0.3), 0.0, 0.25)) == (0.25,)
+
+
+def test_figures_are_written_as_python_writes_them(spark):
+    from vendaflux.functions.figures import money, percent, thousands
+
+    values = [0.0, 0.5, 1.5, 2.5, -2.5, 1234567.4, -999.5, 999999.5, 12.345, 1e12, 0.0005, -0.3149]
+    df = spark.createDataFrame([(x,) for x in values] + [(None,)], "x double")
+    got = df.select("x", thousands(F.col("x")), money(F.col("x"), signed=True), percent(F.col("x")), percent(F.col("x"), 1, True), thousands(F.col("x"), 2)).collect()
+    for r in got:
+        x = r.x
+        assert tuple(r)[1:] == ((None,) * 5 if x is None else (f"{x:,.0f}", f"R$ {x:+,.0f}", f"{x:.1%}", f"{x:+.1%}", f"{x:,.2f}"))
+
+
+def test_facts_with_figures(spark):
+    from vendaflux.operators.insights import with_figures
+
+    facts = [("ultimo_mes", "gap", -1234.5), ("ultimo_mes", "gap_pct", 0.051), ("meses", "Acima", 12.0), ("canal", "X", 2500.0), ("media", "m1", 0.25),
+             ("decomposicao", "pct_preco", 41.6), ("decomposicao", "gap_total", 10.0), ("decomposicao", "dominante", None)]
+    df = spark.createDataFrame([(*f, None) for f in facts], "topico string, chave string, valor double, texto string")
+    assert [r.formatado for r in with_figures(df).collect()] == ["R$ -1,234", "+5.1%", "12", "R$ +2,500", "25.0%", "42%", "R$ +10", None]

@@ -205,3 +205,12 @@ def test_stored_months_prune_the_scan(spark, tmp_path):
     months = spark.createDataFrame([("2024-01", 1), ("2024-01", 2), ("2024-04", 1), ("2030-01", 1)], "mes_ref string, k int")
     some = R.rows_of_months(stored, months.filter("k = 1"))
     assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString().lower() and some.count() == 10
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("São Paulo", 1), ("x, \"y\"", 2)], ["região", "n"]).coalesce(1)
+    path = W.write_csv(df, str(tmp_path / "csv"), bom=True)
+    data = next((tmp_path / "csv").glob("part-*")).read_bytes()
+    assert data.startswith("﻿região,n\n".encode()) and data.decode("utf-8-sig").startswith("região,n\nSão Paulo,1")
+    assert not next(iter((tmp_path / W.write_csv(df, str(tmp_path / "plain"))).glob("part-*"))).read_bytes().startswith(b"\xef")
+    assert path.endswith("csv")

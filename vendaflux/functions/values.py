@@ -125,3 +125,6 @@ SYNTH_CLIENTS = 5_000
 SYNTH_FIRST_CLIENT = 10_000
 SYNTH_SEED = 42
 SYNTH_START, SYNTH_END = "2021-01-01", "2026-01-31"
+# Names of the tables that the parameter rows refer to.
+PARAM_SALES_SOURCE = "base_vendas_historica.csv"
+PARAM_TARGET_SOURCE = "forecast_mensal.csv"

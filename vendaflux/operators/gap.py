@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vendaflux.functions import measures as M
 from vendaflux.functions import values as V
+from vendaflux.functions.figures import money, percent
 from vendaflux.functions.months import month_key, month_start
 
 DIMS = list(V.DIMENSIONS)
@@ -91,6 +92,12 @@ def gap_extremes(detail: DataFrame, dim: str) -> DataFrame:
     return extremes(gap_drivers(detail, dim), dim, "gap")
 
 
+def gap_figures(monthly: DataFrame) -> DataFrame:
+    """The monthly figures as a report shows them."""
+    return monthly.select("mes_ref", money(F.col("realizado")).alias("realizado"), money(F.col("meta")).alias("meta"),
+                          money(F.col("gap"), signed=True).alias("gap"), percent(F.col("gap_pct"), 1, signed=True).alias("gap_pct"))
+
+
 def status_counts(summary: DataFrame) -> DataFrame:
     return summary.groupBy("status").agg(F.count(F.lit(1)).alias("meses"))
 

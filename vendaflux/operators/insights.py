@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vendaflux.functions import measures as M
 from vendaflux.functions import values as V
+from vendaflux.functions.figures import money, percent, thousands
 from vendaflux.functions.months import month_key, month_start
 from vendaflux.operators.abc import _class_totals
 from vendaflux.operators.adhoc import discount_correlation, product_delta, top_declines
@@ -32,6 +33,27 @@ def _union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# How the figure of a fact is written: by topic and key, else by topic; facts without an entry are counts.
+_WRITTEN = {
+    "media": "percent", "melhores": "percent", "piores": "percent", "risco": "percent", "concentracao": "percent", "classe_A": "percent",
+    ("classe_C", "pct_receita"): "percent", ("ultimo_mes", "realizado"): "money", ("ultimo_mes", "meta"): "money", ("ultimo_mes", "gap"): "signed money",
+    ("ultimo_mes", "gap_pct"): "signed percent", "produto": "signed money", "canal": "signed money", "queda": "signed money", "correlacao": "number",
+    ("decomposicao", "pct_volume"): "points", ("decomposicao", "pct_preco"): "points", "decomposicao": "signed money",
+    "canal_efeito_volume": "signed money", "canal_efeito_preco": "signed money", "canal_efeito_cruzado": "signed money"}
+
+
+def with_figures(facts: DataFrame) -> DataFrame:
+    """Facts with ``formatado``: the value as a summary shows it (NULL without a value)."""
+    x = F.col("valor")
+    styles = {"money": money(x), "signed money": money(x, signed=True), "percent": percent(x), "signed percent": percent(x, signed=True),
+              "points": F.concat(thousands(x), F.lit("%")), "number": thousands(x, 2)}
+    written = None
+    for of, style in sorted(_WRITTEN.items(), key=lambda kv: isinstance(kv[0], str)):  # topic and key first
+        fits = F.col("topico") == of if isinstance(of, str) else (F.col("topico") == of[0]) & (F.col("chave") == of[1])
+        written = F.when(fits, styles[style]) if written is None else written.when(fits, styles[style])
+    return facts.withColumn("formatado", written.otherwise(thousands(x)))
+
+
 def insights_cohort(summary: DataFrame) -> DataFrame:
     """Mean M1 to M3, and the strongest and weakest cohorts by M1."""
     summary = materialise(summary)  # one row per cohort, read by three branches

@@ -34,11 +34,11 @@ def cohort_params(v: DataFrame) -> DataFrame:
         F.lit(V.PARAM_RETENTION_METRIC).alias("metrica_retencao")))
 
 
-def abc_params(v: DataFrame) -> DataFrame:
+def abc_params(v: DataFrame, source: str = V.PARAM_SALES_SOURCE) -> DataFrame:
     clients = v.select("cliente_id").distinct().agg(F.count(F.lit(1)).alias("total_clientes"))
     return params_from_row(clients.select(
         F.lit(V.PARAM_ABC_RULE).alias("regra_abc"), F.lit(str(V.ABC_A)).alias("threshold_classe_a"),
-        F.lit(str(V.ABC_B)).alias("threshold_classe_b"), "total_clientes"))
+        F.lit(str(V.ABC_B)).alias("threshold_classe_b"), "total_clientes", F.lit(f"Conforme {source}").alias("periodo_dados")))
 
 
 def adhoc_params(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.PRIOR_MONTHS) -> DataFrame:
@@ -53,10 +53,10 @@ def adhoc_params(v: DataFrame, recent: int = V.RECENT_MONTHS, prior: int = V.PRI
         F.lit("média mensal").alias("metodo_delta"), F.lit("Pearson").alias("metodo_correlacao")))
 
 
-def gap_params(m: DataFrame, tolerance: float = V.GAP_TOLERANCE) -> DataFrame:
+def gap_params(m: DataFrame, tolerance: float = V.GAP_TOLERANCE, source: str = V.PARAM_TARGET_SOURCE) -> DataFrame:
     rows = m.agg(F.count(F.lit(1)).alias("linhas_meta"))
     return params_from_row(rows.select(
-        F.lit(V.PARAM_GAP_GRAIN).alias("granularidade"), F.lit(f"±{tolerance:.0%}").alias("tolerancia_gap"),
+        F.lit(V.PARAM_GAP_GRAIN).alias("granularidade"), F.lit(source).alias("fonte_meta"), F.lit(f"±{tolerance:.0%}").alias("tolerancia_gap"),
         F.lit(V.PARAM_GAP_METHOD).alias("metodo_decomposicao"), "linhas_meta"))
 
 

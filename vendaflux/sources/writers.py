@@ -22,7 +22,11 @@ def write_results(tables: Mapping[str, DataFrame], path: str, fmt: str = "parque
     return out
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = False) -> str:
+    """CSV with a header, in UTF-8.  ``bom`` puts a byte order mark before the header of each file, by which
+    spreadsheets recognise UTF-8."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
     return path
 
