@@ -1,8 +1,9 @@
 """URL verdicts: rules first, then trust and distrust spread over the links between hosts.
 
-Hosts whose pages the rules mostly allow are trusted seeds, those they mostly block are blocked seeds.  Personalised
-PageRank from the trusted seeds follows links; distrust from the blocked seeds follows them backwards (who links to a
-blocked host is suspect).  A host is blocked where its distrust is at least ``LEAST`` and above its trust.
+A host whose pages the rules allow more often than they block is a trusted seed, one whose pages they block more often a
+blocked seed, each weighing the difference as a share of all its pages.  Personalised PageRank from the trusted seeds follows links; distrust from the blocked seeds follows them backwards (who links to a
+blocked host is suspect).  A host is blocked where its distrust is at least that of a seed of weight ``LEAST`` and above
+its trust.  Scores that do not settle are an error.
 
 Cases: a null url or one without ``://`` has an empty host and path; no rule fits it and it is allowed.  A null page has
 no links.  Repeated pages and links count as often as they occur in shares, once as edges.  Of rules that fit, the
@@ -22,9 +23,9 @@ from vendaflux.llm.common import text_of, written
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Rules become one expression; a longer list belongs into a table.
 MAX_RULES = 1000
-DAMPING, STEPS, TOLERANCE, WRITE_EVERY = 0.85, 30, 1e-6, 5
-#: Share of a host's pages that must be decided one way for a seed, and least distrust of a blocked host.
-SEED_SHARE, LEAST = 0.5, 0.05
+DAMPING, STEPS, TOLERANCE, WRITE_EVERY = 0.85, 400, 1e-6, 5
+#: Least distrust of a blocked host, as the weight of a seed that no link reaches.
+LEAST = 0.05
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -82,7 +83,7 @@ def spread(seeds: DataFrame, edges: DataFrame, steps: int = STEPS, damping: floa
             if (change or 0) <= tolerance:
                 return new
         now = new
-    return now
+    raise RuntimeError(f"scores of hosts did not settle in {steps} steps")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -93,8 +94,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
               .withColumn("rule", rule).withColumn("by_rule", by_rule))
     share = lambda v: F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     hosts = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("a"), share("block").alias("b"))
-    seeds = hosts.select("host", F.when(F.col("a") > SEED_SHARE, F.col("a")).otherwise(0.0).alias("trusted"),
-                         F.when(F.col("b") > SEED_SHARE, F.col("b")).otherwise(0.0).alias("blocked"))
+    net = F.col("a") - F.col("b")
+    seeds = hosts.select("host", F.greatest(net, F.lit(0.0)).alias("trusted"), F.greatest(-net, F.lit(0.0)).alias("blocked"))
     scores = spread(seeds, written(host_edges(judged), "url_links"))
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     bad = (scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
