@@ -136,6 +136,7 @@ def brute_fingerprints(rows):
 
 
 def test_fingerprints_equal_brute_force(spark, monkeypatch):
+    """Brute force: op3_fingerprints."""
     monkeypatch.setattr(fingerprint, "BUCKET", 7)
     rng = np.random.default_rng(1)
     lines = [f"line {i} of some text." for i in range(60)]

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_each_stage_keeps_what_it_should(spark):
+    """Brute force: pipeline, stage by stage."""
     import sentencepiece
 
     docs = table(spark, SF, "documents")

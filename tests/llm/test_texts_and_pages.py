@@ -28,6 +28,7 @@ def bpe():
 
 
 def test_ids_equal_the_library(spark, bpe, odd_docs, no_docs):
+    """Brute force: op1_sentencepiece's ids, from the library."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.DEFAULT_MODEL)
@@ -124,6 +125,20 @@ def plain_spans(text):
     return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in PLAIN for m in re.finditer(p, text or "") if ok(m[0])]
 
 
+def test_graph_scores_equal_brute_force(spark):
+    """Brute force: op10_pii's confidence of patterns and strings."""
+    rng = np.random.default_rng(3)
+    edges = {(f"v{a}", f"p{b}"): False for a, b in rng.integers(0, 15, (60, 2))}
+    edges = {(v, p): v in {"v1", "v2", "v7"} for v, p in edges}
+    got_p, got_v = pii.score_graph(spark.createDataFrame([(v, p, s) for (v, p), s in edges.items()], "value string, pattern string, seed boolean"))
+    values = {v: float(s) for (v, _), s in edges.items()}
+    for _ in range(pii.ROUNDS):
+        patterns = {p: sum(values[v] for v, q in edges if q == p) / (sum(q == p for _, q in edges) + pii.SMOOTHING) for _, p in edges}
+        values = {v: 1.0 if edges[v, p] else float(np.mean([patterns[q] for w, q in edges if w == v])) for v, p in edges}
+    assert {r.pattern: r.confidence for r in got_p.collect()} == pytest.approx(patterns)
+    assert {r.value: r.score for r in got_v.collect()} == pytest.approx(values)
+
+
 def test_base_spans_equal_the_expressions(spark, odd_docs, no_docs):
     rng = np.random.default_rng(6)
     bits = ["a@b.co", "x_y@c.d.e", "@", ".", "..", "-", " ", "+1", "(0)", "10.0.0.256", "1.2.3.4", "001.002.003.004", "é", "日", "%", "_q@r.s", "4111 1111-1111 1111",
@@ -139,6 +154,14 @@ def test_base_spans_equal_the_expressions(spark, odd_docs, no_docs):
         assert len(r.text) == len(plain[r.doc_id]) and not [s for s in plain_spans(r.text) if s.startswith("email")]
 
 
+def test_redaction_masks_what_the_method_found(spark):
+    """Base spans and discovered identifiers are masked at their length; null and repeated ids keep their own text."""
+    rows = [(i % 3 or None, f"please write to user{i}@mail.example.org thanks") for i in range(12)] + [(50, "please write to Q7781-XK9 thanks"), (50, "chapter 12345678 begins"), (51, None)]
+    got = sorted((str(r.doc_id), r.text) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    mask = lambda t: re.sub(r"user\S+|Q7781-XK9", lambda m: "█" * len(m[0]), t or "")
+    assert got == sorted((str(i), mask(t)) for i, t in rows)
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     rows = [(i, f"please write to user{i}@mail.example.org thanks") for i in range(12)] + [(50, "please write to Q7781-XK9 thanks"), (51, "chapter 12345678 begins"),
             (52, "chapter 99999999 begins"), (53, "we write to Q7781-XK9 thanks a lot")]
@@ -175,7 +198,7 @@ def test_spread_equals_power_iteration(spark):
     links = {(int(a), int(b)) for a, b in rng.integers(0, n, (40, 2)) if a != b}
     seeds = [(f"h{i}", 1.0 if i == 0 else 0.0, 1.0 if i == 1 else 0.0) for i in range(n)]
     got = url_filter.spread(spark.createDataFrame(seeds, "host string, trusted double, blocked double"),
-                            spark.createDataFrame([(f"h{a}", f"h{b}") for a, b in links], "src string, dst string"), steps=40, tolerance=0.0)
+                            spark.createDataFrame([(f"h{a}", f"h{b}") for a, b in links], "src string, dst string"), tolerance=1e-13)
     m = np.zeros((n, n))
     for a, b in links:
         m[b, a] = 1
@@ -183,12 +206,49 @@ def test_spread_equals_power_iteration(spark):
         walk = np.divide(matrix, matrix.sum(axis=0), out=np.zeros((n, n)), where=matrix.sum(axis=0) > 0)
         s = np.eye(n)[seed] * (1 - url_filter.DAMPING)
         r = s.copy()
-        for _ in range(40):
+        for _ in range(300):
             r = s + url_filter.DAMPING * walk @ r
         mine = {x.host: x.score for x in got.where(f"kind = '{kind}'").collect()}
         assert [mine.get(f"h{i}", 0.0) for i in range(n)] == pytest.approx(r.tolist(), abs=1e-9)
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Brute force: op5_url_filter's verdicts on hosts with links, a part of whose pages the rules decide."""
+    rng = np.random.default_rng(12)
+    hosts = [f"h{i}.{t}" for i, t in enumerate(rng.choice(["com", "net", "org", "net"], 40))]
+    rows = []
+    for h in hosts:
+        for k in range(rng.integers(1, 9)):
+            path = rng.choice(["/es/", "/fr/", "/en/", "/de/"], p=[0.2, 0.2, 0.3, 0.3])
+            links = [str(x) for x in rng.choice(hosts, rng.integers(0, 3))]
+            rows.append((len(rows), f"http://{h}{path}{k}", "".join(f"<a href='http://{x}/'>t</a>" for x in links)))
+    rows.append((len(rows), "http://h0.org/", None))
+    decide = lambda h, p: ("allow" if h.endswith(".com") else "block" if h.endswith(".net") and p[:4] in ("/es/", "/fr/") else None)
+    split = {i: (u.split("/")[2], u[u.index("/", 8):]) for i, u, _ in rows}
+    net, edges = {}, set()
+    for i, _, html in rows:
+        h, p = split[i]
+        net.setdefault(h, []).append({"allow": 1, "block": -1, None: 0}[decide(h, p)])
+        edges |= {(h, x) for x in re.findall("http://([^/]+)/", html or "") if x != h}
+    nodes = sorted(set(net) | {x for e in edges for x in e})
+    at = {h: i for i, h in enumerate(nodes)}
+    scores = []
+    for sign, flip in ((1, False), (-1, True)):
+        seed = np.array([max(0.0, sign * np.mean(net.get(h, [0]))) for h in nodes]) * (1 - url_filter.DAMPING)
+        m = np.zeros((len(nodes),) * 2)
+        for a, b in edges:
+            m[(at[a], at[b]) if flip else (at[b], at[a])] = 1
+        walk = np.divide(m, m.sum(axis=0), out=np.zeros_like(m), where=m.sum(axis=0) > 0)
+        r = seed
+        for _ in range(300):
+            r = seed + url_filter.DAMPING * walk @ r
+        scores.append(r)
+    bad = {h for h in nodes if scores[1][at[h]] >= url_filter.LEAST * (1 - url_filter.DAMPING) and scores[1][at[h]] > scores[0][at[h]]}
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows)).collect()}
+    assert got == {i: decide(*split[i]) or ("block" if split[i][0] in bad else "allow") for i, _, _ in rows}
+    assert {"block", "allow"} == {got[i] for i in got if decide(*split[i]) is None}
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -201,6 +261,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text_of_a_page():
+    """In place of brute force: op7_html_extract on a page with every kind of part, read by hand."""
     assert html_extract.main_text(PAGE).split("\n\n") == [
         "Café & more", "First paragraph with bold words, and a line. It has sentences. Really.", "Second one here, also with enough words to be read.",
         "An item that tells something of the story."]

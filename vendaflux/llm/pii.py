@@ -138,11 +138,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "█") -> DataFrame:
-    """``doc_id, text`` with every base span of each kind replaced by marks of the same length."""
-    text = text_of(text_col)
-    for kind in BASE:
-        text = F.aggregate(base_spans(kind, text), text, lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    """``doc_id, text`` with every span that ``find`` gives, base and discovered, replaced by marks of the same length."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text")), "pii_texts")
+    found = find(rows, "row").select(F.col("doc_id").alias("row"), F.concat(*BASE, "found").alias("spans"))
+    masked = F.aggregate("spans", F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+    return rows.join(found, "row").select(F.col("id").alias("doc_id"), masked.alias("text"))
 
 
 def digest(found: DataFrame) -> DataFrame:
