@@ -15,6 +15,8 @@ No rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +33,61 @@ BASE = {
 }
 IDENTIFIER = r"(?<![A-Za-z0-9_.@+/-])[A-Za-z_@+/][A-Za-z_.@+/-]*+[0-9][A-Za-z0-9_.@+/-]*+|(?<![A-Za-z0-9_.@+/-])[0-9][A-Za-z0-9_.@+/-]*+"
 LEAST_LENGTH, REACH = 6, 48
+#: Matches of a text that are placed together.
+BLOCK = 256
+SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 #: Rounds; smoothing of a pattern's score; least confidence of a pattern and of a string; seeds a pattern needs.
 ROUNDS, SMOOTHING, CONFIDENT, ACCEPTED, SUPPORT = 3, 2.0, 0.6, 0.75, 3
 
 
-def spans_of(text: Column, expression: str) -> Column:
-    """Start, end (code points) and value of all matches, from the pieces between them."""
-    pieces, values = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a name in a lambda is bound."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(steps: Column, at: Column) -> Column:
+    """Spans of matches one after the other from a position on."""
+    start = F.struct(at.cast("int").alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def add(state: Column, x: Column) -> Column:
-        a = state["at"] + F.length(x["piece"])
+        a = state["at"] + x["gap"]
         b = a + F.length(x["value"])
-        return F.struct(b.alias("at"), F.concat(state["spans"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("spans"))
+        span = F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct(b.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(steps, start, add, lambda s: s["spans"])
+
+
+def spans_of(text: Column, expression: str) -> Column:
+    """Start, end (code points) and value of all matches, from the pieces between them, and the text before and after
+    each as far as ``REACH`` characters or the match beside it.
+
+    Spans are appended to an array; texts with more than ``BLOCK`` matches are done in blocks, so that an append copies
+    no more than a block."""
+    def steps(pieces: Column, values: Column) -> Column:
+        n = F.size(values)
+        last = F.concat(F.array(F.lit("")), values)
+        after = F.zip_with(F.slice(pieces, F.lit(2), n), F.slice(F.concat(F.slice(values, F.lit(2), n), F.array(F.lit(""))), F.lit(1), n),
+                           lambda p, v: F.left(F.concat(p, F.left(v, F.lit(REACH))), F.lit(REACH)))
+        before = F.zip_with(F.slice(last, F.lit(1), n), F.slice(pieces, F.lit(1), n),
+                            lambda v, p: F.right(F.concat(F.right(v, F.lit(REACH)), p), F.lit(REACH)))
+        return F.zip_with(F.arrays_zip(F.transform(F.slice(pieces, F.lit(1), n), F.length).alias("gap"), values.alias("value")),
+                          F.arrays_zip(before.alias("before"), after.alias("after")),
+                          lambda x, c: F.struct(x["gap"].alias("gap"), x["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after")))
+
+    def in_blocks(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
-    return F.aggregate(pairs, start, add, lambda s: s["spans"])
+        def join(blocks: Column) -> Column:
+            lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["value"])))
+            starts = F.aggregate(lengths, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+            return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), _placed))
+
+        return _let(blocks, join)
+
+    found = _let(F.struct(F.split(text, expression, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("values")),
+                 lambda m: steps(m["pieces"], m["values"]))
+    return _let(found, lambda s: F.when(F.size(s) <= BLOCK, _placed(s, F.lit(0))).otherwise(in_blocks(s)))
 
 
 def digits(value: Column) -> Column:
@@ -75,21 +116,35 @@ def valid(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-NO_SPANS = "array<struct<start:int,end:int,value:string>>"
-
-
 def base_spans(kind: str, text: Column) -> Column:
     test, expression = BASE[kind]
     may = F.contains(text, F.lit(test)) if kind == "email" else text.rlike(test)
-    return F.when(may, F.filter(spans_of(text, expression), lambda s: valid(kind, s["value"]))).otherwise(F.array().cast(NO_SPANS))
+    return F.when(may, F.filter(spans_of(text, expression), lambda s: valid(kind, s["value"]))).otherwise(F.array().cast(SPANS))
+
+
+def overlaps(spans: Column, s: Column) -> Column:
+    """Whether a span meets one of ``spans``, which are in order and apart from each other: the last that begins before
+    its end is the only one that can; many are searched by halving."""
+    def search(spans: Column) -> Column:
+        n = F.size(spans)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(31))])
+        before = F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+            (low.cast("long") + step <= n) & (F.get(spans, (low.cast("long") + step - 1).cast("int"))["start"] < s["end"]), low + step).otherwise(low))
+        return _let(before, lambda i: (i > 0) & (F.get(spans, i - 1)["end"] > s["start"]))
+
+    near = F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.when(F.size(spans) <= BLOCK, near).otherwise(search(spans))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    return F.filter(spans, lambda s: ~overlaps(others, s))
 
 
-def with_context(text: Column, spans: Column, seed: bool) -> Column:
+def with_context(spans: Column, seed: bool) -> Column:
     """Each span with the words left and right of it."""
     def around(s: Column) -> Column:
-        a = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.lower(F.regexp_extract(F.substring(text, a + 1, s["start"] - a), r"(\S{1,32})\s*$", 1))
-        right = F.lower(F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(REACH)), r"^\s*(\S{1,32})", 1))
+        left = F.lower(F.regexp_extract(s["before"], r"(\S{1,32})\s*$", 1))
+        right = F.lower(F.regexp_extract(s["after"], r"^\s*(\S{1,32})", 1))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), right.alias("right"), F.lit(seed).alias("seed"))
 
     return F.transform(spans, around)
@@ -120,10 +175,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.select("doc_id", "text", *[base_spans(k, text).alias(k) for k in BASE])
     others = F.filter(spans_of(text, IDENTIFIER), lambda s: (F.length(s["value"]) >= LEAST_LENGTH))
-    all_base = F.concat(*BASE)
-    free = F.filter(others, lambda s: ~F.exists(all_base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    nodes = F.concat(with_context(text, all_base, True), with_context(text, F.when(text.rlike("[0-9]"), free).otherwise(F.array().cast(NO_SPANS)), False))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *BASE, nodes.alias("nodes")), "pii_rows")
+    free = others
+    for kind in BASE:
+        free = _apart(free, F.col(kind))
+    nodes = F.concat(with_context(F.concat(*BASE), True), with_context(F.when(text.rlike("[0-9]"), free).otherwise(F.array().cast(SPANS)), False))
+    bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias(k) for k in BASE]
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *bare, nodes.alias("nodes")), "pii_rows")
 
     seen = rows.select("row", F.explode("nodes").alias("n")).select("row", "n.*")
     both = F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))
@@ -134,7 +191,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     new = (seen.where("NOT seed").withColumn("pattern", F.explode(both)).join(good, "pattern", "left_semi")
            .join(values.where(F.col("score") >= ACCEPTED).select("value"), "value", "left_semi"))
     found = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("found"))
-    return rows.drop("nodes").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(NO_SPANS)))
+    return rows.drop("nodes").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,end:int,value:string>>")))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "█") -> DataFrame:
