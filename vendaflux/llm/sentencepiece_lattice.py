@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ from vendaflux.llm.common import text_of, written
 MARK = "▁"
 #: Units in the dictionary that tasks hold (about 25 bytes each); characters of a unit that fit the bits of a number.
 HEAD, LONGEST = 3_000_000, 60
-#: Distinct words that a task remembers or counts before it hands them on.
-CACHE = 250_000
+#: Distinct words that a task remembers, and counts before it hands them on.
+CACHE, COUNTED = 200_000, 250_000
 #: Texts that are looked up together, and units whose lattices are made in one task.
 SLICE, PART = 512, 20_000
 #: Units that one task packs for the dictionary.
@@ -107,40 +108,34 @@ def chunk_of(word: str, prefix: bool) -> str:
 
 
 def units_of(chunk: str, pairs: frozenset[str]) -> list[str]:
-    out, a = [], 0
-    for i in range(1, len(chunk)):
-        if chunk[i - 1: i + 1] not in pairs:
-            out.append(chunk[a:i])
-            a = i
-    out.append(chunk[a:])
-    return out
+    cuts = [i for i, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in pairs]
+    return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
 
 
 def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
     """``unit, n`` of all texts, counted in each task first."""
     pairs, prefix = model.pairs(), model.prefix
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: Counter[str] = Counter()
 
-        def hand_on() -> pd.DataFrame:
+        def hand_on() -> pa.RecordBatch:
             units: Counter[str] = Counter()
             for chunk, n in chunks.items():
                 for u in units_of(chunk_of(chunk, prefix), pairs):
                     units[u] += n
             chunks.clear()
-            return pd.DataFrame({"unit": list(units), "n": np.fromiter(units.values(), np.int64, len(units))})
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(units.values(), pa.int64())], ["unit", "n"])
 
         for batch in batches:
-            for text in batch.text:
+            for text in batch.column(0).to_pylist():
                 if text:
                     chunks.update(chunks_of(text, prefix))
-                    if len(chunks) > CACHE:
+                    if len(chunks) > COUNTED:
                         yield hand_on()
-        if chunks:
-            yield hand_on()
+        yield hand_on()
 
-    return docs.select("text").mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
@@ -190,7 +185,8 @@ def fold_merges(model: Model) -> Column:
 
     full = _left(one, size + 1) - 1
     start = F.struct(full.alias("mask"), bits.alias("bits"))
-    mask = F.aggregate(F.sequence(F.lit(1), size), start, merge, lambda s: s["mask"])
+    # a unit of n characters has n - 1 merges at most
+    mask = F.aggregate(F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>")), start, merge, lambda s: s["mask"])
     return _ids_between(model, _once(mask, lambda m: F.filter(
         F.sequence(F.lit(0), size), lambda i: F.call_function("shiftright", m, i).bitwiseAND(one) == 1)))
 
@@ -317,52 +313,73 @@ class Dictionary:
         bounds = np.concatenate([np.zeros(1, np.uint32), np.cumsum(np.frombuffer(b"".join(p.n for p in parts), np.uint32), dtype=np.uint32)])
         return cls(hashes, bounds, np.frombuffer(b"".join(p.ids for p in parts), kind))
 
-    def get(self, units: list[str]) -> list[np.ndarray | None]:
-        """Ids of each unit; None for units that it does not hold."""
-        if not len(self.hashes):
-            return [None] * len(units)
+    def get(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units one after the other, how many each has, and which are not held (those have one id, -1)."""
         h = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).view(np.int64)  # as Spark's xxhash64
+        if not len(self.hashes):
+            return np.full(len(units), -1, np.int32), np.ones(len(units), np.int64), np.ones(len(units), bool)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        a, b, ids = self.bounds[at].tolist(), self.bounds[at + 1].tolist(), self.ids
-        return [ids[i:j] if ok else None for i, j, ok in zip(a, b, (self.hashes[at] == h).tolist(), strict=True)]
+        lost = self.hashes[at] != h
+        starts = self.bounds[at].astype(np.int64)
+        sizes = np.where(lost, 1, self.bounds[at + 1] - starts)
+        ends = np.cumsum(sizes)
+        taken = np.repeat(np.where(lost, 0, starts) - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.ids[taken].astype(np.int32)
+        ids[(ends - sizes)[lost]] = -1
+        return ids, sizes, lost
 
 
 class Encoder:
     """Ids of texts from a dictionary; -1 stands for each unit that it does not hold.
 
-    Words are remembered as packed ids, and whether decoding them gives the word back."""
+    Words are remembered as packed ids: those of the last ``CACHE`` new ones, and those before that were met since.  A
+    word whose ids do not decode to it is marked."""
 
     def __init__(self, known: Dictionary, pairs: frozenset[str], prefix: bool, back: Callable[[np.ndarray], bytes]) -> None:
         self.known, self.pairs, self.prefix, self.back = known, pairs, prefix, back
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.lost: dict[str, list[str]] = {}
         self.changed: set[str] = set()
 
     def learn(self, words: list[str]) -> None:
         chunks = [chunk_of(w, self.prefix) for w in words]
         split = [units_of(c, self.pairs) for c in chunks]
-        found = iter(self.known.get([u for units in split for u in units]))
-        gap = np.array([-1], np.int32)
-        for word, chunk, units in zip(words, chunks, split, strict=True):
-            got = [next(found) for _ in units]
-            if any(x is None for x in got):
-                self.lost[word] = [u for u, x in zip(units, got, strict=True) if x is None]
-                got = [gap if x is None else x for x in got]
-            ids = got[0].astype(np.int32) if len(got) == 1 else np.concatenate(got).astype(np.int32)
-            self.words[word] = ids.tobytes()
-            if word not in self.lost and self.back(ids) != chunk.encode("utf-8", "surrogatepass").replace(MARK.encode(), b" "):
-                self.changed.add(word)
+        units = list(chain.from_iterable(split))
+        ids, sizes, lost = self.known.get(units)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        last = np.cumsum(counts)  # units up to each word
+        stops = np.concatenate([[0], np.cumsum(sizes)])[last]  # ids up to each word
+        packed, a = ids.tobytes(), 0
+        for word, b in zip(words, (4 * stops).tolist(), strict=True):
+            self.words[word] = packed[a:b]
+            a = b
+        for i in np.flatnonzero(np.add.reduceat(lost, last - counts)) if lost.any() else ():
+            gone = lost[last[i] - counts[i]: last[i]]
+            self.lost[words[i]] = [u for u, x in zip(split[i], gone.tolist(), strict=True) if x]
+        plain = lambda text: text.encode("utf-8", "surrogatepass").replace(MARK.encode(), b" ")
+        # all together first; word by word only if any differs
+        if lost.any() or self.back(ids) != plain("".join(chunks)):
+            begin = 0
+            for word, chunk, stop in zip(words, chunks, stops.tolist(), strict=True):
+                if word not in self.lost and self.back(ids[begin:stop]) != plain(chunk):
+                    self.changed.add(word)
+                begin = stop
 
     def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]], list[bool]]:
         """Ids, units that are not held, and whether the ids of each text give it back (as far as they are held)."""
         split = [chunks_of(t, self.prefix) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(self.words)
         if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            self.lost.clear()
-            self.changed.clear()
+            self.older, self.words = self.words, {}
             new = set(chain.from_iterable(split))
-        self.learn(list(new))
+            self.lost = {w: u for w, u in self.lost.items() if w in self.older}
+            self.changed &= self.older.keys()
+        met = new & self.older.keys()
+        for w in met:
+            self.words[w] = self.older[w]
+        if new := new - met:
+            self.learn(list(new))
         word, lost, changed = self.words.__getitem__, self.lost, self.changed
         ids = [np.frombuffer(b"".join(map(word, chunks)), np.int32) for chunks in split]
         missing = [[u for c in chunks if c in lost for u in lost[c]] if lost else [] for chunks in split]
