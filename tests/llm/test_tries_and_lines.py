@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from corpus_fixtures import no_docs, odd_docs  # noqa: F401
 
-from vendaflux.llm import conversation_trie, line_frequency, spelling_variants
+from vendaflux.llm import common, conversation_trie, line_frequency, spelling_variants
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TURNS = "conv_id long, turn long, role string, text string, at long, block int, level string"
@@ -219,3 +219,14 @@ def test_quality_equals_brute_force(spark, odd_docs, no_docs):
 def test_quality_runs_no_python(spark, odd_docs):
     plan = line_frequency.measures(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# intermediate tables
+
+def test_intermediate_tables_lie_in_one_folder_that_can_go(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert common.written(spark.range(3), "t").count() == 3
+    assert list(tmp_path.glob("work-*/t-*/*.parquet"))
+    common.clean_up(spark)
+    common.clean_up(spark)
+    assert list(tmp_path.iterdir()) == []
