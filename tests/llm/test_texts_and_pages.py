@@ -317,6 +317,20 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages(spark, [])).count() == 0
 
 
+def test_record_names_are_unique_and_referred_to(spark, tmp_path):
+    """Rows with one id and different payloads, and equal rows, are records of their own; revisits name their response."""
+    import gzip
+
+    rows = [(1, "http://a/", "x" * 200), (1, "http://a/", "y" * 200), (2, "http://b/", "x" * 200), (3, "http://c/", "s"), (3, "http://c/", "s"), (None, "http://d/", "y" * 200)]
+    df = pages(spark, rows)
+    warc.write_archives(df, warc.resolve(warc.headers(df)), str(tmp_path / "w"))
+    text = "".join(gzip.open(f, "rt", newline="").read() for f in (tmp_path / "w").glob("*.gz"))
+    names, referred = re.findall(r"WARC-Record-ID: (\S+)", text), re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert len(names) == len(set(names)) == 6 and len(referred) == 2
+    response = {n for n, kind in zip(names, re.findall(r"WARC-Type: (\S+)", text), strict=True) if kind == "response"}
+    assert set(referred) <= response and len(set(referred)) == 2
+
+
 def test_incoming_revisits_join_their_response(spark):
     rows = [(4, "u", "d1", 500, "response"), (2, "u", "d1", 500, "revisit"), (9, "u", "d2", 500, "revisit"), (6, "u", "d1", 500, "response"), (7, "u", "d3", 50, "response"), (8, "u", "d3", 50, "response")]
     got = {r.id: (r.record_type, r.refers_to) for r in warc.resolve(spark.createDataFrame(rows, "id long, url string, digest string, bytes long, type string")).collect()}

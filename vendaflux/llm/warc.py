@@ -52,17 +52,18 @@ def resolve(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     is_first = F.col("first_row").isNull() & whole | (F.col("row") == F.col("first_row"))
     return (rows.join(groups, "digest", "left")
             .withColumn("record_type", F.when(is_first, "response").otherwise("revisit"))
-            .withColumn("refers_to", F.when(~is_first, F.col("first_id")))
+            .withColumn("refers_to", F.when(~is_first, F.col("first_id"))).withColumn("refers_row", F.when(~is_first, F.col("first_row")))
             .drop("first_id", "first_row"))
 
 
-def _record_id(of: Column) -> Column:
-    h = F.md5(F.concat(F.lit("record:"), of.cast("string")))
+def _record_id(of: Column, digest: Column, row: Column) -> Column:
+    """A record's name: rows that share an id or a payload, or both, are told apart by their number."""
+    h = F.md5(F.concat_ws("/", F.lit("record:"), of.cast("string"), digest, row.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
 def record_text(date: str) -> Column:
-    """The text of a record from ``id, url, digest, bytes, record_type, refers_to, payload``."""
+    """The text of a record from ``id, row, url, digest, bytes, record_type, refers_to, refers_row, payload``."""
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
 
@@ -72,9 +73,9 @@ def record_text(date: str) -> Column:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END * 2))
     block = F.concat(http, body)
     return F.concat(
-        F.lit(f"WARC/1.1{END}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.coalesce(_record_id(F.col("id")), _record_id(F.concat(F.lit("row "), F.col("row"))))),
+        F.lit(f"WARC/1.1{END}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _record_id(F.col("id"), F.col("digest"), F.col("row"))),
         line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to")))),
+        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), line("WARC-Refers-To", F.when(revisit & F.col("refers_row").isNotNull(), _record_id(F.col("refers_to"), F.col("digest"), F.col("refers_row")))),
         line("X-Record-Number", F.col("id").cast("string")), line("X-Refers-To-Number", F.when(revisit, F.col("refers_to").cast("string"))),
         line("X-Payload-Length", F.col("bytes").cast("string")), line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit(END), block)
