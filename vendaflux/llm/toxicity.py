@@ -80,35 +80,68 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0.0, logits).sum()))
 
 
+def _word_print(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 def _bags(texts: DataFrame) -> DataFrame:
-    """``label`` and, packed, the features of each document with the number of them in each sentence."""
+    """``label`` and, packed, a print of each word of a document and the number of words of each sentence."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text, label in zip(batch.text, batch.label, strict=True):
-                ids, sizes = [], []
-                for _, _, words in sentences(text or ""):
-                    before = len(ids)
-                    for w in words:
-                        ids.extend(features(w))
-                    sizes.append(len(ids) - before)
-                rows.append((int(label), np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["label", "ids", "sizes"])
+                said = [words for _, _, words in sentences(text or "")]
+                prints = np.fromiter((_word_print(w) for words in said for w in words), np.uint32)
+                rows.append((int(label), prints.tobytes(), np.fromiter(map(len, said), np.int32, len(said)).tobytes()))
+            yield pd.DataFrame(rows, columns=["label", "words", "sizes"])
+
+    return texts.mapInPandas(pack, "label int, words binary, sizes binary")
+
+
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """Each word of the documents once, many in a row: packed, their prints, how many features each has, and these."""
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[str] = set()
+        for batch in batches:
+            new = {w for text in batch.text for _, _, words in sentences(text or "") for w in words} - known
+            known |= new
+            yield pd.DataFrame([(_word_print(w), np.array(features(w), np.int32).tobytes()) for w in new], columns=["word", "ids"])
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"words": [b.word.to_numpy().astype(np.uint32).tobytes()], "counts": [(b.ids.str.len() // 4).to_numpy().astype(np.uint32).tobytes()],
+                                "ids": [b"".join(b.ids)]})
 
-    return texts.mapInPandas(pack, "label int, ids binary, sizes binary")
+    words = texts.select("text").mapInPandas(spell, "word long, ids binary").groupBy("word").agg(F.min("ids").alias("ids"))
+    return words.mapInPandas(packed, "words binary, counts binary, ids binary")
 
 
-def fit(bags: list[tuple[int, bytes, bytes]], seed: int = 0) -> Model:
+def fit(bags: list[tuple[int, bytes, bytes]], vocabulary: list[tuple[bytes, bytes, bytes]], seed: int = 0) -> Model:
     """Stochastic gradient of the noisy-or likelihood with AdaGrad.
 
     Each feature is scaled by its smoothed log-odds over documents, so one that a single document happens to have
     learns slowly and one that many toxic documents share learns fast."""
-    bags = [(y, np.frombuffer(i, np.int32), np.frombuffer(s, np.int32)) for y, i, s in bags]
+    prints, counts, spelt = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(v[i], kind) for v in vocabulary]])
+                             for i, kind in enumerate((np.uint32, np.uint32, np.int32)))
+    order = np.argsort(prints, kind="stable")
+    counts = counts.astype(np.int64)
+    begin = (np.cumsum(counts) - counts)[order]
+    prints, counts = prints[order], counts[order]
+    spelt = spelt[np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+
+    def features_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of words (places in the vocabulary) one after the other, and where those of each begin."""
+        n = counts[words]
+        begin = np.cumsum(n) - n
+        return spelt[np.repeat(offsets[words] - begin, n) + np.arange(n.sum())], begin
+
+    bags = [(y, np.searchsorted(prints, np.frombuffer(w, np.uint32)).astype(np.int32), np.frombuffer(s, np.int32)) for y, w, s in bags]
     bags = sorted((b for b in bags if len(b[2])), key=lambda b: (b[0], len(b[1]), b[1].tobytes()))
     weights, bias, square, square_bias = np.zeros(DIMENSIONS), START, np.full(DIMENSIONS, FLOOR), FLOOR
     seen = [np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)]
-    for y, ids, _ in bags:
-        seen[y][np.unique(ids)] += 1
+    for y, words, _ in bags:
+        seen[y][np.unique(features_of(np.unique(words))[0])] += 1
     n = [sum(y == c for y, _, _ in bags) for c in (0, 1)]
     if not min(n):
         return Model(weights, bias)
@@ -119,16 +152,20 @@ def fit(bags: list[tuple[int, bytes, bytes]], seed: int = 0) -> Model:
         for some in np.array_split(order.permutation(len(bags)), max(1, len(bags) // BATCH)):
             batch = [bags[i] for i in some]
             y = np.array([b[0] for b in batch], float)
-            ids, sizes = np.concatenate([b[1] for b in batch]), np.concatenate([b[2] for b in batch])
+            sizes = np.concatenate([b[2] for b in batch])
+            words, place = np.unique(np.concatenate([b[1] for b in batch]), return_inverse=True)
+            ids, begin = features_of(words)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             per_doc = np.array([len(b[2]) for b in batch])
             doc_starts = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
-            z = bias + np.add.reduceat((weights * scale)[ids], starts)
+            of_word = np.add.reduceat((weights * scale)[ids], begin)
+            z = bias + np.add.reduceat(of_word[place], starts)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             miss = np.exp(-np.add.reduceat(np.logaddexp(0.0, z), doc_starts))  # probability of no toxic sentence
             pull = np.where(y == 1, -miss / np.maximum(1 - miss, 1e-9), 1.0)
             grad_z = p * np.repeat(pull, per_doc) / len(batch)
-            grad = np.bincount(ids, weights=np.repeat(grad_z, sizes), minlength=DIMENSIONS) * scale
+            grad_word = np.bincount(place, weights=np.repeat(grad_z, sizes), minlength=len(words))
+            grad = np.bincount(ids, weights=np.repeat(grad_word, counts[words]), minlength=DIMENSIONS) * scale
             square += grad * grad
             weights -= RATE * grad / np.sqrt(square)
             square_bias += grad_z.sum() ** 2
@@ -143,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = [one.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class) for y in (0, 1)]
     chosen = pick[0].unionByName(pick[1])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 * max_per_class rows
-    return fit([tuple(r) for r in _bags(texts.select("text", "label")).limit(4 * max_per_class).collect()])
+    # words go to the driver as prints of four bytes, each distinct one once more with its features
+    return fit([tuple(r) for r in _bags(texts.select("text", "label")).limit(4 * max_per_class).collect()], [tuple(r) for r in _vocabulary(texts).collect()])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
