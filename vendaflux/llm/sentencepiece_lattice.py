@@ -39,7 +39,7 @@ MARK = "▁"
 #: Units in the dictionary that tasks hold (about 25 bytes each); characters of a unit that fit the bits of a number.
 HEAD, LONGEST = 3_000_000, 60
 #: Distinct words that a task remembers, and counts before it hands them on.
-CACHE, COUNTED = 200_000, 250_000
+CACHE, COUNTED = 120_000, 250_000
 #: Texts that are looked up together, and units whose lattices are made in one task.
 SLICE, PART = 512, 20_000
 #: Units that one task packs for the dictionary.
