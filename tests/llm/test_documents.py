@@ -11,6 +11,7 @@ import pytest
 from corpus_fixtures import near_docs, no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 
+from vendaflux.llm import components as components_module
 from vendaflux.llm import exact_dedup, fingerprint, jaccard_join, mixing
 from vendaflux.llm.components import components
 
@@ -120,6 +121,30 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 100 for i in range(100, 161)} | {j: 5 for j in [5, *range(200, 260)]}
 
 
+def test_components_of_edges_that_fit_into_a_task_need_two_tables(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components_module, "written", lambda df, name, f=components_module.written: tables.append(name) or f(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(20)
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(301)}
+    assert len(tables) == 2
+
+
+def test_components_across_tasks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "TOGETHER", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(k * 1000 + (i * 37) % 101, k * 1000 + ((i + 1) * 37) % 101) for k in range(3) for i in range(100)] * 2
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(30)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k * 1000 + i: k * 1000 for k in range(3) for i in range(101)}
+
+
+def test_stars_have_the_least_node_of_each_component():
+    got = components_module.stars(np.array([9, 4, -1, 7]), np.array([4, 2, -3, 7]))
+    assert set(map(tuple, got.to_numpy().tolist())) == {(9, 2), (4, 2), (-1, -3)}
+
+
 # fingerprints
 
 def paragraphs(text):
