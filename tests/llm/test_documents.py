@@ -145,6 +145,12 @@ def test_stars_have_the_least_node_of_each_component():
     assert set(map(tuple, got.to_numpy().tolist())) == {(9, 2), (4, 2), (-1, -3)}
 
 
+def test_sizes_are_compared_before_pairs_meet_their_bit_maps(spark):
+    lists = spark.createDataFrame([(1, 10, 100, 3), (1, 11, 86, 3), (1, 12, 50, 3)], "h long, node long, n int, c long")
+    bits = spark.createDataFrame([(i, 100, bytes(64)) for i in (10, 11, 12)], "node long, n long, bits binary")  # all alike here
+    assert [tuple(r) for r in jaccard_join.short_list_edges(lists, bits, 85).collect()] == [(10, 11)]
+
+
 # fingerprints
 
 def paragraphs(text):

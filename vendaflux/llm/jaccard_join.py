@@ -170,22 +170,22 @@ def common_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """Prefix entries of nodes that share a shingle with another, with the length of its list: ``h, node, c``.
+    """Prefix entries of nodes that share a shingle with another, with the size of the set and the length of the shingle's
+    list: ``h, node, n, c``.
 
     One exchange by shingle serves the removal of repeats and the count."""
-    entries = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "node").repartition("h").distinct()
+    entries = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "node", F.col("n").cast("int").alias("n")).repartition("h").distinct()
     return entries.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")
 
 
 def short_list_edges(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of lists up to SHORT."""
+    """Candidate pairs of lists up to SHORT; sizes are compared before pairs move."""
     rows = lists.where(F.col("c") <= SHORT)
     a, b = rows.alias("a"), rows.alias("b")
     pairs = (a.join(b, F.col("a.h") == F.col("b.h"))
-             .where("a.node < b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+             .where(f"a.node < b.node AND 100L * least(a.n, b.n) >= {percent}L * greatest(a.n, b.n)").select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
     pairs = (pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-             .join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-             .where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")))
+             .join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b"))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
