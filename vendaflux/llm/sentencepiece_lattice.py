@@ -18,16 +18,13 @@ rows.
 from __future__ import annotations
 
 import heapq
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
-from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +35,14 @@ from vendaflux.llm.common import text_of, written
 MARK = "▁"
 #: Units in the dictionary that tasks hold (about 25 bytes each); characters of a unit that fit the bits of a number.
 HEAD, LONGEST = 3_000_000, 60
-#: Distinct words that a task remembers, and counts before it hands them on.
-CACHE, COUNTED = 120_000, 250_000
-#: Texts that are looked up together, and units whose lattices are made in one task.
-SLICE, PART = 512, 20_000
+#: Distinct units that a task counts before it hands them on.
+COUNTED = 250_000
+#: Bytes of texts that are cut together, and units whose lattices are made in one task.
+SLICE, PART = 4_000_000, 20_000
 #: Units that one task packs for the dictionary.
 PACKED = 100_000
 UNKNOWN_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 @dataclass
@@ -96,20 +92,47 @@ def normalised(text: str, prefix: bool) -> str:
     return MARK + text if prefix and text else text
 
 
-def chunks_of(text: str, prefix: bool) -> list[str]:
-    """Runs of space marks with what follows them; where each has one mark they are given without it (see ``chunk_of``)."""
-    if prefix and "  " not in text and text[:1] != " " and text[-1:] != " " and MARK not in text:
-        return text.split(" ")
-    return CHUNK.findall(normalised(text, prefix))
-
-
-def chunk_of(word: str, prefix: bool) -> str:
-    return MARK + word if prefix and word[:1] != MARK else word
-
-
-def units_of(chunk: str, pairs: frozenset[str]) -> list[str]:
-    cuts = [i for i, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in pairs]
-    return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
+class Cutter:
+    """Cuts texts into units: between characters that no piece has side by side, and before the space marks of a word.
+
+    All characters of several texts are looked at together, in a table of a byte for each two characters of pieces."""
+
+    def __init__(self, pairs: frozenset[str], prefix: bool) -> None:
+        self.prefix = prefix
+        chars = sorted({MARK}.union(*pairs))
+        self.kinds = len(chars) + 1  # 0 for all characters that no piece joins to others
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, self.kinds)
+        apart = np.ones((self.kinds, self.kinds), bool)
+        for a, b in pairs:
+            apart[self.kind[ord(a)], self.kind[ord(b)]] = b == MARK != a
+        self.apart = apart.ravel()
+
+    def __call__(self, texts: list[str | None]) -> tuple[pa.StringArray, np.ndarray]:
+        """Units of all texts one after the other, and how many there are before each text and in all."""
+        marked = [normalised(t, self.prefix) if t else "" for t in texts]
+        joined = "".join(marked)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.kind[codes]
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = self.apart[kind[:-1].astype(np.int32) * self.kinds + kind[1:]]
+        begins = np.cumsum([0, *map(len, marked)])
+        cut[begins] = True
+        at = np.flatnonzero(cut)
+        widths = (codes > 0x7F).astype(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF)  # bytes in UTF-8 beyond the first
+        more = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(widths, out=more[1:], dtype=np.int32)
+        offsets = (at + more[at]).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(joined.encode("utf-8")))
+        return units, np.searchsorted(at, begins)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows with about SLICE bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
@@ -117,23 +140,21 @@ def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
     pairs, prefix = model.pairs(), model.prefix
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter[str] = Counter()
+        cut, held = Cutter(pairs, prefix), []
 
-        def hand_on() -> pa.RecordBatch:
-            units: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                for u in units_of(chunk_of(chunk, prefix), pairs):
-                    units[u] += n
-            chunks.clear()
-            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(units.values(), pa.int64())], ["unit", "n"])
+        def together() -> pa.Table:
+            return pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    chunks.update(chunks_of(text, prefix))
-                    if len(chunks) > COUNTED:
-                        yield hand_on()
-        yield hand_on()
+            for part in slices(batch, 0):
+                found = cut(part.column(0).to_pylist())[0].value_counts()
+                held.append(pa.table([found.field(0), found.field(1)], ["unit", "n"]))
+                if sum(map(len, held)) > 2 * COUNTED:
+                    held = [together()]
+                    if len(held[0]) > COUNTED:
+                        yield from held.pop().to_batches(COUNTED)
+        if held:
+            yield from together().to_batches(COUNTED)
 
     return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -313,95 +334,44 @@ class Dictionary:
         bounds = np.concatenate([np.zeros(1, np.uint32), np.cumsum(np.frombuffer(b"".join(p.n for p in parts), np.uint32), dtype=np.uint32)])
         return cls(hashes, bounds, np.frombuffer(b"".join(p.ids for p in parts), kind))
 
-    def get(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the units one after the other, how many each has, and which are not held (those have one id, -1)."""
+    def find(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of the units begin, how many each has, and which units are not held (those have one id)."""
         h = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).view(np.int64)  # as Spark's xxhash64
         if not len(self.hashes):
-            return np.full(len(units), -1, np.int32), np.ones(len(units), np.int64), np.ones(len(units), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            return np.zeros(len(units), np.int64), np.ones(len(units), np.int64), np.ones(len(units), bool)
+        at, order = np.empty(len(units), np.int64), np.argsort(h)
+        at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)  # neighbours in memory one after the other
         lost = self.hashes[at] != h
-        starts = self.bounds[at].astype(np.int64)
-        sizes = np.where(lost, 1, self.bounds[at + 1] - starts)
-        ends = np.cumsum(sizes)
-        taken = np.repeat(np.where(lost, 0, starts) - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.ids[taken].astype(np.int32)
-        ids[(ends - sizes)[lost]] = -1
-        return ids, sizes, lost
-
-
-class Encoder:
-    """Ids of texts from a dictionary; -1 stands for each unit that it does not hold.
-
-    Words are remembered as packed ids: those of the last ``CACHE`` new ones, and those before that were met since.  A
-    word whose ids do not decode to it is marked."""
-
-    def __init__(self, known: Dictionary, pairs: frozenset[str], prefix: bool, back: Callable[[np.ndarray], bytes]) -> None:
-        self.known, self.pairs, self.prefix, self.back = known, pairs, prefix, back
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.lost: dict[str, list[str]] = {}
-        self.changed: set[str] = set()
-
-    def learn(self, words: list[str]) -> None:
-        chunks = [chunk_of(w, self.prefix) for w in words]
-        split = [units_of(c, self.pairs) for c in chunks]
-        units = list(chain.from_iterable(split))
-        ids, sizes, lost = self.known.get(units)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        last = np.cumsum(counts)  # units up to each word
-        stops = np.concatenate([[0], np.cumsum(sizes)])[last]  # ids up to each word
-        packed, a = ids.tobytes(), 0
-        for word, b in zip(words, (4 * stops).tolist(), strict=True):
-            self.words[word] = packed[a:b]
-            a = b
-        for i in np.flatnonzero(np.add.reduceat(lost, last - counts)) if lost.any() else ():
-            gone = lost[last[i] - counts[i]: last[i]]
-            self.lost[words[i]] = [u for u, x in zip(split[i], gone.tolist(), strict=True) if x]
-        plain = lambda text: text.encode("utf-8", "surrogatepass").replace(MARK.encode(), b" ")
-        # all together first; word by word only if any differs
-        if lost.any() or self.back(ids) != plain("".join(chunks)):
-            begin = 0
-            for word, chunk, stop in zip(words, chunks, stops.tolist(), strict=True):
-                if word not in self.lost and self.back(ids[begin:stop]) != plain(chunk):
-                    self.changed.add(word)
-                begin = stop
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]], list[bool]]:
-        """Ids, units that are not held, and whether the ids of each text give it back (as far as they are held)."""
-        split = [chunks_of(t, self.prefix) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.older, self.words = self.words, {}
-            new = set(chain.from_iterable(split))
-            self.lost = {w: u for w, u in self.lost.items() if w in self.older}
-            self.changed &= self.older.keys()
-        met = new & self.older.keys()
-        for w in met:
-            self.words[w] = self.older[w]
-        if new := new - met:
-            self.learn(list(new))
-        word, lost, changed = self.words.__getitem__, self.lost, self.changed
-        ids = [np.frombuffer(b"".join(map(word, chunks)), np.int32) for chunks in split]
-        missing = [[u for c in chunks if c in lost for u in lost[c]] if lost else [] for chunks in split]
-        # a text is its words in order, so it comes back if each of them does
-        same = [not changed or changed.isdisjoint(chunks) for chunks in split]
-        return ids, missing, same
-
-
-def joiner(model: Model) -> Callable[[np.ndarray], bytes]:
-    """The bytes that ids stand for, with spaces for marks."""
+        starts = np.where(lost, 0, self.bounds[at]).astype(np.int64)
+        return starts, np.where(lost, 1, self.bounds[at + 1] - starts), lost
+
+    def get(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units one after the other, how many there are before each unit and in all, and which units are not
+        held (those have one id, -1).  Each distinct unit is looked up once."""
+        coded = units.dictionary_encode()
+        which = coded.indices.to_numpy()
+        starts, sizes, lost = (x[which] for x in self.find(coded.dictionary.cast(pa.binary()).to_pylist()))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        if not len(self.hashes):
+            return np.full(len(units), -1, np.int32), bounds, lost
+        ids = self.ids[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])].astype(np.int32)
+        ids[bounds[:-1][lost]] = -1
+        return ids, bounds, lost
+
+
+def written_as(model: Model) -> list[bytes]:
+    """The bytes that each id stands for, with spaces for marks."""
     byte = {i: b for b, i in enumerate(model.byte_ids)}
     names = [bytes([byte[i]]) if i in byte else " ⁇ ".encode() if i == model.unknown else n.encode("utf-8") if n in model.pieces else b""
              for i, n in enumerate(model.names)]
-    names = [n.replace(MARK.encode(), b" ") for n in names]
-    return lambda ids: b"".join(map(names.__getitem__, ids.tolist()))
+    return [n.replace(MARK.encode(), b" ") for n in names]
 
 
 def decoder(model: Model) -> Callable[[np.ndarray], str]:
-    join, prefix = joiner(model), model.prefix
+    names, prefix = written_as(model), model.prefix
 
     def text(ids: np.ndarray) -> str:
-        joined = join(ids)
+        joined = b"".join(map(names.__getitem__, ids.tolist()))
         return (joined[1:] if prefix and joined[:1] == b" " else joined).decode("utf-8", "replace")
 
     return text
@@ -421,18 +391,29 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "id
     at = docs.columns.index(text_col)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, text_of_ids = Encoder(Dictionary(*sent.value), pairs, prefix, joiner(model)), decoder(model)
+        cut, known = Cutter(pairs, prefix), Dictionary(*sent.value)
+        names, text_of_ids = pa.array(written_as(model), pa.binary()), decoder(model)
+
+        def gives_back(texts: list[str | None], ids: np.ndarray, bounds: np.ndarray) -> list[bool]:
+            _, ends, joined = names.take(pa.array(ids)).buffers()
+            joined, at = joined.to_pybytes() if joined else b"", np.frombuffer(ends, np.int32)[bounds].tolist()
+            wanted = [normalised(t, prefix).replace(MARK, " ").encode("utf-8") if t else b"" for t in texts]
+            # bytes that differ are compared as text: they may be no UTF-8
+            return [joined[a:b] == w or text_of_ids(ids[i:j]) == (t or "").replace(MARK, " ")
+                    for a, b, i, j, w, t in zip(at, at[1:], bounds, bounds[1:], wanted, texts, strict=False)]
+
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
-                ids, missing, same = look(texts)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                more = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids), pa.int32()))]
+                units, firsts = cut(texts)
+                ids, before, lost = known.get(units)
+                bounds = before[firsts]
+                more = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
                 if check:
-                    more.append(pa.array([ok or text_of_ids(x) == (t or "").replace(MARK, " ") for ok, x, t in zip(same, ids, texts, strict=True)], pa.bool_()))
+                    more.append(pa.array(gives_back(texts, ids, bounds), pa.bool_()))
                 elif total > head:
-                    more.append(pa.array(missing, pa.list_(pa.string())))
+                    gaps = np.concatenate([[0], np.cumsum(lost)])[firsts]
+                    more.append(pa.ListArray.from_arrays(pa.array(gaps, pa.int32()), units.filter(pa.array(lost))))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, out, "__more"][: len(part.columns) + len(more)])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
