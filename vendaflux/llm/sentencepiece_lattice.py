@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ HEAD, LONGEST = 3_000_000, 60
 #: Distinct units that a task counts before it hands them on.
 COUNTED = 250_000
 #: Bytes of texts that are cut together, and units whose lattices are made in one task.
-SLICE, PART = 4_000_000, 20_000
+SLICE, PART = 1_000_000, 20_000
 #: Units that one task packs for the dictionary.
 PACKED = 100_000
 UNKNOWN_PENALTY = 10.0
@@ -115,7 +116,10 @@ class Cutter:
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         kind = self.kind[codes]
         cut = np.ones(len(codes) + 1, bool)
-        cut[1:-1] = self.apart[kind[:-1].astype(np.int32) * self.kinds + kind[1:]]
+        both = kind[:-1].astype(np.int32)
+        both *= self.kinds
+        both += kind[1:]
+        cut[1:-1] = self.apart[both]
         begins = np.cumsum([0, *map(len, marked)])
         cut[begins] = True
         at = np.flatnonzero(cut)
@@ -162,15 +166,16 @@ def distinct_units(docs: DataFrame, model: Model) -> DataFrame:
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """Edges of each unit (up to LONGEST characters): ``unit, n, edges`` with start, end, id and score."""
     # dealt by unit before they grow: edges are grouped where they are made, and a part fits into memory
-    rows = units.repartition(max(1, -(-units.count() // PART)), "unit")
-    rows = rows.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    rows = rows.select("unit", "n", "start", F.explode(F.sequence(
+    rows = units.repartition(max(1, -(-units.count() // PART)), "unit").withColumn("h", F.xxhash64("unit"))
+    rows = rows.select("h", "unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    rows = rows.select("h", "unit", "n", "start", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(model.longest), F.length("unit") - F.col("start")))).alias("size"))
     rows = rows.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
     pieces = F.broadcast(model.table(units.sparkSession))  # a row for each piece of the model
-    edges = rows.join(pieces, "piece").select("unit", "n", F.struct(
+    edges = rows.join(pieces, "piece").select("h", "unit", "n", F.struct(
         (-F.col("score")).alias("cost"), "start", (F.col("start") + F.col("size")).alias("end"), "id").alias("edge"))
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    # the hash comes first because numbers are sorted faster than texts
+    return edges.groupBy("h", "unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges")).select("unit", "n", "edges")
 
 
 def _fallback_ids(model: Model, char: Column) -> Column:
@@ -334,9 +339,9 @@ class Dictionary:
         bounds = np.concatenate([np.zeros(1, np.uint32), np.cumsum(np.frombuffer(b"".join(p.n for p in parts), np.uint32), dtype=np.uint32)])
         return cls(hashes, bounds, np.frombuffer(b"".join(p.ids for p in parts), kind))
 
-    def find(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the ids of the units begin, how many each has, and which units are not held (those have one id)."""
-        h = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).view(np.int64)  # as Spark's xxhash64
+    def find(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of the units (UTF-8) begin, how many each has, and which are not held (those have one id)."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, units, repeat(42)), np.uint64, len(units)).view(np.int64)  # as Spark's xxhash64
         if not len(self.hashes):
             return np.zeros(len(units), np.int64), np.ones(len(units), np.int64), np.ones(len(units), bool)
         at, order = np.empty(len(units), np.int64), np.argsort(h)
@@ -350,11 +355,13 @@ class Dictionary:
         held (those have one id, -1).  Each distinct unit is looked up once."""
         coded = units.dictionary_encode()
         which = coded.indices.to_numpy()
-        starts, sizes, lost = (x[which] for x in self.find(coded.dictionary.cast(pa.binary()).to_pylist()))
+        starts, sizes, lost = (x[which] for x in self.find(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         if not len(self.hashes):
             return np.full(len(units), -1, np.int32), bounds, lost
-        ids = self.ids[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])].astype(np.int32)
+        taken = np.repeat(starts - bounds[:-1], sizes)
+        taken += np.arange(bounds[-1])
+        ids = self.ids[taken].astype(np.int32)
         ids[bounds[:-1][lost]] = -1
         return ids, bounds, lost
 
