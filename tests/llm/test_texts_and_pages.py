@@ -92,7 +92,7 @@ def odd_texts():
 
 
 def test_units_of_many_texts_are_cut_at_once(bpe):
-    """All characters of a slice are cut together; word by word took a third of the CPU seconds."""
+    """All characters of a slice are cut together, as word by word would."""
     spans = Model({"▁": (0, 0.0), "ab": (1, 0.0), "b▁": (2, -1.0), "▁a": (3, -2.0)}, [], 0, bpe=True)  # a piece across words
     texts = odd_texts() + ["ab ab  ab"]
     for model in (bpe, spans, Model(spans.pieces, [], 0, bpe=True, prefix=False)):
